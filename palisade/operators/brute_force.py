@@ -12,6 +12,7 @@ from palisade.functions.times import MINUTE, from_micros, lookback, micros
 from palisade.operators import params
 from palisade.operators.filters import in_range
 from palisade.operators.windows import Slots, ahead_counts, greedy_windows, in_windows, with_bounds
+from palisade.session import settle
 
 EVENT = "SSH_FAILED_LOGIN"
 LOOKBACK_HOURS = 24
@@ -109,8 +110,9 @@ def window_attempts(
     params.check(window_minutes=window_minutes, threshold=threshold)
     attempts = failed_logins(logs, start, end, source_ip, as_of)
     slots = Slots.of(window_minutes * MINUTE)
-    windows = _windows(attempts_per_instant(attempts), slots, threshold).select(
-        "source_ip", F.col("at").alias("opened"))
+    # Written first: with a known size the join with the log is a broadcast when it may be.
+    windows = settle(_windows(attempts_per_instant(attempts), slots, threshold).select(
+        "source_ip", F.col("at").alias("opened")), "login-windows")
     rows = attempts.select("source_ip", "timestamp", "username", "log_id", micros("timestamp").alias("at"))
     return in_windows(rows, windows, ["source_ip"], slots).select(
         "source_ip", from_micros("opened").alias("window_start"), "timestamp", "username", "log_id")
