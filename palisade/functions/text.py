@@ -38,15 +38,13 @@ def named_port(column: Column, lowered: Column, names) -> Column:
         F.when(column.contains(str(port)) | has_word(lowered, words), port) for port, words in names])
 
 
-def line_time(column: Column, reference_time: Column) -> Column:
-    """The time in a line.
+def stamped_time(iso: Column, syslog: Column, reference_time: Column) -> Column:
+    """The time of a line from the stamps matched in it.
 
     An ISO stamp is taken first, then a syslog stamp (in the year of ``reference_time``; an
-    unknown month word counts as January). A line without a valid stamp gets
-    ``reference_time`` itself.
+    unknown month word counts as January). Without a valid one it is ``reference_time``.
     """
-    iso = group(column, fixed.ISO_STAMP).try_cast("timestamp_ntz")
-    return F.coalesce(iso, _syslog_time(group(column, fixed.SYSLOG_STAMP, 0), reference_time), reference_time)
+    return F.coalesce(iso.try_cast("timestamp_ntz"), _syslog_time(syslog, reference_time), reference_time)
 
 
 def _syslog_time(stamp: Column, reference_time: Column) -> Column:

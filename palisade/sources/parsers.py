@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
-from palisade.functions.text import group, has_word, line_time, named_port, strip, whole_number
+from palisade.functions.text import group, has_word, named_port, stamped_time, strip, whole_number
 from palisade.functions.times import ntz
 
 FIELDS = ("timestamp", "source_ip", "destination_port", "protocol", "log_source", "event_type",
@@ -49,23 +49,37 @@ def with_parts(lines: DataFrame, reference_time: datetime | Column) -> DataFrame
     """Extract what the parsers need. Part columns start with an underscore."""
     line = F.col("line")
     now = reference_time if isinstance(reference_time, Column) else ntz(reference_time)
-    if_has = lambda text, value: F.when(line.contains(text), value)
-    packet = lambda pattern: if_has("SRC=", group(line, pattern))
-    return lines.withColumns({
-        "_time": line_time(line, now),
+    # A capture that did not match is empty here and made null in the next step. In one
+    # step, the comparison would search the line again.
+    search = {
+        "_iso": (None, fixed.ISO_STAMP, 0),
+        "_stamp": (None, fixed.SYSLOG_STAMP, 0),
+        "_failed_ip": ("Failed password", fixed.SSH_FAILED, 3),
+        "_failed_user": ("Failed password", fixed.SSH_FAILED, 2),
+        "_accepted_ip": ("Accepted password", fixed.SSH_ACCEPTED, 2),
+        "_accepted_user": ("Accepted password", fixed.SSH_ACCEPTED, 1),
+        "_invalid_ip": ("Invalid user", fixed.SSH_INVALID, 2),
+        "_invalid_user": ("Invalid user", fixed.SSH_INVALID, 1),
+        "_packet_ip": ("SRC=", fixed.PACKET_SOURCE, 1),
+        "_packet_port": ("DPT=", fixed.PACKET_PORT, 1),
+        "_packet_protocol": ("PROTO=", fixed.PACKET_PROTOCOL, 1),
+        "_ip": (None, fixed.IPV4, 1),
+        "_colon_port": (":", fixed.COLON_PORT, 1),
+    }
+
+    def capture(needs: str | None, pattern: str, number: int) -> Column:
+        found = F.regexp_extract(line, pattern, number)
+        return found if needs is None else F.when(line.contains(needs), found)
+
+    captured = lines.withColumns({
+        **{name: capture(*how) for name, how in search.items()},
         "_text": strip(line),
         "_lower": F.lower(line),
-        "_failed_ip": if_has("Failed password", group(line, fixed.SSH_FAILED, 3)),
-        "_failed_user": if_has("Failed password", group(line, fixed.SSH_FAILED, 2)),
-        "_accepted_ip": if_has("Accepted password", group(line, fixed.SSH_ACCEPTED, 2)),
-        "_accepted_user": if_has("Accepted password", group(line, fixed.SSH_ACCEPTED, 1)),
-        "_invalid_ip": if_has("Invalid user", group(line, fixed.SSH_INVALID, 2)),
-        "_invalid_user": if_has("Invalid user", group(line, fixed.SSH_INVALID, 1)),
-        "_packet_ip": packet(fixed.PACKET_SOURCE),
-        "_packet_port": whole_number(packet(fixed.PACKET_PORT)),
-        "_packet_protocol": packet(fixed.PACKET_PROTOCOL),
-        "_ip": group(line, fixed.IPV4),
-        "_colon_port": if_has(":", whole_number(group(line, fixed.COLON_PORT))),
+    }).withColumns({name: F.nullif(name, F.lit("")) for name in search})
+    return captured.withColumns({
+        "_time": stamped_time(F.col("_iso"), F.col("_stamp"), now),
+        "_packet_port": whole_number(F.col("_packet_port")),
+        "_colon_port": whole_number(F.col("_colon_port")),
     })
 
 
