@@ -199,6 +199,145 @@ distributed AS (
   GROUP BY l.destination_port, l.protocol)"""
 
 
+# --- parsing: from the rendered text only ------------------------------------------------
+
+_LINES = r"""lines AS (
+  SELECT log_id, raw_log, lower(raw_log) AS low, log_source,
+    CASE WHEN regexp_matches(raw_log, '^\d{4}-') THEN CAST(replace(substr(raw_log, 1, 19), 'T', ' ') AS TIMESTAMP)
+         ELSE strptime('2024 ' || regexp_extract(raw_log, '[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}', 0), '%Y %b %d %H:%M:%S')
+    END AS "timestamp",
+    nullif(regexp_extract(raw_log, 'Failed password for (?:invalid user )?(\w+) from ([\d.]+)', 1), '') AS failed_user,
+    nullif(regexp_extract(raw_log, 'Failed password for (?:invalid user )?(\w+) from ([\d.]+)', 2), '') AS failed_ip,
+    nullif(regexp_extract(raw_log, 'Accepted password for (\w+) from ([\d.]+)', 1), '') AS accepted_user,
+    nullif(regexp_extract(raw_log, 'Accepted password for (\w+) from ([\d.]+)', 2), '') AS accepted_ip,
+    nullif(regexp_extract(raw_log, 'SRC=([\d.]+)', 1), '') AS src,
+    CAST(nullif(regexp_extract(raw_log, 'DPT=(\d+)', 1), '') AS INTEGER) AS dpt,
+    nullif(regexp_extract(raw_log, 'PROTO=(\w+)', 1), '') AS proto,
+    nullif(regexp_extract(raw_log, '\b((?:\d{1,3}\.){3}\d{1,3})\b', 1), '') AS ip,
+    CAST(nullif(regexp_extract(raw_log, ':(\d{1,5})\b', 1), '') AS INTEGER) AS colon_port,
+    nullif(regexp_extract(raw_log, ':\d{1,5}\b|port\s+\d{1,5}', 0), '') AS port_text
+  FROM logs)"""
+
+_RECORD = '''SELECT log_id, "timestamp", {ip} AS source_ip, CAST({port} AS INTEGER) AS destination_port, {protocol} AS protocol,
+  '{source}' AS log_source, {event} AS event_type, {severity} AS severity, {user} AS username, raw_log FROM lines WHERE {where}'''
+
+
+def _record(source, ip, port, protocol, event, severity, where, user="NULL::VARCHAR"):
+    return _RECORD.format(source=source, ip=ip, port=port, protocol=protocol, event=event,
+                          severity=severity, user=user, where=where)
+
+
+_BY_PRODUCT = ("CASE WHEN contains(raw_log, '1433') OR contains(low, 'mssql') {more} THEN 1433 "
+               "WHEN contains(raw_log, '3306') OR contains(low, 'mysql') THEN 3306 "
+               "WHEN contains(raw_log, '5432') OR contains(low, 'postgres') THEN 5432 {last} END")
+_SQL_PORT = ("coalesce(nullif(CASE WHEN port_text IS NOT NULL THEN CAST(regexp_extract(port_text, '\\d+', 0) AS INTEGER) ELSE "
+             + _BY_PRODUCT.format(more="OR contains(low, 'sql server')",
+                                  last="WHEN contains(raw_log, '1521') OR contains(low, 'oracle') THEN 1521")
+             + " END, 0), 1433)")
+_INJECTION = r"regexp_matches(raw_log, '(?:union|select|insert|delete|update|drop|exec|execute).*?(?:--|;|/\*|\*/)', 'i')"
+_DENIED = r"regexp_matches(raw_log, '(?:failed|denied|error|unauthorized).*?(?:login|connection|authentication).*?(?:mysql|postgres|mssql|sql)', 'i')"
+_CONNECTED = r"regexp_matches(raw_log, '(?:mysql|postgres|mssql|sql server).*?(?:connection|login|auth).*?from\s+([\d.]+)', 'i')"
+_PORTED = "regexp_matches(raw_log, '1433|3306|5432|1521')"
+_ABOUT_SQL = (r"(regexp_matches(raw_log, '(?:mysql|postgres|mssql|sql).*?(?:connection|login|auth).*?(?:failed|denied|error)', 'i') "
+              r"OR regexp_matches(raw_log, 'port\s+(?:1433|3306|5432)', 'i'))")
+_ALARM = "regexp_matches(low, 'denied|blocked|rejected|failed|error|attack|intrusion')"
+
+P_AUTH = "p_auth AS (" + _record("auth.log", "failed_ip", "22", "'TCP'", "'SSH_FAILED_LOGIN'", "'HIGH'",
+                                 "failed_ip IS NOT NULL", "failed_user") + " UNION ALL " + _record(
+    "auth.log", "accepted_ip", "22", "'TCP'", "'SSH_LOGIN_SUCCESS'", "'LOW'",
+    "failed_ip IS NULL AND accepted_ip IS NOT NULL", "accepted_user") + ")"
+_UFW_HOT = "coalesce(dpt IN (22, 23, 1433, 3306), false)"
+P_UFW = "p_ufw AS (" + _record(
+    "ufw.log", "src", "dpt", "proto", f"CASE WHEN {_UFW_HOT} THEN 'SUSPICIOUS_PORT_ACCESS' ELSE 'UFW_TRAFFIC' END",
+    f"CASE WHEN {_UFW_HOT} THEN 'HIGH' ELSE 'LOW' END", "contains(raw_log, '[UFW') AND src IS NOT NULL") + ")"
+_NET_HOT = "coalesce(dpt IN (22, 23, 1433, 3306, 3389, 5432), false)"
+_BLOCKED = "(contains(raw_log, 'DROP') OR contains(raw_log, 'REJECT'))"
+_OPENING = "(contains(raw_log, 'SYN') AND NOT contains(raw_log, 'ACK'))"
+P_IPTABLES = "p_iptables AS (" + _record(
+    "iptables", "src", "dpt", "proto",
+    f"CASE WHEN {_BLOCKED} THEN 'IPTABLES_BLOCKED' WHEN dpt IN (1433, 3306, 5432) THEN 'SQL_ACCESS_ATTEMPT' "
+    f"WHEN {_NET_HOT} THEN 'SUSPICIOUS_PORT_ACCESS' WHEN {_OPENING} THEN 'CONNECTION_ATTEMPT' ELSE 'IPTABLES_TRAFFIC' END",
+    f"CASE WHEN {_BLOCKED} OR {_OPENING} THEN 'MEDIUM' WHEN {_NET_HOT} THEN 'HIGH' ELSE 'LOW' END",
+    "contains(raw_log, 'kernel:') AND src IS NOT NULL") + ")"
+P_SQL = "p_sql AS (" + _record(
+    "sql.log", "ip", _SQL_PORT, "'TCP'",
+    f"CASE WHEN {_INJECTION} THEN 'SQL_INJECTION_ATTEMPT' WHEN {_DENIED} THEN 'SQL_AUTH_FAILED' "
+    f"WHEN {_CONNECTED} THEN 'SQL_CONNECTION_ATTEMPT' WHEN {_PORTED} THEN 'SQL_PORT_ACCESS' ELSE 'SQL_ACCESS_ATTEMPT' END",
+    f"CASE WHEN {_INJECTION} THEN 'CRITICAL' WHEN {_DENIED} THEN 'HIGH' WHEN {_CONNECTED} THEN 'MEDIUM' ELSE 'HIGH' END",
+    "ip IS NOT NULL") + ")"
+_SSH = "coalesce(failed_ip, accepted_ip) IS NOT NULL"
+P_SYSLOG = "p_syslog AS (" + " UNION ALL ".join([
+    _record("syslog", "coalesce(failed_ip, accepted_ip)", "22", "'TCP'",
+            "CASE WHEN contains(raw_log, 'Failed password') THEN 'SSH_FAILED_LOGIN' ELSE 'SSH_LOGIN_SUCCESS' END",
+            "CASE WHEN contains(raw_log, 'Failed password') THEN 'HIGH' ELSE 'LOW' END", _SSH),
+    _record("syslog", "ip", f"coalesce(nullif(colon_port, 0), {_BY_PRODUCT.format(more='', last='')}, 1433)", "'TCP'",
+            "CASE WHEN regexp_matches(low, 'failed|denied|error') THEN 'SQL_AUTH_FAILED' ELSE 'SQL_ACCESS_ATTEMPT' END",
+            "'HIGH'", f"NOT ({_SSH}) AND ip IS NOT NULL AND {_ABOUT_SQL}"),
+    _record("syslog", "ip", "colon_port", "NULL::VARCHAR",
+            f"CASE WHEN {_ALARM} THEN 'SYSLOG_SECURITY_EVENT' ELSE 'SYSLOG_ENTRY' END",
+            f"CASE WHEN {_ALARM} THEN 'MEDIUM' ELSE 'LOW' END", f"NOT ({_SSH}) AND ip IS NOT NULL AND NOT {_ABOUT_SQL}"),
+]) + ")"
+_ALL_PARSERS = (_LINES, P_AUTH, P_UFW, P_IPTABLES, P_SQL, P_SYSLOG)
+
+
+def _first_of(*tables: str) -> str:
+    """Per line, the record of the first parser that has one."""
+    out = []
+    for i, table in enumerate(tables):
+        earlier = "".join(f" AND NOT EXISTS (SELECT 1 FROM {t} e WHERE e.log_id = p.log_id)" for t in tables[:i])
+        out.append(f"SELECT p.* FROM {table} p WHERE true{earlier}")
+    return " UNION ALL ".join(out)
+
+
+def _hinted() -> str:
+    of = {"p_auth": "auth.log", "p_ufw": "ufw.log", "p_iptables": "iptables", "p_sql": "sql.log"}
+    by_hint = " UNION ALL ".join(
+        f"SELECT p.* FROM {t} p JOIN lines l ON l.log_id = p.log_id WHERE l.log_source = '{h}'" for t, h in of.items())
+    return (f"SELECT * FROM (WITH hinted AS ({by_hint}), rest AS ({_first_of('p_sql', 'p_auth', 'p_ufw', 'p_iptables', 'p_syslog')}) "
+            "SELECT * FROM hinted UNION ALL SELECT * FROM rest r WHERE NOT EXISTS (SELECT 1 FROM hinted h WHERE h.log_id = r.log_id))")
+
+
+# --- reputation ------------------------------------------------------------------------
+
+REPUTATION_PARTS = ("""answers AS (
+  SELECT source_ip AS ip, c, v, CASE v WHEN 0 THEN lo ELSE hi END AS cached_at,
+         (c % 4 <> 3 OR v = 0) AS known, (c + v) % 13 AS m, c % 7 AS s, 40 + c % 30 AS u
+  FROM (SELECT source_ip, CAST(count(*) AS INTEGER) AS c, min("timestamp") AS lo, max("timestamp") AS hi FROM logs GROUP BY source_ip),
+       (VALUES (0), (1)) AS versions(v))""",
+    """reputations AS (
+  SELECT ip, known AND m > 0 AS detected,
+         CASE WHEN known THEN CAST(trunc((m / (m + s + u)) * 100) AS INTEGER) ELSE 0 END AS reputation_score,
+         CASE WHEN NOT known THEN 'UNKNOWN' WHEN m >= 10 THEN 'CRITICAL' WHEN m >= 5 THEN 'HIGH'
+              WHEN m >= 2 OR s >= 5 THEN 'MEDIUM' WHEN m >= 1 OR s >= 1 THEN 'LOW' ELSE 'CLEAN' END AS threat_level,
+         CASE WHEN known THEN m END AS malicious_count, CASE WHEN known THEN s END AS suspicious_count,
+         CASE WHEN known THEN m + s + u END AS total_engines,
+         CASE WHEN known THEN strftime(make_timestamp((1700000000 + c) * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%S') END AS last_analysis_date,
+         CASE WHEN known THEN CASE WHEN c % 5 = 0 THEN '' ELSE 'C' || CAST(c % 5 AS VARCHAR) END END AS country,
+         CASE WHEN known THEN 1000 + c % 50 END AS asn,
+         CASE WHEN known THEN 'owner' || CAST(c % 4 AS VARCHAR) END AS as_owner,
+         CASE WHEN known THEN array_to_string(list_sort(list_distinct(['kind' || CAST(c % 3 AS VARCHAR), 'kind' || CAST(c % 2 AS VARCHAR)])), ',')
+              ELSE '' END AS categories,
+         CASE WHEN known THEN array_to_string(list_transform(range(0, least(m, 10)),
+              lambda i: CASE WHEN i % 3 = 0 THEN 'Malicious' ELSE 'name' || CAST(i AS VARCHAR) END), ',') ELSE '' END AS detection_names,
+         CASE WHEN known THEN 'https://www.virustotal.com/gui/ip-address/' || ip END AS virustotal_url,
+         cached_at, c
+  FROM answers)""",
+    "newest AS (SELECT * EXCLUDE (c) FROM reputations r WHERE cached_at = (SELECT max(cached_at) FROM reputations q WHERE q.ip = r.ip) "
+    "QUALIFY row_number() OVER (PARTITION BY ip ORDER BY detected DESC) = 1)",
+    "half AS (SELECT * FROM newest WHERE asn % 2 = 0)",
+)
+_RANK = ("CASE {0} WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 0 END")
+_LIFTED = ("CASE WHEN h.detected AND h.threat_level IN ('MEDIUM', 'HIGH', 'CRITICAL') AND "
+           + _RANK.format("h.threat_level") + " > " + _RANK.format("{0}.severity") + " THEN h.threat_level ELSE {0}.severity END AS severity")
+_FLOOD_UNION = """flood_all AS (
+  SELECT 'SINGLE_IP_FLOOD' AS attack_type, NULL::INTEGER AS target_port, NULL::VARCHAR AS target_protocol, first_request,
+         last_request, severity, peak_request_rate, avg_request_rate, total_requests, 1 AS source_ip_count, window_count,
+         [source_ip] AS ips FROM single
+  UNION ALL
+  SELECT 'DISTRIBUTED_FLOOD', target_port, target_protocol, first_request, last_request, severity, peak_request_rate,
+         avg_request_rate, total_requests, source_ip_count, window_count, ip_list FROM distributed)"""
+
+
 def statements() -> dict[str, str]:
     flood_parts = (*SINGLE_PARTS, SINGLE_DETECTIONS, *TARGET_PARTS, TARGET_DETECTIONS)
     detections = (*BRUTE_PARTS, BRUTE_DETECTIONS, *SCAN_PARTS, SCAN_DETECTIONS, *flood_parts)
@@ -307,4 +446,45 @@ UNION ALL (SELECT 'top_ports', CAST(destination_port AS VARCHAR), count(*) FROM
             "SELECT strftime(\"timestamp\", '%Y-%m-%dT00:00:00') AS time, count(*) AS count, "
             "count(*) FILTER (WHERE severity = 'HIGH') AS high_severity FROM logs GROUP BY 1"),
     }
+    # parsing
+    for name in ("auth", "ufw", "iptables", "sql", "syslog"):
+        out[f"parse_{name}"] = over_logs(f"SELECT * FROM p_{name}", *_ALL_PARSERS)
+    out.update({
+        "parse_routed": over_logs(_hinted(), *_ALL_PARSERS),
+        "parse_unhinted": over_logs(_first_of("p_sql", "p_auth", "p_ufw", "p_iptables", "p_syslog"), *_ALL_PARSERS),
+        "parse_specific_first": over_logs(_first_of("p_auth", "p_ufw", "p_iptables", "p_sql", "p_syslog"), *_ALL_PARSERS),
+        "parse_failures": over_logs(
+            "SELECT log_id AS line_id, raw_log AS line, log_source AS log_source_hint FROM lines l "
+            "WHERE NOT EXISTS (SELECT 1 FROM p_ufw p WHERE p.log_id = l.log_id)", *_ALL_PARSERS),
+        "ingest_summary": over_logs(
+            "SELECT n > 0 AS success, n AS ingested_count, t - n AS failed_count, t AS total_received, "
+            "'Successfully ingested ' || n || ' log(s). ' || (t - n) || ' failed to parse.' AS message "
+            "FROM (SELECT (SELECT count(*) FROM p_auth) AS n, (SELECT count(*) FROM logs) AS t)", *_ALL_PARSERS),
+        # reputation
+        "reputation_normalize": over_logs("SELECT * EXCLUDE (c) FROM reputations", *REPUTATION_PARTS),
+        "reputation_latest": over_logs("SELECT * FROM newest", *REPUTATION_PARTS),
+        "reputation_known_at": over_logs(
+            "SELECT ip, threat_level, cached_at, cached_at > TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AS is_fresh "
+            "FROM reputations r WHERE cached_at = (SELECT max(cached_at) FROM reputations q WHERE q.ip = r.ip "
+            "AND q.cached_at <= TIMESTAMP '2024-01-30 00:02:00')", *REPUTATION_PARTS),
+        "reputation_lookup": over_logs(
+            """SELECT i.ip, coalesce(detected, false) AS detected, coalesce(reputation_score, 0) AS reputation_score,
+  coalesce(threat_level, 'UNKNOWN') AS threat_level,
+  CASE WHEN h.ip IS NULL THEN 'Unable to fetch reputation' END AS error,
+  CASE WHEN h.ip IS NULL THEN 'unknown' WHEN detected OR threat_level IN ('CRITICAL', 'HIGH') THEN 'malicious'
+       WHEN threat_level = 'MEDIUM' OR coalesce(suspicious_count, 0) > 0 THEN 'suspicious' ELSE 'clean' END AS class
+FROM (SELECT DISTINCT source_ip AS ip FROM logs) i LEFT JOIN half h ON h.ip = i.ip""", *REPUTATION_PARTS),
+        "logs_enriched": over_logs(
+            f"SELECT l.log_id, l.source_ip, {_LIFTED.format('l')}, h.threat_level, h.reputation_score "
+            "FROM logs l LEFT JOIN half h ON h.ip = l.source_ip", *REPUTATION_PARTS),
+        "brute_force_enriched": rec(
+            f"SELECT b.source_ip, b.total_attempts, {_LIFTED.format('b')}, h.threat_level FROM brute b "
+            "LEFT JOIN half h ON h.ip = b.source_ip", *BRUTE_PARTS, BRUTE_DETECTIONS, *REPUTATION_PARTS),
+        "flood_reputation": rec(
+            "SELECT attack_type, target_port, target_protocol, first_request, severity, d.ip, "
+            "coalesce(h.threat_level, 'UNKNOWN') AS threat_level, "
+            "CASE WHEN h.ip IS NULL THEN 'Unable to fetch reputation' END AS error "
+            "FROM (SELECT * EXCLUDE (ips), unnest(ips) AS ip FROM flood_all) d LEFT JOIN half h ON h.ip = d.ip",
+            *flood_parts, _FLOOD_UNION, *REPUTATION_PARTS),
+    })
     return out

@@ -12,15 +12,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import browse, brute_force, filters, floods, port_scan, stats
+from checks.feeds import provider_answers
+from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
 from palisade.session import configure
-from palisade.sources.event_view import read_logs
+from palisade.sources import ingest, parsers
+from palisade.sources.event_view import logs_as_lines, read_logs
 
 WHOLE = {"start": datetime(2000, 1, 1), "end": datetime(2100, 1, 1)}
 SINGLE = {"window_seconds": 60, "single_ip_threshold": 8, **WHOLE}
 SPREAD = {"window_seconds": 60, "distributed_ip_count": 3, "distributed_request_threshold": 20, **WHOLE}
 FLOOD = {**SINGLE, **SPREAD}
 AS_OF = datetime(2024, 1, 30, 0, 2)
+REFERENCE_TIME = datetime(2024, 6, 1, 12)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +83,56 @@ def _defaults(logs: DataFrame) -> DataFrame:
         "log_id", "timestamp", "source_ip", "log_source", "event_type", "severity", "raw_log")
 
 
+def over_lines(parser: str | None = None, hints: bool = True, router: str = "reference") -> Query:
+    """Records parsed from the rendered text of all lines."""
+    def run(logs: DataFrame) -> DataFrame:
+        return parsers.records(_parsed(logs, parser, hints, router))
+    return over_logs(run)
+
+
+def _parsed(logs: DataFrame, parser: str | None = None, hints: bool = True, router: str = "reference") -> DataFrame:
+    lines = logs_as_lines(logs)
+    return parsers.parse_lines(lines if hints else lines.drop("log_source_hint"), REFERENCE_TIME, parser, router)
+
+
+def _reputation(logs: DataFrame) -> DataFrame:
+    return reputation.latest(reputation.normalize(provider_answers(logs)))
+
+
+def _flat_reputation(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({"categories": joined("categories"), "detection_names": joined("detection_names")})
+
+
+def _half(logs: DataFrame) -> DataFrame:
+    """Reputation of the sources that first appeared early: the others have no record."""
+    return _reputation(logs).where(F.col("asn") % 2 == 0)
+
+
+def _enriched(logs: DataFrame) -> DataFrame:
+    return reputation.enrich(logs, _half(logs)).select(
+        "log_id", "source_ip", "severity", "reputation.threat_level", "reputation.reputation_score")
+
+
+def _lookup(logs: DataFrame) -> DataFrame:
+    ips = logs.select(F.col("source_ip").alias("ip"))
+    return reputation.classify(reputation.lookup(ips, _half(logs))).select(
+        "ip", "detected", "reputation_score", "threat_level", "error", "class")
+
+
+def _brute_enriched(logs: DataFrame) -> DataFrame:
+    found = reputation.enrich(brute_force.detect_brute_force(logs, **WHOLE), _half(logs))
+    return found.select("source_ip", "total_attempts", "severity", "reputation.threat_level")
+
+
+def _flood_reputation(logs: DataFrame) -> DataFrame:
+    found = reputation.flood_reputations(floods.detect_floods(logs, **FLOOD), _half(logs))
+    return found.select(
+        "attack_type", "target_port", "target_protocol", "first_request", "severity",
+        F.explode("source_ip_reputations").alias("ip", "record"),
+    ).select("attack_type", "target_port", "target_protocol", "first_request", "severity", "ip",
+             "record.threat_level", "record.error")
+
+
 def queries() -> dict[str, Query]:
     return {
         # brute force
@@ -124,4 +177,25 @@ def queries() -> dict[str, Query]:
         "top_event_types": over_logs(stats.top_event_types),
         "stats_bundle": over_logs(lambda t: stats.statistics(t, as_of=AS_OF)),
         "time_breakdown": over_logs(lambda t: stats.time_breakdown(t, **WHOLE)),
+        # parsing
+        "parse_auth": over_lines("auth"),
+        "parse_ufw": over_lines("ufw"),
+        "parse_iptables": over_lines("iptables"),
+        "parse_sql": over_lines("sql"),
+        "parse_syslog": over_lines("syslog"),
+        "parse_routed": over_lines(),
+        "parse_unhinted": over_lines(hints=False),
+        "parse_specific_first": over_lines(hints=False, router="specific_first"),
+        "parse_failures": over_logs(lambda t: parsers.failures(_parsed(t, "ufw"))),
+        "ingest_summary": over_logs(lambda t: ingest.ingest_summary(_parsed(t, "auth"))),
+        # reputation
+        "reputation_normalize": over_logs(
+            lambda t: _flat_reputation(reputation.normalize(provider_answers(t)))),
+        "reputation_latest": over_logs(lambda t: _flat_reputation(_reputation(t))),
+        "reputation_known_at": over_logs(lambda t: reputation.known_at(
+            reputation.normalize(provider_answers(t)), AS_OF).select("ip", "threat_level", "cached_at", "is_fresh")),
+        "reputation_lookup": over_logs(_lookup),
+        "logs_enriched": over_logs(_enriched),
+        "brute_force_enriched": over_logs(_brute_enriched),
+        "flood_reputation": over_logs(_flood_reputation),
     }

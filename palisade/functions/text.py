@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed
 
 
+# The characters that count as white space at the ends of a line.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(column: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    return F.btrim(column, F.lit(WHITE_SPACE))
 
 
-def group(column: Column | str, pattern: str, number: int = 1) -> Column:
-    """A capture of the first match; null when the pattern or the group does not match."""
-    return F.nullif(F.regexp_extract(column, pattern, number), F.lit(""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def whole_number(column: Column) -> Column:

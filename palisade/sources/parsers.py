@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
-from palisade.functions.text import group, has_word, named_port, stamped_time, strip, whole_number
+from palisade.functions.text import has_word, let, named_port, stamped_time, strip, whole_number
 from palisade.functions.times import ntz
 
 FIELDS = ("timestamp", "source_ip", "destination_port", "protocol", "log_source", "event_type",
@@ -142,9 +142,10 @@ def sql() -> Column:
     often its minutes. Zero means the default port.
     """
     line, lowered = F.col("line"), F.col("_lower")
-    given = F.coalesce(group(line, fixed.COLON_OR_NAMED_PORT, 1), group(line, fixed.COLON_OR_NAMED_PORT, 2))
-    port = F.when(given.isNotNull(), F.nullif(whole_number(given), F.lit(0))).otherwise(
-        named_port(line, lowered, fixed.SQL_PORT_NAMES))
+    match = F.regexp_extract(line, fixed.COLON_OR_NAMED_PORT, 0)
+    port = let(match, lambda m: F.when(
+        m != "", F.nullif(whole_number(F.regexp_extract(m, r"(?U)\d+", 0)), F.lit(0)),
+    ).otherwise(named_port(line, lowered, fixed.SQL_PORT_NAMES)))
     # Event and severity are decided together; the patterns are tried in order.
     kind = lambda event, severity: F.struct(F.lit(event).alias("event"), F.lit(severity).alias("severity"))
     found = (
@@ -154,9 +155,9 @@ def sql() -> Column:
         .when(line.rlike(fixed.SQL_PORT), kind("SQL_PORT_ACCESS", "HIGH"))
         .otherwise(kind("SQL_ACCESS_ATTEMPT", "HIGH"))
     )
-    detail = F.transform(F.array(found), lambda x: record(
+    detail = let(found, lambda x: record(
         "sql.log", F.col("_ip"), F.coalesce(port, F.lit(fixed.SQL_DEFAULT_PORT)), "TCP", x["event"], x["severity"]))
-    return F.when(F.col("_ip").isNotNull(), F.get(detail, F.lit(0)))
+    return F.when(F.col("_ip").isNotNull(), detail)
 
 
 def syslog() -> Column:
