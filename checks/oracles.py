@@ -338,6 +338,136 @@ _FLOOD_UNION = """flood_all AS (
          avg_request_rate, total_requests, source_ip_count, window_count, ip_list FROM distributed)"""
 
 
+# --- threats and reports ---------------------------------------------------------------
+
+_THREATS = """threat_list AS (
+  SELECT 'brute_force' AS detector, severity FROM brute UNION ALL SELECT 'ddos', severity FROM flood_all
+  UNION ALL SELECT 'port_scan', severity FROM scan)"""
+_SUMMARY = """summary AS (
+  SELECT count(*) FILTER (WHERE detector = 'brute_force') AS total_brute_force_attacks,
+         count(*) FILTER (WHERE detector = 'ddos') AS total_ddos_attacks,
+         count(*) FILTER (WHERE detector = 'port_scan') AS total_port_scan_attacks, count(*) AS total_threats,
+         count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_threats, count(*) FILTER (WHERE severity = 'HIGH') AS high_threats,
+         count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_threats, count(*) FILTER (WHERE severity = 'LOW') AS low_threats
+  FROM threat_list)"""
+_SCORE = """scored AS (
+  SELECT score AS security_score, CASE WHEN score >= 80 THEN 'SECURE' WHEN score >= 60 THEN 'MODERATE'
+         WHEN score >= 40 THEN 'WARNING' ELSE 'CRITICAL' END AS security_status
+  FROM (SELECT greatest(0, 100 - least(20 * critical_threats, 80) - least(10 * high_threats, 60)
+                           - least(5 * medium_threats, 40) - least(low_threats, 20)) AS score FROM summary))"""
+_SOURCES = f"""sources AS (
+  SELECT ip, CAST(sum(b) AS BIGINT) AS brute_force_attacks, CAST(sum(d) AS BIGINT) AS ddos_attacks,
+         CAST(sum(a) AS BIGINT) AS total_attempts, CASE max(r) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+  FROM (SELECT source_ip AS ip, 1 AS b, 0 AS d, total_attempts AS a, {_RANK.format('severity')} AS r FROM brute
+        UNION ALL SELECT unnest(ips), 0, 1, total_requests, {_RANK.format('severity')} FROM flood_all
+        UNION ALL SELECT source_ip, 0, 0, total_attempts, {_RANK.format('severity')} FROM scan)
+  GROUP BY ip),
+top_sources AS (SELECT * FROM sources ORDER BY total_attempts DESC, ip LIMIT 20)"""
+_MALICIOUS = """classed AS (
+  SELECT t.ip, t.total_attempts, coalesce(h.threat_level, 'UNKNOWN') AS threat_level, coalesce(h.reputation_score, 0) AS reputation_score,
+         CASE WHEN h.ip IS NULL THEN 'unknown' WHEN detected OR h.threat_level IN ('CRITICAL', 'HIGH') THEN 'malicious'
+              WHEN h.threat_level = 'MEDIUM' OR coalesce(suspicious_count, 0) > 0 THEN 'suspicious' ELSE 'clean' END AS class
+  FROM top_sources t LEFT JOIN half h ON h.ip = t.ip),
+analysis AS (
+  SELECT count(*) AS total_ips_checked, count(*) FILTER (WHERE class = 'malicious') AS malicious_ips,
+         count(*) FILTER (WHERE class = 'suspicious') AS suspicious_ips, count(*) FILTER (WHERE class = 'clean') AS clean_ips,
+         count(*) FILTER (WHERE class = 'unknown') AS unknown_ips,
+         list(ip || '/' || threat_level ORDER BY total_attempts DESC, ip) FILTER (WHERE class = 'malicious') AS entries,
+         list(ip ORDER BY total_attempts DESC, ip) FILTER (WHERE class = 'malicious') AS names
+  FROM classed)"""
+_PORTS = """top_port_rows AS (
+  SELECT destination_port AS port, count(*) AS n, min(protocol) AS protocol FROM logs
+  WHERE destination_port IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"""
+_ADVICE = """advice_rules AS (
+  SELECT 1 AS rule_no, 0 AS place, 'CRITICAL: ' || critical_threats || ' critical threat(s) detected. Immediate action required - consider blocking source IPs and reviewing firewall rules.' AS text
+  FROM summary WHERE critical_threats > 0
+  UNION ALL SELECT 2, 0, 'High number of brute force attacks detected (' || total_brute_force_attacks || '). Consider implementing IP-based rate limiting and fail2ban.'
+  FROM summary WHERE total_brute_force_attacks > 10
+  UNION ALL SELECT 3, 0, 'DDoS attacks detected (' || total_ddos_attacks || '). Consider implementing DDoS protection services and rate limiting at the firewall level.'
+  FROM summary WHERE total_ddos_attacks > 0
+  UNION ALL SELECT 4, 0, 'High volume of HIGH severity logs (' || count(*) || '). Review and optimize firewall rules to reduce false positives.'
+  FROM logs WHERE severity = 'HIGH' HAVING count(*) > 1000
+  UNION ALL SELECT 5, -n, 'High traffic on port ' || port || ' detected. Ensure this port is properly secured and access is restricted.'
+  FROM top_port_rows WHERE port IN (22, 23, 1433, 3306, 3389)
+  UNION ALL SELECT 6, 0, 'CRITICAL: ' || malicious_ips || ' known malicious IP(s) detected in threat sources. Immediately block these IPs in your firewall: '
+         || array_to_string(list_slice(names, 1, 5), ', ') FROM analysis WHERE malicious_ips > 0
+  UNION ALL SELECT 7, 0, 'Warning: ' || suspicious_ips || ' suspicious IP(s) detected. Monitor these IPs closely and consider implementing additional security measures.'
+  FROM analysis WHERE suspicious_ips > 0),
+advice AS (
+  SELECT * FROM advice_rules UNION ALL
+  SELECT 99, 0, 'No critical issues detected. Continue monitoring and maintain current security posture.'
+  WHERE NOT EXISTS (SELECT 1 FROM advice_rules))"""
+_ISO = "CASE WHEN date_trunc('second', {0}) = {0} THEN strftime({0}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') END"
+_SUMMARY_LINES = (("Total Threats", "total_threats"), ("Critical Threats", "critical_threats"), ("High Threats", "high_threats"),
+                  ("Medium Threats", "medium_threats"), ("Low Threats", "low_threats"))
+_TOP_IP_ROWS = ("(SELECT source_ip, count(*) AS n, count(*) FILTER (WHERE severity = 'HIGH') AS h, count(*) FILTER (WHERE severity = 'MEDIUM') AS m, "
+                "count(*) FILTER (WHERE severity = 'LOW') AS l FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)")
+_BRUTE_LINE = f"source_ip || '|' || total_attempts || '|' || severity || '|' || {_ISO.format('first_attempt')} || '|' || {_ISO.format('last_attempt')}"
+
+
+def _report_lines() -> str:
+    constant = lambda section, line, *texts: [f"SELECT {section} AS section_no, {line} AS line_no, '{t}' AS line" for t in texts]
+    rows = lambda section, text, source: f"SELECT {section}, 2, {text} FROM {source}"
+    parts = [
+        *constant(1, 0, "Firewall Security Report", "Generated:|2100-01-01T00:00:00", "Report Type:|CUSTOM",
+                  "Period:|2000-01-01T00:00:00 to 2100-01-01T00:00:00"),
+        *constant(2, 0, "SUMMARY"), "SELECT 2, 0, 'Total Logs|' || count(*) FROM logs",
+        "SELECT 2, 0, 'Security Score|' || security_score FROM scored", "SELECT 2, 0, 'Security Status|' || security_status FROM scored",
+        *[f"SELECT 2, 0, '{label}|' || {column} FROM summary" for label, column in _SUMMARY_LINES],
+        *constant(3, 0, "LOG STATISTICS - SEVERITY DISTRIBUTION", "Severity|Count"),
+        rows(3, "severity || '|' || count(*)", "logs GROUP BY severity"),
+        *constant(4, 0, "LOG STATISTICS - EVENT TYPE DISTRIBUTION", "Event Type|Count"),
+        rows(4, "event_type || '|' || count(*)", "logs GROUP BY event_type"),
+        *constant(5, 0, "TOP SOURCE IPs", "IP Address|Total Count|HIGH|MEDIUM|LOW"),
+        rows(5, "source_ip || '|' || n || '|' || h || '|' || m || '|' || l", _TOP_IP_ROWS),
+        *constant(6, 0, "TOP PORTS", "Port|Count|Protocol"),
+        rows(6, "port || '|' || n || '|' || coalesce(protocol, '')", "top_port_rows"),
+        *constant(7, 0, "TIME BREAKDOWN", "Time|Total Logs|High Severity"),
+        rows(7, "strftime(date_trunc('day', \"timestamp\"), '%Y-%m-%dT%H:%M:%S') || '|' || count(*) || '|' || count(*) FILTER (WHERE severity = 'HIGH')",
+             "logs GROUP BY date_trunc('day', \"timestamp\")"),
+        *constant(8, 0, "BRUTE FORCE ATTACKS", "Source IP|Total Attempts|Severity|First Attempt|Last Attempt"),
+        rows(8, _BRUTE_LINE, "brute"),
+        *constant(9, 0, "DDOS ATTACKS", "Attack Type|Source IP Count|Total Requests|Peak Rate (req/min)|Target Port|Target Protocol|Severity|First Request|Last Request"),
+        rows(9, "attack_type || '|' || source_ip_count || '|' || total_requests || '|' || CAST(CAST(peak_request_rate AS DOUBLE) AS VARCHAR) || '|' || "
+             "coalesce(CAST(target_port AS VARCHAR), '') || '|' || coalesce(target_protocol, '') || '|' || severity || '|' || "
+             f"{_ISO.format('first_request')} || '|' || {_ISO.format('last_request')}", "flood_all"),
+        *constant(10, 0, "PORT SCAN ATTACKS", "Source IP|Total Attempts|Unique Ports|Severity|First Attempt|Last Attempt"),
+        rows(10, f"source_ip || '|' || total_attempts || '|' || unique_ports_attempted || '|' || severity || '|' || {_ISO.format('first_attempt')} || '|' || {_ISO.format('last_attempt')}", "scan"),
+        *constant(11, 0, "TOP THREAT SOURCES", "IP Address|Brute Force Attacks|DDoS Attacks|Total Attempts|Severity"),
+        rows(11, "ip || '|' || brute_force_attacks || '|' || ddos_attacks || '|' || total_attempts || '|' || severity", "top_sources"),
+        *constant(12, 0, "RECOMMENDATIONS"),
+        rows(12, "row_number() OVER (ORDER BY rule_no, place, text) || '. ' || text", "advice"),
+        *[line for n in range(1, 12) for line in constant(n, 3, "")],
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+def _print_lines() -> str:
+    entry = lambda section, name, value: f"SELECT {section} AS section_no, 0 AS line_no, '{name}|{value}' AS line"
+    of = lambda section, line, text, source: f"SELECT {section}, {line}, {text} FROM {source}"
+    names = ("total_brute_force_attacks", "total_ddos_attacks", "total_port_scan_attacks", "total_threats",
+             "critical_threats", "high_threats", "medium_threats", "low_threats")
+    parts = [
+        entry(1, "title", "CUSTOM Security Report"), entry(1, "generated_at", "2100-01-01T00:00:00"),
+        entry(1, "start", "2000-01-01T00:00:00"), entry(1, "end", "2100-01-01T00:00:00"), entry(1, "report_type", "CUSTOM"),
+        entry(2, "title", "Firewall Security Report"), entry(2, "subtitle", "CUSTOM Report"),
+        entry(2, "generated", "2100-01-01 00:00:00 UTC"), entry(2, "period", "2000-01-01T00:00:00 to 2100-01-01T00:00:00"),
+        of(3, 0, "'total_logs|' || count(*)", "logs"), of(3, 0, "'security_score|' || security_score", "scored"),
+        of(3, 0, "'security_status|' || security_status", "scored"), *[of(3, 0, f"'{n}|' || {n}", "summary") for n in names],
+        of(4, 2, "'severity_distribution|' || severity || '|' || count(*)", "logs GROUP BY severity"),
+        of(4, 2, "'event_type_distribution|' || event_type || '|' || count(*)", "logs GROUP BY event_type"),
+        of(4, 2, "'protocol_distribution|' || protocol || '|' || count(*)", "logs WHERE protocol IS NOT NULL GROUP BY protocol"),
+        "SELECT 5, 0, 'IP Address|Total Count|HIGH|MEDIUM|LOW'",
+        of(5, 2, "source_ip || '|' || n || '|' || h || '|' || m || '|' || l", _TOP_IP_ROWS),
+        "SELECT 6, 0, 'Source IP|Total Attempts|Severity|First Attempt|Last Attempt'", of(6, 2, _BRUTE_LINE, "brute"),
+        "SELECT 7, 0, 'Attack Type|Source IPs|Total Requests|Peak Rate|Target Port|Severity'",
+        of(7, 2, "attack_type || '|' || source_ip_count || '|' || total_requests || '|' || printf('%.2f req/min', CAST(peak_request_rate AS DOUBLE)) || '|' || "
+           "coalesce(CAST(nullif(target_port, 0) AS VARCHAR), '') || '|' || severity", "flood_all"),
+        of(8, 2, "text", "advice"),
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
 def statements() -> dict[str, str]:
     flood_parts = (*SINGLE_PARTS, SINGLE_DETECTIONS, *TARGET_PARTS, TARGET_DETECTIONS)
     detections = (*BRUTE_PARTS, BRUTE_DETECTIONS, *SCAN_PARTS, SCAN_DETECTIONS, *flood_parts)
@@ -487,4 +617,78 @@ FROM (SELECT DISTINCT source_ip AS ip FROM logs) i LEFT JOIN half h ON h.ip = i.
             "FROM (SELECT * EXCLUDE (ips), unnest(ips) AS ip FROM flood_all) d LEFT JOIN half h ON h.ip = d.ip",
             *flood_parts, _FLOOD_UNION, *REPUTATION_PARTS),
     })
+    # threats, reports and the dashboard
+    seen = (*detections, _FLOOD_UNION, _THREATS, _SUMMARY, _SCORE, _SOURCES)
+    full = (*seen, *REPUTATION_PARTS, _MALICIOUS, _PORTS, _ADVICE)
+    out.update({
+        "flood_detections": rec(
+            "SELECT attack_type, array_to_string(ips, ',') AS source_ips, source_ip_count, total_requests, "
+            "round(peak_request_rate, 4) AS peak_request_rate, round(avg_request_rate, 4) AS avg_request_rate, target_port, "
+            "target_protocol, first_request, last_request, window_count, severity FROM flood_all", *flood_parts, _FLOOD_UNION),
+        "flood_filter": rec(
+            "SELECT attack_type, target_port, target_protocol, total_requests, severity FROM flood_all "
+            "WHERE severity = 'CRITICAL' AND list_contains(ips, '10.0.0.3')", *flood_parts, _FLOOD_UNION),
+        "threat_summary": rec("SELECT * FROM summary", *seen),
+        "threat_levels": rec("SELECT detector, severity, count(*) AS detections FROM threat_list GROUP BY ROLLUP (detector, severity)", *seen),
+        "active_threats": rec("SELECT critical_threats + high_threats AS active_threats FROM summary", *seen),
+        "security_score": rec("SELECT * FROM scored", *seen),
+        "threat_sources": rec("SELECT * FROM sources", *seen),
+        "top_threat_sources": rec("SELECT * FROM top_sources", *seen),
+        "threat_source_reputation": rec("SELECT * FROM classed", *full),
+        "malicious_ip_analysis": rec(
+            "SELECT * EXCLUDE (entries, names), coalesce(array_to_string(entries, ','), '') AS malicious_ip_list FROM analysis", *full),
+        "threat_labels": rec(
+            """SELECT label, source, count(*) AS detections FROM (
+  SELECT 'Brute Force' AS label, source_ip AS source FROM brute UNION ALL SELECT 'Port Scan', source_ip FROM scan
+  UNION ALL SELECT replace(attack_type, '_', ' '), 'Unknown' FROM flood_all) GROUP BY ALL""", *seen),
+        "active_alerts": rec(
+            f"""SELECT type, source_ip, severity, detected_at, description, threat_count FROM (
+  SELECT 'BRUTE_FORCE' AS type, source_ip, severity, last_attempt AS detected_at,
+         'Brute force attack: ' || total_attempts || ' failed login attempts' AS description, total_attempts AS threat_count
+  FROM (SELECT * FROM brute ORDER BY total_attempts DESC, source_ip LIMIT 5)
+  UNION ALL SELECT 'DDOS', ips[1], severity, last_request,
+         CASE attack_type WHEN 'DISTRIBUTED_FLOOD' THEN 'Distributed DDoS: ' || source_ip_count || ' IPs, ' || total_requests || ' requests'
+              ELSE 'Single IP flood: ' || total_requests || ' requests' END, total_requests
+  FROM (SELECT * FROM flood_all ORDER BY {_RANK.format('severity')} DESC, peak_request_rate DESC, array_to_string(ips, ',') LIMIT 5)
+  UNION ALL SELECT 'PORT_SCAN', source_ip, severity, last_attempt,
+         'Port scan detected: ' || unique_ports_attempted || ' unique ports attempted', total_attempts
+  FROM (SELECT * FROM scan ORDER BY {_RANK.format('severity')} DESC, unique_ports_attempted DESC, total_attempts DESC, source_ip LIMIT 5))
+WHERE severity IN ('CRITICAL', 'HIGH')
+ORDER BY {_RANK.format('severity')} DESC, detected_at DESC, type, source_ip, description LIMIT 10""", *seen),
+        "recommendations": rec("SELECT rule_no, text FROM advice", *full),
+        "report_summary": rec(
+            "SELECT (SELECT count(*) FROM logs) AS total_logs, scored.*, summary.* FROM scored, summary", *full),
+        "report_sections": rec(_report_lines(), *full),
+        "report_print_sections": rec(_print_lines(), *full),
+        "report_json": rec(
+            """SELECT 'report' AS section, 1 AS rows, 0 AS with_severity
+UNION ALL SELECT 'severity_distribution', count(DISTINCT severity), count(DISTINCT severity) FROM logs
+UNION ALL SELECT 'event_type_distribution', count(DISTINCT event_type), 0 FROM logs
+UNION ALL SELECT 'protocol_distribution', count(DISTINCT protocol), 0 FROM logs
+UNION ALL SELECT 'top_source_ips', least(10, count(DISTINCT source_ip)), 0 FROM logs
+UNION ALL SELECT 'top_ports', count(*), 0 FROM top_port_rows
+UNION ALL SELECT 'time_breakdown', count(DISTINCT date_trunc('day', "timestamp")), 0 FROM logs
+UNION ALL SELECT 'brute_force_attacks', count(*), count(*) FROM brute
+UNION ALL SELECT 'ddos_attacks', count(*), count(*) FROM flood_all
+UNION ALL SELECT 'port_scan_attacks', count(*), count(*) FROM scan
+UNION ALL SELECT 'top_threat_sources', count(*), count(*) FROM top_sources
+UNION ALL SELECT 'malicious_ip_analysis', count(*), 0 FROM analysis
+UNION ALL SELECT 'recommendations', count(*), 0 FROM advice""", *full),
+        "dashboard_top_ips": over_logs(
+            """SELECT l.source_ip, count(*) AS total_logs, count(*) FILTER (WHERE severity = 'HIGH') AS high,
+  count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low,
+  any_value(s.seen) AS last_seen
+FROM logs l JOIN (SELECT source_ip, max("timestamp") AS seen FROM logs GROUP BY source_ip) s ON s.source_ip = l.source_ip
+WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-30 00:02:00'
+GROUP BY l.source_ip ORDER BY 2 DESC, 1 LIMIT 10"""),
+        "health_24h": over_logs(
+            """SELECT count(*) FILTER (WHERE recent) AS total_logs_24h, count(*) FILTER (WHERE recent AND severity = 'HIGH') AS high_severity_logs_24h,
+  max("timestamp") AS last_log_timestamp
+FROM (SELECT *, "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-30 00:02:00' AS recent FROM logs)"""),
+        "dashboard_score": rec(
+            """SELECT CAST(CASE WHEN t = 0 THEN 100 ELSE floor((greatest(0, 100 - 20 * critical_threats - 10 * high_threats)
+  + greatest(0, 100 - (h * 1.0 / t) * 50)) / 2 + 0.5) END AS BIGINT) AS score
+FROM summary, (SELECT count(*) AS t, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM logs
+  WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-30 00:02:00')""", *seen),
+    })
     return out

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.feeds import provider_answers
+from palisade.functions.text import format_ip, format_threat_type
 from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
+from palisade.plans import dashboard, export, report, threats
+from palisade.plans.threats import Detections, DetectorSettings
 from palisade.session import configure
 from palisade.sources import ingest, parsers
 from palisade.sources.event_view import logs_as_lines, read_logs
@@ -133,6 +136,64 @@ def _flood_reputation(logs: DataFrame) -> DataFrame:
              "record.threat_level", "record.error")
 
 
+SETTINGS = DetectorSettings(floods={
+    k: v for k, v in FLOOD.items() if k not in WHOLE})
+
+
+def _found(logs: DataFrame) -> Detections:
+    return threats.detect_all(logs, **WHOLE, settings=SETTINGS)
+
+
+def over_detections(operator: Callable[[Detections], DataFrame]) -> Query:
+    return over_logs(lambda logs: operator(_found(logs)))
+
+
+def _flood_detections(logs: DataFrame) -> DataFrame:
+    found = floods.detect_floods(logs, **FLOOD).select(
+        "attack_type", joined("source_ips"), "source_ip_count", "total_requests", "peak_request_rate",
+        "avg_request_rate", "target_port", "target_protocol", "first_request", "last_request", "window_count", "severity")
+    return rounded(found, "peak_request_rate", "avg_request_rate")
+
+
+def _flood_filter(logs: DataFrame) -> DataFrame:
+    found = floods.detect_floods(logs, **FLOOD)
+    mine = filters.from_source(filters.of_severity(found, "CRITICAL"), "10.0.0.3")
+    return mine.select("attack_type", "target_port", "target_protocol", "total_requests", "severity")
+
+
+def _top_with_reputation(logs: DataFrame) -> DataFrame:
+    return threats.source_reputations(threats.top_threat_sources(_found(logs)), _half(logs)).select(
+        "ip", "total_attempts", "threat_level", "reputation_score", "class")
+
+
+def _malicious(logs: DataFrame) -> DataFrame:
+    found = threats.malicious_ip_analysis(threats.top_threat_sources(_found(logs)), _half(logs))
+    return found.withColumn("malicious_ip_list", F.array_join(
+        F.transform("malicious_ip_list", lambda x: F.concat_ws("/", x["ip"], x["threat_level"])), ","))
+
+
+def _report(logs: DataFrame):
+    return report.custom_report(logs, _half(logs), **WHOLE, settings=SETTINGS)
+
+
+def _lines(sections: DataFrame) -> DataFrame:
+    return sections.select("section_no", "line_no", F.array_join("cells", "|").alias("line"))
+
+
+def _dashboard_score(logs: DataFrame) -> DataFrame:
+    return dashboard.score(threats.threat_summary(_found(logs)), dashboard.health(logs, AS_OF))
+
+
+def _labels(logs: DataFrame) -> DataFrame:
+    """Display labels of the detections, and of a source that is missing."""
+    found = _found(logs)
+    kinds = (found.brute_force.select(F.lit("brute-force").alias("kind"), "source_ip")
+             .unionByName(found.port_scans.select(F.lit("PortScan").alias("kind"), "source_ip"))
+             .unionByName(found.floods.select(F.col("attack_type").alias("kind"), F.lit(None).cast("string").alias("source_ip"))))
+    return kinds.select(format_threat_type("kind").alias("label"), format_ip("source_ip").alias("source")).groupBy(
+        "label", "source").agg(F.count("*").alias("detections"))
+
+
 def queries() -> dict[str, Query]:
     return {
         # brute force
@@ -198,4 +259,26 @@ def queries() -> dict[str, Query]:
         "logs_enriched": over_logs(_enriched),
         "brute_force_enriched": over_logs(_brute_enriched),
         "flood_reputation": over_logs(_flood_reputation),
+        # threats, reports and the dashboard
+        "flood_detections": over_logs(_flood_detections),
+        "flood_filter": over_logs(_flood_filter),
+        "threat_summary": over_detections(threats.threat_summary),
+        "threat_levels": over_detections(threats.threat_levels),
+        "active_threats": over_detections(lambda d: threats.active_threats(threats.threat_summary(d))),
+        "security_score": over_detections(lambda d: threats.security_score(threats.threat_summary(d))),
+        "threat_sources": over_detections(threats.threat_sources),
+        "top_threat_sources": over_detections(threats.top_threat_sources),
+        "threat_source_reputation": over_logs(_top_with_reputation),
+        "malicious_ip_analysis": over_logs(_malicious),
+        "threat_labels": over_logs(_labels),
+        "active_alerts": over_detections(threats.active_alerts),
+        "recommendations": over_logs(lambda t: _report(t).recommendations.select("rule_no", "text")),
+        "report_summary": over_logs(lambda t: _report(t).summary),
+        "report_sections": over_logs(lambda t: _lines(export.csv_sections(_report(t)))),
+        "report_print_sections": over_logs(lambda t: _lines(export.print_sections(_report(t)))),
+        "report_json": over_logs(lambda t: export.json_sections(_report(t)).groupBy("section").agg(
+            F.count("*").alias("rows"), F.count(F.get_json_object("json", "$.severity")).alias("with_severity"))),
+        "dashboard_top_ips": over_logs(lambda t: dashboard.top_ips(t, AS_OF)),
+        "health_24h": over_logs(lambda t: dashboard.health(t, AS_OF)),
+        "dashboard_score": over_logs(_dashboard_score),
     }

@@ -35,15 +35,17 @@ class _Section:
     def fixed(self, line_no: int, *lines: list[Column | str], only_if: DataFrame | None = None) -> _Section:
         """Constant lines; with ``only_if`` they appear when that frame has a row."""
         row = self.anchor if only_if is None else only_if.limit(1)
-        as_cell = lambda v: v if isinstance(v, Column) else F.lit(v)
+        as_cell = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("string")
         cells = F.array(*[
             F.struct(F.lit(i).alias("i"), F.array(*[as_cell(v) for v in line]).cast("array<string>").alias("cells"))
             for i, line in enumerate(lines)])
         exploded = row.select(F.explode(cells).alias("x"))
         return self._add(exploded, line_no, F.col("x.cells"), F.col("x.i"), F.lit(0), F.lit(""))
 
-    def rows(self, frame: DataFrame, cells: list, key_1: Column, key_2: Column = F.lit(0), tie: Column = F.lit("")) -> _Section:
-        return self._add(frame, 2, F.array(*[_text(c) for c in cells]), key_1, key_2, tie)
+    def rows(self, frame: DataFrame, cells: list, key_1: Column, key_2: Column | None = None,
+             tie: Column | None = None) -> _Section:
+        return self._add(frame, 2, F.array(*[_text(c) for c in cells]), key_1,
+                         F.lit(0) if key_2 is None else key_2, F.lit("") if tie is None else tie)
 
     def blank(self, only_if: DataFrame | None = None) -> _Section:
         return self.fixed(3, [], only_if=only_if)
