@@ -16,7 +16,7 @@ from palisade.functions.times import SECOND, from_micros, lookback, micros
 from palisade.operators import params
 from palisade.operators.filters import in_range
 from palisade.operators.windows import Slots, ahead_counts, greedy_windows, in_windows
-from palisade.session import settle
+from palisade.session import settle, together
 
 LOOKBACK_HOURS = 1
 WINDOW_ATTACKERS = 10
@@ -295,10 +295,11 @@ def detect_floods(
     **scope,
 ) -> DataFrame:
     """Both kinds together; fields of the other kind are null."""
-    return detect_single_floods(logs, window_seconds, single_ip_threshold, **scope).unionByName(
-        detect_distributed_floods(logs, window_seconds, distributed_ip_count,
-                                  distributed_request_threshold, **scope),
-        allowMissingColumns=True)
+    single, distributed = together(
+        lambda: detect_single_floods(logs, window_seconds, single_ip_threshold, **scope),
+        lambda: detect_distributed_floods(logs, window_seconds, distributed_ip_count,
+                                          distributed_request_threshold, **scope))
+    return single.unionByName(distributed, allowMissingColumns=True)
 
 
 def ordered(detections: DataFrame) -> DataFrame:

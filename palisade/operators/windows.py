@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.text import let
 from palisade.functions.times import HOUR, from_micros
 
 WIDTHS_PER_SLOT = 16
@@ -185,10 +186,10 @@ def _carried_entries(tables: DataFrame, keys: Sequence[str], slots: Slots) -> Da
     # Follow the positions from window to window until they stay: each round doubles the
     # number of steps, and a slot has room for length / width + 1 windows.
     count = F.size("row")
-    hops = open_slots.withColumn(
-        "hop", F.transform("row", lambda x, i: F.when(x["beyond"] >= count, i).otherwise(x["beyond"])))
+    hop = F.transform("row", lambda x, i: F.when(x["beyond"] >= count, i).otherwise(x["beyond"]))
     for _ in range(math.ceil(math.log2(length / max(width, 1) + 2))):
-        hops = hops.withColumn("hop", F.transform("hop", lambda j: F.get(F.col("hop"), j)))
+        hop = let(hop, lambda h: F.transform(h, lambda j: F.get(h, j)))
+    hops = open_slots.withColumn("hop", hop)
 
     early = F.size(F.filter("row", lambda x: x["at"] <= first_slot_instant + width))
     offered = F.when(F.col("carried"), early + 1).otherwise(1)

@@ -13,7 +13,7 @@ from palisade.operators import stats
 from palisade.operators.filters import in_range
 from palisade.plans import threats
 from palisade.plans.threats import Detections, DetectorSettings
-from palisade.session import settle
+from palisade.session import settle, together
 
 # Ports worth a warning among the busiest ones.
 WARNED_PORTS = (22, 23, 1433, 3306, 3389)
@@ -53,10 +53,11 @@ def security_report(
     """All parts of a report over one period."""
     scope = in_range(logs, start, end)
     found = threats.detect_all(logs, start, end, settings)
-    summary = settle(threats.threat_summary(found), "threat-summary")
-    top = settle(threats.top_threat_sources(found), "threat-sources")
-    severities = settle(stats.count_by(scope, "severity"), "severities")
-    ports = settle(stats.top_ports(scope), "top-ports")
+    summary, top, severities, ports = together(
+        lambda: settle(threats.threat_summary(found), "threat-summary"),
+        lambda: settle(threats.top_threat_sources(found), "threat-sources"),
+        lambda: settle(stats.count_by(scope, "severity"), "severities"),
+        lambda: settle(stats.top_ports(scope), "top-ports"))
     malicious = settle(threats.malicious_ip_analysis(top, reputation), "malicious-ips")
     return Report(
         kind, start, end, generated or end,

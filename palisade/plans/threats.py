@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palisade.functions.severity import of_rank, rank
 from palisade.operators import brute_force, floods, port_scan
 from palisade.operators.reputation import classify, lookup
-from palisade.session import settle
+from palisade.session import settle, together
 
 TOP_SOURCES = 20
 ALERTS_PER_DETECTOR = 5
@@ -47,11 +47,11 @@ def detect_all(
 ) -> Detections:
     """Run the detectors over a period. Each reads only its columns and days."""
     scope = {"start": start, "end": end}
-    return Detections(
-        settle(brute_force.detect_brute_force(logs, **settings.brute_force, **scope), "brute-force"),
-        settle(floods.detect_floods(logs, **settings.floods, **scope), "floods"),
-        settle(port_scan.detect_port_scan(logs, **settings.port_scan, **scope), "port-scans"),
-    )
+    return Detections(*together(
+        lambda: settle(brute_force.detect_brute_force(logs, **settings.brute_force, **scope), "brute-force"),
+        lambda: settle(floods.detect_floods(logs, **settings.floods, **scope), "floods"),
+        lambda: settle(port_scan.detect_port_scan(logs, **settings.port_scan, **scope), "port-scans"),
+    ))
 
 
 def _listed(found: Detections) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Applied by configure(); all of them are runtime-settable.
@@ -17,6 +20,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Applied when a session is built; they cannot be changed later.
+BUILD_CONF = {
+    # Looking up the Python call site of every column expression costs more time on the
+    # driver than planning does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(master: str | None = None, app: str = "palisade", **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
@@ -27,7 +37,7 @@ def build_session(master: str | None = None, app: str = "palisade", **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **BUILD_CONF}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
@@ -65,3 +75,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_folder(df.sparkSession), "palisade", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent pieces that start Spark jobs at the same time, in order of result.
+
+    A single piece seldom fills a cluster through all its stages; several fill the gaps.
+    """
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
