@@ -468,6 +468,16 @@ def _print_lines() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+# --- retention: the oldest rows go in batches of 70 until a third of the bytes is left ----
+
+_SIZED = """sized AS (
+  SELECT *, strlen(raw_log) + 200 AS bytes, row_number() OVER (ORDER BY "timestamp", log_id) AS place FROM logs)"""
+_GONE = """gone AS (
+  SELECT least((SELECT count(*) FROM sized), CAST(ceil(min(place) / 70.0) AS BIGINT) * 70) AS n
+  FROM (SELECT place, sum(bytes) OVER (ORDER BY place) AS gone_bytes FROM sized)
+  WHERE (SELECT sum(bytes) FROM sized) - gone_bytes <= (SELECT CAST(sum(bytes) AS BIGINT) // 3 FROM sized))"""
+
+
 def statements() -> dict[str, str]:
     flood_parts = (*SINGLE_PARTS, SINGLE_DETECTIONS, *TARGET_PARTS, TARGET_DETECTIONS)
     detections = (*BRUTE_PARTS, BRUTE_DETECTIONS, *SCAN_PARTS, SCAN_DETECTIONS, *flood_parts)
@@ -691,4 +701,11 @@ FROM (SELECT *, "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 2
 FROM summary, (SELECT count(*) AS t, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM logs
   WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-30 00:02:00')""", *seen),
     })
+    out.update({
+        "retention_keep": over_logs(
+            'SELECT log_id, "timestamp", source_ip, raw_log FROM sized WHERE place > (SELECT n FROM gone)', _SIZED, _GONE),
+        "retention_cut": over_logs(
+            'SELECT count(*) AS deleted_rows, max("timestamp") AS cut_at, CAST(sum(bytes) AS BIGINT) AS deleted_bytes '
+            "FROM sized WHERE place <= (SELECT n FROM gone)", _SIZED, _GONE),
+    })
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from checks.feeds import provider_answers
 from palisade.functions.text import format_ip, format_threat_type
 from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
-from palisade.plans import dashboard, export, report, threats
+from palisade.plans import dashboard, export, report, retention, threats
 from palisade.plans.threats import Detections, DetectorSettings
 from palisade.session import configure
 from palisade.sources import ingest, parsers
@@ -26,6 +26,7 @@ SINGLE = {"window_seconds": 60, "single_ip_threshold": 8, **WHOLE}
 SPREAD = {"window_seconds": 60, "distributed_ip_count": 3, "distributed_request_threshold": 20, **WHOLE}
 FLOOD = {**SINGLE, **SPREAD}
 AS_OF = datetime(2024, 1, 30, 0, 2)
+RETENTION_BATCH = 70
 REFERENCE_TIME = datetime(2024, 6, 1, 12)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,22 @@ def _labels(logs: DataFrame) -> DataFrame:
         "label", "source").agg(F.count("*").alias("detections"))
 
 
+def _retained(logs: DataFrame) -> DataFrame:
+    """Keep about a third: the limit follows from the size of the log itself."""
+    return retention.retained(logs, _limit(logs), RETENTION_BATCH)
+
+
+def _limit(logs: DataFrame) -> int:
+    return int(logs.agg(F.sum(retention.row_bytes()).alias("b")).first()["b"]) // 3
+
+
+def _cut(logs: DataFrame) -> DataFrame:
+    cut = retention.find_cut(logs, _limit(logs), RETENTION_BATCH)
+    return logs.where(~retention.after(cut)).agg(
+        F.count("*").alias("deleted_rows"), F.max("timestamp").alias("cut_at"),
+        F.sum(retention.row_bytes()).alias("deleted_bytes"))
+
+
 def queries() -> dict[str, Query]:
     return {
         # brute force
@@ -281,4 +298,7 @@ def queries() -> dict[str, Query]:
         "dashboard_top_ips": over_logs(lambda t: dashboard.top_ips(t, AS_OF)),
         "health_24h": over_logs(lambda t: dashboard.health(t, AS_OF)),
         "dashboard_score": over_logs(_dashboard_score),
+        # retention
+        "retention_keep": over_logs(lambda t: _retained(t).select("log_id", "timestamp", "source_ip", "raw_log")),
+        "retention_cut": over_logs(_cut),
     }
