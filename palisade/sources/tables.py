@@ -18,6 +18,16 @@ def read_lines(spark: SparkSession, path: str, log_source_hint: str | None = Non
     )
 
 
+def balanced(rows: DataFrame) -> DataFrame:
+    """Spread rows over all cores when their files give fewer tasks than that.
+
+    Parsing is heavy per row, and a small file is a single task. A large input already has
+    more tasks than cores and is left as it is: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def append_logs(logs: DataFrame, path: str) -> None:
     """Append records to the log table.
 
