@@ -313,7 +313,7 @@ REPUTATION_PARTS = ("""answers AS (
          CASE WHEN known THEN m + s + u END AS total_engines,
          CASE WHEN known THEN strftime(make_timestamp((1700000000 + c) * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%S') END AS last_analysis_date,
          CASE WHEN known THEN CASE WHEN c % 5 = 0 THEN '' ELSE 'C' || CAST(c % 5 AS VARCHAR) END END AS country,
-         CASE WHEN known THEN 1000 + c % 50 END AS asn,
+         CAST(CASE WHEN known THEN 1000 + c % 50 END AS BIGINT) AS asn,
          CASE WHEN known THEN 'owner' || CAST(c % 4 AS VARCHAR) END AS as_owner,
          CASE WHEN known THEN array_to_string(list_sort(list_distinct(['kind' || CAST(c % 3 AS VARCHAR), 'kind' || CAST(c % 2 AS VARCHAR)])), ',')
               ELSE '' END AS categories,
@@ -331,7 +331,7 @@ _LIFTED = ("CASE WHEN h.detected AND h.threat_level IN ('MEDIUM', 'HIGH', 'CRITI
            + _RANK.format("h.threat_level") + " > " + _RANK.format("{0}.severity") + " THEN h.threat_level ELSE {0}.severity END AS severity")
 _FLOOD_UNION = """flood_all AS (
   SELECT 'SINGLE_IP_FLOOD' AS attack_type, NULL::INTEGER AS target_port, NULL::VARCHAR AS target_protocol, first_request,
-         last_request, severity, peak_request_rate, avg_request_rate, total_requests, 1 AS source_ip_count, window_count,
+         last_request, severity, peak_request_rate, avg_request_rate, total_requests, CAST(1 AS BIGINT) AS source_ip_count, window_count,
          [source_ip] AS ips FROM single
   UNION ALL
   SELECT 'DISTRIBUTED_FLOOD', target_port, target_protocol, first_request, last_request, severity, peak_request_rate,

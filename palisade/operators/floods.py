@@ -127,25 +127,25 @@ def detect_single_floods(
             F.count("*").alias("window_count"),
             F.max("request_rate_per_min").alias("peak_request_rate")),
         "flood-sources")
-    # Ports and protocols of the flagged sources; distinct first, so a list is as short as
-    # the set of ports that exist.
-    seen = rows.join(flagged, "source_ip", "left_semi")
-    values = lambda column, empty: (
-        seen.where(F.col(column) != empty).select("source_ip", column).distinct()
-        .groupBy("source_ip").agg(F.sort_array(F.collect_list(column)).alias(f"target_{column.split('_')[-1]}s")))
+    # Ports and protocols of the flagged sources. Distinct first: what is then listed is no
+    # longer than the set of ports that exist.
+    seen = (
+        rows.join(flagged, "source_ip", "left_semi")
+        .select("source_ip", "destination_port", "protocol").distinct()
+    )
+    targets = seen.groupBy("source_ip").agg(
+        F.sort_array(F.collect_set(F.nullif("destination_port", F.lit(0)))).alias("target_ports"),
+        F.sort_array(F.collect_set(F.nullif("protocol", F.lit("")))).alias("target_protocols"))
     return (
         _key_totals(nodes, ["source_ip"]).join(flagged, "source_ip")
-        .join(values("destination_port", 0), "source_ip", "left")
-        .join(values("protocol", ""), "source_ip", "left")
+        .join(targets, "source_ip")
         .withColumn("severity", by_bounds(SINGLE_FLOOD_BOUNDS))
         .select(
             F.lit("SINGLE_IP_FLOOD").alias("attack_type"),
             F.array("source_ip").alias("source_ips"),
             F.lit(1).cast("bigint").alias("source_ip_count"),
             "total_requests", "peak_request_rate", "avg_request_rate",
-            F.coalesce("target_ports", F.array().cast("array<int>")).alias("target_ports"),
-            F.coalesce("target_protocols", F.array().cast("array<string>")).alias("target_protocols"),
-            "first_request", "last_request", "window_count", "severity",
+            "target_ports", "target_protocols", "first_request", "last_request", "window_count", "severity",
         )
     )
 

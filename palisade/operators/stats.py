@@ -47,19 +47,43 @@ def logs_by_hour(
     )
 
 
-def time_breakdown(logs: DataFrame, start: datetime, end: datetime, kind: str = "CUSTOM") -> DataFrame:
-    """Rows, and HIGH rows, per hour or per day of a report period.
-
-    DAILY reports use hours, WEEKLY ones days, others hours up to a span of seven days.
-    """
+def report_bucket(start: datetime, end: datetime, kind: str):
+    """The time bucket of a report: hours for DAILY, days for WEEKLY, and otherwise hours up
+    to a span of seven days."""
     hourly = kind == "DAILY" or (kind != "WEEKLY" and end - start < timedelta(days=7))
-    bucket = hour_text("timestamp") if hourly else day_text("timestamp")
-    return in_range(logs, start, end).groupBy(bucket.alias("time")).agg(
+    return hour_text("timestamp") if hourly else day_text("timestamp")
+
+
+def time_breakdown(logs: DataFrame, start: datetime, end: datetime, kind: str = "CUSTOM") -> DataFrame:
+    """Rows, and HIGH rows, per hour or per day of a report period."""
+    return in_range(logs, start, end).groupBy(report_bucket(start, end, kind).alias("time")).agg(
         F.count("*").alias("count"),
         F.count_if(F.col("severity") == "HIGH").alias("high_severity"),
     )
 
 
+def profile(logs: DataFrame, start: datetime, end: datetime, kind: str = "CUSTOM") -> DataFrame:
+    """Rows per severity, event type, protocol and time bucket of a period.
+
+    These columns have few values, so the result is small; a report takes all its
+    distributions from it and reads the log once for them.
+    """
+    return in_range(logs, start, end).groupBy(
+        "severity", "event_type", "protocol", report_bucket(start, end, kind).alias("time"),
+    ).agg(F.count("*").alias("count"))
+
+
+def profile_counts(profile_rows: DataFrame, column: str) -> DataFrame:
+    """``count_by`` from a profile."""
+    return profile_rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("count").alias("count"))
+
+
+def profile_times(profile_rows: DataFrame) -> DataFrame:
+    """``time_breakdown`` from a profile."""
+    high = F.when(F.col("severity") == "HIGH", F.col("count")).otherwise(0)
+    return profile_rows.groupBy("time").agg(F.sum("count").alias("count"), F.sum(high).alias("high_severity"))
+
+
 def ip_counts(logs: DataFrame) -> DataFrame:
     """Rows per source with its severity counts, in one grouping."""
     return logs.where(F.col("source_ip").isNotNull()).groupBy("source_ip").agg(

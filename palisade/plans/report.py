@@ -53,21 +53,22 @@ def security_report(
     """All parts of a report over one period."""
     scope = in_range(logs, start, end)
     found = threats.detect_all(logs, start, end, settings)
-    summary, top, severities, ports = together(
+    summary, top, profile, ports = together(
         lambda: settle(threats.threat_summary(found), "threat-summary"),
         lambda: settle(threats.top_threat_sources(found), "threat-sources"),
-        lambda: settle(stats.count_by(scope, "severity"), "severities"),
+        lambda: settle(stats.profile(logs, start, end, kind), "profile"),
         lambda: settle(stats.top_ports(scope), "top-ports"))
+    severities = stats.profile_counts(profile, "severity")
     malicious = settle(threats.malicious_ip_analysis(top, reputation), "malicious-ips")
     return Report(
         kind, start, end, generated or end,
-        summary=report_summary(scope, summary),
+        summary=report_summary(profile, summary),
         severities=severities,
-        event_types=stats.count_by(scope, "event_type"),
-        protocols=stats.count_by(scope, "protocol"),
+        event_types=stats.profile_counts(profile, "event_type"),
+        protocols=stats.profile_counts(profile, "protocol"),
         top_ips=stats.top_ips(scope),
         top_ports=ports,
-        time_breakdown=stats.time_breakdown(logs, start, end, kind),
+        time_breakdown=stats.profile_times(profile),
         detections=found,
         top_sources=top,
         malicious_ips=malicious,
@@ -95,9 +96,9 @@ def custom_report(logs: DataFrame, reputation: DataFrame, start: datetime, end:
     return security_report(logs, reputation, start, end, "CUSTOM", as_of, **more)
 
 
-def report_summary(scope: DataFrame, summary: DataFrame) -> DataFrame:
+def report_summary(profile: DataFrame, summary: DataFrame) -> DataFrame:
     """Total rows, score, status and threat counts as one row."""
-    total = scope.agg(F.count("*").alias("total_logs"))
+    total = profile.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_logs"))
     one = F.lit(1).alias("one")
     scored = threats.security_score(summary).select(one, "*")
     return (

@@ -28,6 +28,9 @@ BUILD_CONF = {
 }
 
 
+_settled: list[str] = []
+
+
 def build_session(master: str | None = None, app: str = "palisade", **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
 
@@ -74,9 +77,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = os.path.join(shared_folder(df.sparkSession), "palisade", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_settled(spark: SparkSession) -> None:
+    """Delete what this process settled. Call it when no frame built on it is needed."""
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent pieces that start Spark jobs at the same time, in order of result.
 
