@@ -93,5 +93,6 @@ def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
 
     A single piece seldom fills a cluster through all its stages; several fill the gaps.
     """
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
