@@ -64,12 +64,19 @@ def _target_columns() -> list:
     ]
 
 
-def _tumbling(nodes: DataFrame, keys: list[str], window_seconds: int, threshold: int) -> DataFrame:
+def _tumbling(rows: DataFrame, keys: list[str], window_seconds: int, threshold: int) -> DataFrame:
     """Windows with at least ``threshold`` rows: keys, ``opened``, ``closed``, ``request_count``.
 
-    A window closes one width after it opened, or with the last row of its key.
+    A window closes one width after it opened, or with the last row of its key. Only keys
+    that somewhere have enough rows within one width can have such a window. They are found
+    first, by counting alone, and written; all other keys stay out of the window choice,
+    which for floods has every instant as a candidate.
     """
     slots = Slots.of(window_seconds * SECOND)
+    busy = settle(
+        ahead_counts(_per_instant(rows, keys), keys, slots)
+        .where((F.col("side") == 0) & (F.col("n") >= threshold)).select(*keys).distinct(), "busy-keys")
+    nodes = _per_instant(rows.join(busy, keys, "left_semi"), keys)
     chosen = greedy_windows(ahead_counts(nodes, keys, slots), keys, slots, ["n"]).where(F.col("n") >= threshold)
     ends = nodes.groupBy(*keys).agg(F.max("at").alias("last"))
     return chosen.join(ends, keys).select(
@@ -108,8 +115,8 @@ def single_flood_windows(
 ) -> DataFrame:
     """Attack windows of single sources."""
     params.check(window_seconds=window_seconds, single_ip_threshold=single_ip_threshold)
-    nodes = _per_instant(_sources(flood_rows(logs, **scope)), ["source_ip"])
-    return _dated(_tumbling(nodes, ["source_ip"], window_seconds, single_ip_threshold))
+    rows = _sources(flood_rows(logs, **scope))
+    return _dated(_tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold))
 
 
 def detect_single_floods(
@@ -121,23 +128,20 @@ def detect_single_floods(
     """One row per flooding source."""
     params.check(window_seconds=window_seconds, single_ip_threshold=single_ip_threshold)
     rows = _sources(flood_rows(logs, **scope))
-    nodes = _per_instant(rows, ["source_ip"])
     flagged = settle(
-        _tumbling(nodes, ["source_ip"], window_seconds, single_ip_threshold).groupBy("source_ip").agg(
+        _tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold).groupBy("source_ip").agg(
             F.count("*").alias("window_count"),
             F.max("request_rate_per_min").alias("peak_request_rate")),
         "flood-sources")
     # Ports and protocols of the flagged sources. Distinct first: what is then listed is no
     # longer than the set of ports that exist.
-    seen = (
-        rows.join(flagged, "source_ip", "left_semi")
-        .select("source_ip", "destination_port", "protocol").distinct()
-    )
+    mine = rows.join(flagged, "source_ip", "left_semi")
+    seen = mine.select("source_ip", "destination_port", "protocol").distinct()
     targets = seen.groupBy("source_ip").agg(
         F.sort_array(F.collect_set(F.nullif("destination_port", F.lit(0)))).alias("target_ports"),
         F.sort_array(F.collect_set(F.nullif("protocol", F.lit("")))).alias("target_protocols"))
     return (
-        _key_totals(nodes, ["source_ip"]).join(flagged, "source_ip")
+        _key_totals(_per_instant(mine, ["source_ip"]), ["source_ip"]).join(flagged, "source_ip")
         .join(targets, "source_ip")
         .withColumn("severity", by_bounds(SINGLE_FLOOD_BOUNDS))
         .select(
@@ -191,7 +195,6 @@ def window_maps(counts: DataFrame) -> DataFrame:
 
 def _distributed(
     rows: DataFrame,
-    nodes: DataFrame,
     window_seconds: int,
     ip_count: int,
     request_threshold: int,
@@ -201,7 +204,7 @@ def _distributed(
     Busy windows are few, and written first: with a known size the join with the log is a
     broadcast when it may be one.
     """
-    busy = settle(_tumbling(nodes, TARGET, window_seconds, request_threshold), "busy-windows")
+    busy = settle(_tumbling(rows, TARGET, window_seconds, request_threshold), "busy-windows")
     hits = (
         in_windows(rows.where(F.col("source_ip").isNotNull()), busy.select(*TARGET, "opened"),
                    TARGET, Slots.of(window_seconds * SECOND))
@@ -222,8 +225,7 @@ def distributed_flood_windows(
     params.check(window_seconds=window_seconds, distributed_ip_count=distributed_ip_count,
                  distributed_request_threshold=distributed_request_threshold)
     rows = _targets(flood_rows(logs, **scope))
-    windows, hits = _distributed(rows, _per_instant(rows, TARGET), window_seconds,
-                                 distributed_ip_count, distributed_request_threshold)
+    windows, hits = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
     key = [*TARGET, "opened"]
     top = _busiest(hits, key, WINDOW_ATTACKERS)
     return _dated(windows.join(top, key).select("*", *_target_columns()).drop(*TARGET))
@@ -240,21 +242,18 @@ def detect_distributed_floods(
     params.check(window_seconds=window_seconds, distributed_ip_count=distributed_ip_count,
                  distributed_request_threshold=distributed_request_threshold)
     rows = _targets(flood_rows(logs, **scope))
-    nodes = _per_instant(rows, TARGET)
-    windows, _ = _distributed(rows, nodes, window_seconds, distributed_ip_count, distributed_request_threshold)
+    windows, _ = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
     flagged = settle(
         windows.groupBy(*TARGET).agg(
             F.count("*").alias("window_count"),
             F.max("request_rate_per_min").alias("peak_request_rate"),
             F.max("unique_ip_count").alias("peak_unique_ips")),
         "flooded-targets")
-    hits = (
-        rows.where(F.col("source_ip").isNotNull()).join(flagged, TARGET, "left_semi")
-        .groupBy(*TARGET, "source_ip").agg(F.count("*").alias("requests"))
-    )
+    mine = rows.join(flagged, TARGET, "left_semi")
+    hits = mine.where(F.col("source_ip").isNotNull()).groupBy(*TARGET, "source_ip").agg(F.count("*").alias("requests"))
     breadth = _breadth(hits, TARGET, "source_ip_count")
     return (
-        _key_totals(nodes, TARGET).join(flagged, TARGET).join(breadth, TARGET)
+        _key_totals(_per_instant(mine, TARGET), TARGET).join(flagged, TARGET).join(breadth, TARGET)
         .join(_busiest(hits, TARGET, TARGET_ATTACKERS), TARGET)
         .withColumn("severity", by_bounds(DISTRIBUTED_FLOOD_BOUNDS))
         .select(

@@ -51,7 +51,7 @@ def _totals(nodes: DataFrame, min_total_attempts: int) -> DataFrame:
 
 
 def _windows(nodes: DataFrame, slots: Slots, unique_ports_threshold: int) -> DataFrame:
-    ahead = ahead_distinct(nodes, ["source_ip"], "port", slots)
+    ahead = ahead_distinct(nodes, ["source_ip"], "port", slots, least=unique_ports_threshold)
     return greedy_windows(
         ahead.where(F.col("k") >= unique_ports_threshold), ["source_ip"], slots, ["n", "k", "until"])
 

@@ -92,13 +92,16 @@ def ahead_counts(nodes: DataFrame, keys: Sequence[str], slots: Slots) -> DataFra
     )
 
 
-def ahead_distinct(nodes: DataFrame, keys: Sequence[str], value: str, slots: Slots) -> DataFrame:
+def ahead_distinct(nodes: DataFrame, keys: Sequence[str], value: str, slots: Slots, least: int = 1) -> DataFrame:
     """Like ``ahead_counts``, with ``k``: the distinct non-null values within one width ahead.
 
     A value is visible from instant t when its next occurrence is at most one width away.
     For an occurrence, these instants run from just after the previous occurrence of the
     same value (or one width before, if that is later) up to itself. These ranges do not
     overlap, so ``k`` at t is the number of ranges open at t: a running sum of +1 and -1.
+
+    A slot with fewer rows than ``least``, edges included, cannot have that many distinct
+    values anywhere and is left out early; most sources never come further than this.
     """
     chunk = [*keys, "slot"]
     by_value = Window.partitionBy(*chunk, value).orderBy("at")
@@ -111,6 +114,8 @@ def ahead_distinct(nodes: DataFrame, keys: Sequence[str], value: str, slots: Slo
     steps = (
         spread(nodes, slots)
         .withColumn("opens", F.when(F.col(value).isNotNull(), opens))
+        .withColumn("all", F.sum("c").over(Window.partitionBy(*chunk)))
+        .where(F.col("all") >= least)
         .select(*chunk, F.inline(F.array_compact(F.array(
             step(at, 0, F.col("c"), F.col("side")),
             F.when(F.col("opens").isNotNull(), step(F.col("opens"), 1, no_count, no_anchor)),
