@@ -52,8 +52,10 @@ def _totals(nodes: DataFrame, min_total_attempts: int) -> DataFrame:
 
 def _windows(nodes: DataFrame, slots: Slots, unique_ports_threshold: int) -> DataFrame:
     ahead = ahead_distinct(nodes, ["source_ip"], "port", slots, least=unique_ports_threshold)
-    return greedy_windows(
-        ahead.where(F.col("k") >= unique_ports_threshold), ["source_ip"], slots, ["n", "k", "until"])
+    # The window choice reads its candidates twice, and counting distinct ports is the
+    # costly part: candidates are few, and written once.
+    candidates = settle(ahead.where(F.col("k") >= unique_ports_threshold), "scan-candidates")
+    return greedy_windows(candidates, ["source_ip"], slots, ["n", "k", "until"])
 
 
 def port_scan_windows(
