@@ -93,6 +93,8 @@ def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
 
     A single piece seldom fills a cluster through all its stages; several fill the gaps.
     """
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    # A thread started by another call of this function has no active session of its own.
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    inherit = inheritable_thread_target(session)
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
