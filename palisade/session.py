@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -55,37 +53,50 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediates: the one the cluster names.
+    """The folder for written intermediates: ``spark.checkpoint.dir``, which the cluster names.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder.
+    Where that is unset, a folder of the warehouse, which the executors reach as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), "palisade-scratch")
-    os.makedirs(folder, exist_ok=True)
-    return folder
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    For small results that several branches of one report use (detections): they are
-    computed once, and losing executors afterwards costs nothing.
+    For results that several branches of one job use: they are computed once, and losing
+    executors afterwards costs nothing.
     """
-    path = os.path.join(shared_folder(df.sparkSession), "palisade", f"{name}-{uuid.uuid4().hex}")
+    path = f"{shared_folder(df.sparkSession)}/palisade/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _settled.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._settled_at = path
+    return made
 
 
-def forget_settled(spark: SparkSession) -> None:
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete frames that ``settle`` returned, when nothing that is still to run reads them."""
+    for frame in frames:
+        if frame._settled_at in _settled:
+            _settled.remove(frame._settled_at)
+        _delete(spark, frame._settled_at)
+
+
+def settled_mark() -> int:
+    """How much is settled so far; hand it to ``forget_settled`` to delete what came after."""
+    return len(_settled)
+
+
+def forget_settled(spark: SparkSession, since: int = 0) -> None:
     """Delete what this process settled. Call it when no frame built on it is needed."""
-    while _settled:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while len(_settled) > since:
+        _delete(spark, _settled.pop())
 
 
 def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
