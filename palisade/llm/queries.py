@@ -4,25 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palisade.llm import quality, simhash
+from palisade.llm import mixing, pieces, quality, simhash
 from palisade.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("_row", "removed")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op8_mixing": op8_mixing,
         "op10_simhash": op10_simhash,
     }
