@@ -1,10 +1,69 @@
-"""A corpus from raw documents: each stage takes what its predecessor kept."""
+"""A training corpus from raw documents: each stage works on all that its predecessor kept.
+
+Quality rules drop documents and lines, near-duplicates leave one document of each group,
+secrets are replaced by a mark, sources are repeated or thinned to their target weights, and
+the texts of the mix are encoded. SQL cannot express the fingerprints and the encoding, so the
+tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import quality
+from palisade.llm import mixing, pieces, quality, secrets, simhash
+from palisade.llm.common import prepare, table
+from palisade.session import settle
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and so do lines above the limits in those that stay."""
+    prepare(spark)
+    return quality.clean(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    prepare(spark)
+    return simhash.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced by a mark; all documents stay."""
+    prepare(spark)
+    return secrets.redact(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    prepare(spark)
+    return mixing.mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text of the mix."""
+    prepare(spark)
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
+    ("SentencePiece", sentencepiece),
+]
 
-STAGES = [("quality rules", lambda spark, docs, folder: quality.clean(docs))]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs

@@ -140,16 +140,17 @@ def mix(
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, in the columns of ``docs``: whole texts repeated, and the partly taken text cut after its words.
 
-    ``n_chars``, where there is one, is counted anew for the cut text. Documents without words are not taken.
+    ``n_chars``, where there is one, is counted anew for the cut text. Documents without words are not taken;
+    rows equal in all columns are all taken as often as the one taken most.
     """
-    plan = mix(docs, **options).where("taken > 0").select(
-        "doc_id", "size", "draw", "whole", "part").distinct()
+    plan = settle(
+        mix(docs, **options).where("taken > 0").groupBy("draw", F.col("doc_id").alias("_id")).agg(
+            F.max("size").alias("_size"), F.max("whole").alias("_whole"), F.max("part").alias("_part")), "mix-plan")
     keyed = docs.withColumn("_draw", F.xxhash64(
         F.lit(options.get("seed", SEED)), F.col("doc_id").cast("string"), "source", "text"))
-    plan = settle(plan.groupBy("draw").agg(
-        F.max("size").alias("_size"), F.max("whole").alias("_whole"), F.max("part").alias("_part")), "mix-plan")
     copies = F.col("_whole") + (F.col("_part") > 0).cast("long")
-    chosen = keyed.join(plan, F.col("_draw") == F.col("draw")).withColumn(
+    same = (F.col("_draw") == F.col("draw")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    chosen = keyed.join(plan, same).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = (F.col("_copy") > F.col("_whole")) & (F.col("_part") < F.col("_size"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_part").cast("int")), " ")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat, embeddings, mixing, pages, pieces, quality, secrets, simhash, token_counts
+import corpus_pipeline
+from palisade.llm import chat, embeddings, mixing, pages, pieces, quality, secrets, simhash, token_counts, toxicity
 from palisade.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -68,5 +73,7 @@ def queries() -> dict[str, Query]:
         "op6_chat_formatting": op6_chat_formatting,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }

@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import Links, components, over_batches
@@ -184,3 +184,23 @@ def near_duplicates(
     ids = settle(named.join(smallest, "component").select("fp", "component_id"), "fingerprint-ids")
     return prints.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The document with the smallest id of each group, in the columns of ``docs``.
+
+    Rows without an id stand behind all that have one, and equal texts among them count as one
+    document. Of rows that share the id that stays, the one with the smallest text is kept.
+    """
+    # Above any id in use: bit 62 is set.
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), **options)
+    stay = settle(
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id"))
+        .agg((F.count("*") > 1).alias("_repeated")), "kept-ids")
+    once = named.join(stay.where(~F.col("_repeated")).select("_id"), "_id", "left_semi")
+    again = named.join(stay.where("_repeated").select("_id"), "_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.asc_nulls_first("text"), *docs.columns))
+    first = again.withColumn("_place", place).where("_place = 1")
+    return once.select(*docs.columns).union(first.select(*docs.columns))
