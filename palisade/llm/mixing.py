@@ -31,6 +31,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw(seed: int) -> Column:
+    """Sixty random bits of a row, the same in every run with the seed."""
+    part = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    digest = F.md5(F.concat_ws("\n", F.lit(str(seed)), part("doc_id"), part("source"), part("text")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, source_size, target``: how many words the mix takes from each source.
 
@@ -63,11 +70,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 def document_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, draw``: the seeded draw orders the documents of a source.
 
-    It depends on id and text only, so reruns and other partitions give the same order.
+    It depends on id, source and text only, so reruns and other partitions give the same order.
     """
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "source", "text").alias("draw"))
+        draw(seed).alias("draw"))
 
 
 def _decisions(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -93,7 +100,7 @@ def _decisions(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> D
 
 
 def _slice(draw: str) -> Column:
-    return F.shiftright(F.col(draw), 64 - SLICES.bit_length() + 1) + SLICES // 2
+    return F.shiftright(F.col(draw), 60 - SLICES.bit_length() + 1)
 
 
 def _with_decisions(rows: DataFrame, decided: DataFrame) -> DataFrame:
@@ -146,8 +153,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = settle(
         mix(docs, **options).where("taken > 0").groupBy("draw", F.col("doc_id").alias("_id")).agg(
             F.max("size").alias("_size"), F.max("whole").alias("_whole"), F.max("part").alias("_part")), "mix-plan")
-    keyed = docs.withColumn("_draw", F.xxhash64(
-        F.lit(options.get("seed", SEED)), F.col("doc_id").cast("string"), "source", "text"))
+    keyed = docs.withColumn("_draw", draw(options.get("seed", SEED)))
     copies = F.col("_whole") + (F.col("_part") > 0).cast("long")
     same = (F.col("_draw") == F.col("draw")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     chosen = keyed.join(plan, same).withColumn(
