@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palisade.session import configure, drop_settled, settle
 
@@ -29,13 +30,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def over_batches(
-    frame: DataFrame, schema: str, task: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None],
+    frame: DataFrame, schema: str | StructType, task: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None],
 ) -> DataFrame:
     """``task`` on every Arrow batch; it returns columns by name, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,9 +50,17 @@ def over_batches(
     return frame.mapInArrow(run, schema)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings, null as empty."""
-    return [x or "" for x in column.to_pylist()]
+def whole_row(frame: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row")
+
+
+def with_text(docs: DataFrame, text: Column, changed: Column) -> Column:
+    """The struct ``row`` of ``docs`` with another text where it changed, and ``n_chars``, if there is one, for it."""
+    made = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return F.when(changed, made).otherwise(F.col("row")).alias("row")
 
 
 class Links:

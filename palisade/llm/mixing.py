@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD
+from palisade.llm.common import WORD, whole_row, with_text
 from palisade.session import settle
 
 MAX_EPOCHS = 3
@@ -151,16 +151,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows equal in all columns are all taken as often as the one taken most.
     """
     plan = settle(
-        mix(docs, **options).where("taken > 0").groupBy("draw", F.col("doc_id").alias("_id")).agg(
-            F.max("size").alias("_size"), F.max("whole").alias("_whole"), F.max("part").alias("_part")), "mix-plan")
-    keyed = docs.withColumn("_draw", draw(options.get("seed", SEED)))
-    copies = F.col("_whole") + (F.col("_part") > 0).cast("long")
-    same = (F.col("_draw") == F.col("draw")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    chosen = keyed.join(plan, same).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    cut = (F.col("_copy") > F.col("_whole")) & (F.col("_part") < F.col("_size"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_part").cast("int")), " ")
-    made = chosen.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+        mix(docs, **options).where("taken > 0").groupBy("draw", "doc_id").agg(
+            F.max("size").alias("size"), F.max("whole").alias("whole"), F.max("part").alias("part")), "mix-plan")
+    keyed = docs.select(whole_row(docs), draw(options.get("seed", SEED)).alias("its_draw"))
+    same = (F.col("its_draw") == F.col("draw")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id"))
+    copies = F.col("whole") + (F.col("part") > 0).cast("long")
+    chosen = keyed.join(plan, same).select(
+        "row", "size", "whole", "part", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    cut = (F.col("copy") > F.col("whole")) & (F.col("part") < F.col("size"))
+    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
+    first = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
+    return chosen.select(with_text(docs, first, cut)).select("row.*")

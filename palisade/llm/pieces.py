@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from palisade.llm.common import over_batches
 
@@ -189,29 +190,29 @@ def load(model_file: str) -> Pieces:
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array of ids per text. A null or empty text has none."""
-    schema = docs.schema.add(ids, "array<int>")
-    place = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    place, names = docs.columns.index(text), schema.names
 
     def task(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = load(model_file)
         made = [pieces.encode(t or "") for t in batch.column(place).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=[*docs.columns, ids])
+            [*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=names)
 
-    return over_batches(docs, schema.simpleString()[7:-1], task)
+    return over_batches(docs, schema, task)
 
 
 def decode(coded: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ids. Null ids decode to the empty text."""
-    schema = coded.schema.add(text, "string")
-    place = coded.columns.index(ids)
+    schema = StructType([*coded.schema.fields, StructField(text, StringType())])
+    place, names = coded.columns.index(ids), schema.names
 
     def task(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = load(model_file)
         made = [pieces.decode(x) if x else "" for x in batch.column(place).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*coded.columns, text])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=names)
 
-    return over_batches(coded, schema.simpleString()[7:-1], task)
+    return over_batches(coded, schema, task)
 
 
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import over_batches
+from palisade.llm.common import over_batches, whole_row
 from palisade.session import settle
 
 MIN_WORDS = 50
@@ -83,10 +83,10 @@ def _line_words(text: str) -> dict[bytes, int]:
     return found
 
 
-def _keyed(docs: DataFrame):
+def _row():
     """A digest of id, host and text: rows that agree in them share their verdict."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return docs.withColumn("_row", F.unhex(F.md5(F.concat_ws("\n", part("doc_id"), part("source"), part("text")))))
+    return F.unhex(F.md5(F.concat_ws("\n", part("doc_id"), part("source"), part("text"))))
 
 
 _MEASURED = ("doc_id long, host string, _row binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -104,8 +104,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("host")
     return over_batches(
-        _keyed(docs.select(F.col("doc_id").cast("long"), "source", "text"))
-        .select("doc_id", host, "_row", "text"), _MEASURED, task)
+        docs.select(F.col("doc_id").cast("long"), host, _row().alias("_row"), "text"), _MEASURED, task)
 
 
 def common_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -157,26 +156,23 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     texts that lost a line. The cases are those of ``quality``.
     """
     verdict = quality(docs, **limits).where("kept").select("_row", "removed").dropDuplicates(["_row"])
-    kept = _keyed(docs).join(settle(verdict, "quality-verdicts"), "_row").drop("_row")
+    kept = docs.select(whole_row(docs), _row().alias("_row")).join(settle(verdict, "quality-verdicts"), "_row")
     touched = F.col("removed").isNotNull()
-    names = [c for c in kept.columns if c != "removed"]
+    names = docs.columns
     place = names.index("text")
 
     def task(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gone = batch.column(len(names)).to_pylist()
-        texts = [_without(t, set(g)) if g else t for t, g in zip(batch.column(place).to_pylist(), gone)]
-        columns = [batch.column(k) for k in range(len(names))]
-        columns[place] = pa.array(texts, batch.column(place).type)
+        *columns, removed = batch.columns
+        texts = [_without(t, set(g)) for t, g in zip(columns[place].to_pylist(), removed.to_pylist())]
+        columns[place] = pa.array(texts, columns[place].type)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType([f for f in kept.schema.fields if f.name != "removed"])
     # Only rows that lose a line pass through Python.
-    cut = over_batches(kept.where(touched).select(*names, "removed"), schema.simpleString()[7:-1], task)
+    cut = over_batches(kept.where(touched).select("removed", "row").select(
+        *[F.col("row").getField(c).alias(c) for c in names], F.col("removed").alias("gone")), docs.schema, task)
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return kept.where(~touched).select(*names).union(cut.select(*names))
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.where(~touched).select("row.*").union(cut)
 
 
 def _without(text: str, gone: set[bytes]) -> str:

@@ -24,6 +24,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.llm.common import whole_row, with_text
 from palisade.session import settle
 
 # The patterns of the base kinds and the least lengths of their matches.
@@ -235,18 +236,15 @@ def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     ``n_chars``, where there is one, is counted anew for the texts that change.
     """
     found = scan(docs, rate).withColumn("spans", F.array_sort(F.concat(*map(F.col, KINDS)))).where(F.size("spans") > 0)
-    spans = settle(found.select("_row", "spans").dropDuplicates(["_row"]), "secret-spans").withColumnRenamed("_row", "_its_row")
-    marked = docs.join(spans, _row(docs) == F.col("_its_row"), "left")
+    spans = settle(found.select("_row", "spans").dropDuplicates(["_row"]), "secret-spans")
+    marked = docs.select(whole_row(docs), _row(docs).alias("_row")).join(spans, "_row", "left")
+    text = F.col("row.text")
     # Pieces of text between spans, with a mark after each, and what follows the last span.
     spliced = F.aggregate(
         "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["until"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    hit = F.col("spans").isNotNull()
-    made = marked.withColumn("text", F.when(hit, spliced).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).alias("out")),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return marked.select(with_text(docs, spliced, F.col("spans").isNotNull())).select("row.*")

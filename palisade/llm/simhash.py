@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import Links, components, over_batches
+from palisade.llm.common import Links, components, over_batches, whole_row
 from palisade.session import drop_settled, settle
 
 WORDS = 4        # words in a shingle
@@ -194,13 +194,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     # Above any id in use: bit 62 is set.
     stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), **options)
+    named = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"))
+    found = near_duplicates(named.select(F.col("id").alias("doc_id"), "row.text"), **options)
     stay = settle(
-        found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id"))
-        .agg((F.count("*") > 1).alias("_repeated")), "kept-ids")
-    once = named.join(stay.where(~F.col("_repeated")).select("_id"), "_id", "left_semi")
-    again = named.join(stay.where("_repeated").select("_id"), "_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.asc_nulls_first("text"), *docs.columns))
-    first = again.withColumn("_place", place).where("_place = 1")
-    return once.select(*docs.columns).union(first.select(*docs.columns))
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("id"))
+        .agg((F.count("*") > 1).alias("repeated")), "kept-ids")
+    once = named.join(stay.where(~F.col("repeated")).select("id"), "id", "left_semi")
+    again = named.join(stay.where("repeated").select("id"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_first("row.text"), "row"))
+    first = again.withColumn("place", place).where("place = 1")
+    return once.select("row.*").union(first.select("row.*"))
