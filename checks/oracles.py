@@ -98,16 +98,18 @@ BRUTE_DETECTIONS = """brute AS (
 
 # --- port scan -------------------------------------------------------------------------
 
+# Only rows with a source and a port take part, in anchors, counts and totals alike.
+_SCAN_ROWS = "scan_rows AS (SELECT * FROM logs WHERE source_ip <> '' AND destination_port IS NOT NULL)"
 _SCAN_ANCHORS = """scan_q AS (
   SELECT a.source_ip, a.t0, count(*) AS n, count(DISTINCT l.destination_port) AS k, max(l."timestamp") AS until
-  FROM (SELECT DISTINCT source_ip, "timestamp" AS t0 FROM logs) a
-  JOIN logs l ON l.source_ip = a.source_ip AND l."timestamp" BETWEEN a.t0 AND a.t0 + INTERVAL 10 MINUTE
+  FROM (SELECT DISTINCT source_ip, "timestamp" AS t0 FROM scan_rows) a
+  JOIN scan_rows l ON l.source_ip = a.source_ip AND l."timestamp" BETWEEN a.t0 AND a.t0 + INTERVAL 10 MINUTE
   GROUP BY a.source_ip, a.t0 HAVING count(DISTINCT l.destination_port) >= 10)"""
 _SCAN_WINDOWS = """scan_windows AS (
   SELECT q.source_ip, q.n AS attempt_count, q.k AS unique_ports, q.t0 AS window_start, q.until AS window_end
   FROM scan_q q JOIN scan_hops h ON q.source_ip = h.source_ip AND q.t0 = h.t0
-  WHERE (SELECT count(*) FROM logs l WHERE l.source_ip = q.source_ip) >= 20)"""
-SCAN_PARTS = (_SCAN_ANCHORS, chain("scan_hops", "scan_q", "source_ip", "INTERVAL 10 MINUTE"), _SCAN_WINDOWS)
+  WHERE (SELECT count(*) FROM scan_rows l WHERE l.source_ip = q.source_ip) >= 20)"""
+SCAN_PARTS = (_SCAN_ROWS, _SCAN_ANCHORS, chain("scan_hops", "scan_q", "source_ip", "INTERVAL 10 MINUTE"), _SCAN_WINDOWS)
 
 SCAN_DETECTIONS = """scan AS (
   SELECT l.source_ip, count(*) AS total_attempts, count(DISTINCT destination_port) AS unique_ports_attempted,
@@ -118,7 +120,7 @@ SCAN_DETECTIONS = """scan AS (
               WHEN count(DISTINCT destination_port) >= 25 OR any_value(w.window_count) >= 4 OR count(*) >= 200 THEN 'HIGH'
               WHEN count(DISTINCT destination_port) >= 10 OR any_value(w.window_count) >= 2 OR count(*) >= 50 THEN 'MEDIUM'
               ELSE 'LOW' END AS severity
-  FROM logs l
+  FROM scan_rows l
   JOIN (SELECT source_ip, count(*) AS window_count FROM scan_windows GROUP BY source_ip) w ON l.source_ip = w.source_ip
   GROUP BY l.source_ip)"""
 
@@ -505,9 +507,9 @@ def statements() -> dict[str, str]:
         "port_scan_window_details": rec(
             """SELECT w.source_ip, w.window_start, w.window_end, w.attempt_count, w.unique_ports,
   (SELECT array_to_string(list_slice(list_sort(list(DISTINCT l.destination_port) FILTER (WHERE l.destination_port IS NOT NULL)), 1, 50), ',')
-   FROM logs l WHERE l.source_ip = w.source_ip AND l."timestamp" BETWEEN w.window_start AND w.window_end) AS ports,
+   FROM scan_rows l WHERE l.source_ip = w.source_ip AND l."timestamp" BETWEEN w.window_start AND w.window_end) AS ports,
   (SELECT array_to_string(list_slice(list(l.log_id ORDER BY l."timestamp", l.log_id), 1, 50), ',')
-   FROM logs l WHERE l.source_ip = w.source_ip AND l."timestamp" BETWEEN w.window_start AND w.window_end) AS attempts
+   FROM scan_rows l WHERE l.source_ip = w.source_ip AND l."timestamp" BETWEEN w.window_start AND w.window_end) AS attempts
 FROM scan_windows w""", *SCAN_PARTS),
         # floods
         "single_flood_windows": rec(

@@ -28,9 +28,10 @@ def scan_rows(
     protocol: str | None = None,
     as_of: datetime | None = None,
 ) -> DataFrame:
-    """The rows the detector looks at; the default range is the day before ``as_of``."""
+    """The rows the detector looks at: those with a source and a port. The default range is
+    the day before ``as_of``."""
     start, end = lookback(start, end, as_of, LOOKBACK_HOURS)
-    rows = in_range(logs, start, end).where(F.col("source_ip") != "")
+    rows = in_range(logs, start, end).where((F.col("source_ip") != "") & F.col("destination_port").isNotNull())
     if source_ip:
         rows = rows.where(F.col("source_ip") == source_ip)
     return rows.where(F.col("protocol") == protocol) if protocol else rows
@@ -52,10 +53,7 @@ def _totals(nodes: DataFrame, min_total_attempts: int) -> DataFrame:
 
 def _windows(nodes: DataFrame, slots: Slots, unique_ports_threshold: int) -> DataFrame:
     ahead = ahead_distinct(nodes, ["source_ip"], "port", slots, least=unique_ports_threshold)
-    # The window choice reads its candidates twice, and counting distinct ports is the
-    # costly part: candidates are few, and written once.
-    candidates = settle(ahead.where(F.col("k") >= unique_ports_threshold), "scan-candidates")
-    return greedy_windows(candidates, ["source_ip"], slots, ["n", "k", "until"])
+    return greedy_windows(ahead.where(F.col("k") >= unique_ports_threshold), ["source_ip"], slots, ["n", "k", "until"])
 
 
 def port_scan_windows(
@@ -98,7 +96,7 @@ def detect_port_scan(
         _windows(nodes, Slots.of(window_minutes * MINUTE), unique_ports_threshold)
         .groupBy("source_ip").agg(F.count("*").alias("window_count"))
     )
-    ports = nodes.where(F.col("port").isNotNull()).select("source_ip", "port").distinct()
+    ports = nodes.select("source_ip", "port").distinct()
     port_counts = ports.groupBy("source_ip").agg(F.count("*").alias("unique_ports_attempted"))
     return (
         _totals(nodes, min_total_attempts)
@@ -144,7 +142,7 @@ def window_details(
     inside = in_windows(rows, opened, ["source_ip"], Slots.of(window_minutes * MINUTE))
     key = ["source_ip", "opened"]
     ports = _first_ports(
-        inside.where(F.col("port").isNotNull()).select(*key, "port").distinct(), key, WINDOW_PORTS, "ports")
+        inside.select(*key, "port").distinct(), key, WINDOW_PORTS, "ports")
     earliest = F.row_number().over(Window.partitionBy(*key).orderBy("at", "log_id"))
     attempts = (
         inside.withColumn("place", earliest).where(F.col("place") <= WINDOW_ATTEMPTS)

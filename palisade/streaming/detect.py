@@ -117,16 +117,32 @@ def detect_stream(
         search, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _is_text(value) -> bool:
+    """Missing values come as None or as not-a-number."""
+    return isinstance(value, str)
+
+
 def _decide(data: pd.DataFrame, safe: int, width: int, min_rows: int, min_distinct: int, tumbling: bool):
     """Windows that are final at time ``safe``, and the instant up to which all is decided."""
     at, counts = data["at"].to_numpy(), data["c"].to_numpy()
     values = data["value"].to_numpy()
     sums = np.concatenate([[0], np.cumsum(counts)])
+    # Both ends only move on, so a value enters and leaves the running counts once.
+    inside: dict[str, int] = {}
+    entered = left = 0
     found, consumed, i = [], -(2 ** 62), 0
     while i < len(at) and at[i] + width < safe:
         j = int(np.searchsorted(at, at[i] + width, side="right"))
         rows = int(sums[j] - sums[i])
-        distinct = len({v for v in values[i:j] if isinstance(v, str)}) if min_distinct else 0
+        if min_distinct:
+            for value in filter(_is_text, values[entered:j]):
+                inside[value] = inside.get(value, 0) + 1
+            for value in filter(_is_text, values[left:i]):
+                inside[value] -= 1
+                if not inside[value]:
+                    del inside[value]
+            entered, left = j, i
+        distinct = len(inside)
         reached = rows >= min_rows and distinct >= min_distinct
         if reached:
             found.append((int(at[i]), int(at[j - 1]), rows, distinct))
@@ -147,7 +163,8 @@ def brute_force_stream(logs: DataFrame, window_minutes: int = 15, threshold: int
 def port_scan_stream(logs: DataFrame, window_minutes: int = 10, unique_ports_threshold: int = 10, delay: str = "1 minute") -> DataFrame:
     """Port-scan windows of a log stream. The least number of rows per source needs the
     whole period, which a stream does not have, so it is not applied."""
-    named = logs.where(F.col("source_ip") != "").withColumn("value", F.col("destination_port").cast("string"))
+    ported = logs.where((F.col("source_ip") != "") & F.col("destination_port").isNotNull())
+    named = ported.withColumn("value", F.col("destination_port").cast("string"))
     found = detect_stream(named, "source_ip", window_minutes * MINUTE, delay, min_distinct=unique_ports_threshold)
     return _named(found, "source_ip").select(
         "source_ip", "attempt_count", F.col("distinct").alias("unique_ports"), "window_start", "window_end")

@@ -1,6 +1,7 @@
 """Detector edge cases, severities, and busy keys."""
 
 import bisect
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -44,12 +45,53 @@ def test_port_scan_needs_distinct_ports_and_rows(spark):
     assert port_scan.detect_port_scan(logs(spark, nine), **WHOLE).count() == 0
     ten = nine + [(290, "a", 9000, "TCP"), (291, "a", None, "TCP")]
     found = port_scan.detect_port_scan(logs(spark, ten), **WHOLE).first()
-    assert (found.total_attempts, found.unique_ports_attempted, found.window_count, found.severity) == (32, 10, 1, "MEDIUM")
+    assert (found.total_attempts, found.unique_ports_attempted, found.window_count, found.severity) == (31, 10, 1, "MEDIUM")
     few = [(i, "a", i, "TCP") for i in range(12)]
     assert port_scan.port_scan_windows(logs(spark, few), **WHOLE).count() == 0
     assert port_scan.port_scan_windows(logs(spark, few), min_total_attempts=12, **WHOLE).first().unique_ports == 12
 
 
+def test_rows_without_a_port_are_no_part_of_a_scan(spark):
+    rows = [(i, "a", 100 + i, "TCP") for i in range(12)] + [(i, "a", None, "TCP") for i in range(20)]
+    assert port_scan.detect_port_scan(logs(spark, rows), min_total_attempts=20, **WHOLE).count() == 0
+    assert port_scan.port_scan_windows(logs(spark, rows), min_total_attempts=20, **WHOLE).count() == 0
+    found = port_scan.detect_port_scan(logs(spark, rows), min_total_attempts=12, **WHOLE).first()
+    assert (found.total_attempts, found.unique_ports_attempted) == (12, 12)
+
+
+def scan_loop(rows, width=600, least_ports=10, least_rows=20):
+    """The definition: rows with a source and a port, one source at a time, in time order."""
+    by_source = {}
+    for second, source, port, _ in rows:
+        if source and port is not None:
+            by_source.setdefault(source, []).append((second, port))
+    out = []
+    for source, mine in by_source.items():
+        mine.sort(key=lambda r: r[0])
+        i = 0
+        while len(mine) >= least_rows and i < len(mine):
+            inside = [r for r in mine[i:] if r[0] <= mine[i][0] + width]
+            ports = {p for _, p in inside}
+            if len(ports) >= least_ports:
+                out.append((source, len(inside), len(ports), mine[i][0], inside[-1][0]))
+                i += len(inside)
+            else:
+                i += 1
+    return sorted(out)
+
+
+def scan_series(seed=7):
+    rng = random.Random(seed)
+    return [(rng.randint(0, 20000), rng.choice(["a", "b", "c", "", None]), rng.choice([None, *range(30)]), "TCP") for _ in range(1500)]
+
+
+def test_port_scan_windows_equal_a_plain_loop(spark):
+    rows = scan_series()
+    second = lambda t: int((t - DAY).total_seconds())
+    got = port_scan.port_scan_windows(logs(spark, rows), **WHOLE).collect()
+    assert sorted((r.source_ip, r.attempt_count, r.unique_ports, second(r.window_start), second(r.window_end)) for r in got) == scan_loop(rows) != []
+
+
 def test_tumbling_windows(spark):
     rows = [(s, "a", 80, "TCP") for s in (0, 30, 60, 61, 120, 122)]
     got = floods.single_flood_windows(logs(spark, rows), 60, 1, **WHOLE).orderBy("window_start").collect()
