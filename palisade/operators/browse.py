@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.times import ntz
+from palisade.session import settle
 
 SORT_KEYS = ("timestamp", "severity", "source_ip", "event_type")
-# Up to so many rows are skipped by Spark's own top-k, which holds skipped rows too.
-SHALLOW_ROWS = 20_000
 
 
 def sort_order(sort_by: str = "timestamp", direction: str = "desc", strict_direction: bool = False) -> list[Column]:
@@ -35,37 +34,32 @@ def page(
     direction: str = "desc",
     strict_direction: bool = False,
 ) -> DataFrame:
-    """One page of the (already filtered) log.
+    """One page of the (already filtered) log, the same way for every depth and sort key.
 
-    A deep page in time order is found by counting: rows per hour say which hours it lies
-    in, and only those are read and ranked.
+    The sort columns alone are dealt into ranges and written; the id is one of them, so a
+    value that many rows share is cut as well. Counting the ranges says which hold the page, and
+    only these are ordered. The page's rows are then fetched by their ids.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     skip = (number - 1) * size
     order = sort_order(sort_by, direction, strict_direction)
-    if skip + size > SHALLOW_ROWS and (sort_by == "timestamp" or sort_by not in SORT_KEYS):
-        newest_first = sort_by not in SORT_KEYS or direction.lower() == "desc"
-        return _deep_page(logs, skip, size, order, newest_first)
-    return logs.orderBy(*order).offset(skip).limit(size)
-
-
-def _deep_page(logs: DataFrame, skip: int, size: int, order: list[Column], newest_first: bool) -> DataFrame:
-    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
-    by_hour = F.desc("hour") if newest_first else F.asc("hour")
-    earlier = Window.orderBy(by_hour).rowsBetween(Window.unboundedPreceding, -1)
-    counts = logs.groupBy(hour.alias("hour")).agg(F.count("*").alias("rows"))
-    spanned = counts.withColumn("skipped", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).where(
-        (F.col("skipped") < skip + size) & (F.col("skipped") + F.col("rows") > skip))
-    place = F.row_number().over(Window.partitionBy("hour").orderBy(*order)) + F.col("skipped")
-    # Every hour kept adds a row to the page, so there are at most `size` of them.
-    return (
-        logs.withColumn("hour", hour)
-        .join(F.broadcast(spanned.withColumnRenamed("hour", "h")), F.col("hour").eqNullSafe(F.col("h")))
-        .withColumn("place", place)
-        .where((F.col("place") > skip) & (F.col("place") <= skip + size))
-        .orderBy("place").select(*logs.columns)
+    key = sort_by if sort_by in SORT_KEYS else "timestamp"
+    ranged = settle(
+        logs.select(key, "log_id").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "page-keys")
+    # One row per range.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spanned = (
+        ranged.groupBy("part").agg(F.count("*").alias("rows"))
+        .withColumn("skipped", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .where((F.col("skipped") < skip + size) & (F.col("skipped") + F.col("rows") > skip))
     )
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("skipped")
+    shown = (
+        ranged.join(spanned.select("part", "skipped"), "part").withColumn("place", place)
+        .where((F.col("place") > skip) & (F.col("place") <= skip + size)).select("log_id", "place")
+    )
+    return logs.join(settle(shown, "page"), "log_id").orderBy("place").select(*logs.columns)
 
 
 def page_info(logs: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
@@ -81,8 +75,8 @@ def lookup(logs: DataFrame, log_id: int | str) -> DataFrame:
 
 
 def recent(logs: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest records."""
-    return page(logs, 1, limit)
+    """The newest records: a top-k, which holds ``limit`` rows per task."""
+    return logs.orderBy(*sort_order()).limit(limit)
 
 
 def latest(logs: DataFrame, as_of: datetime | None = None) -> DataFrame:

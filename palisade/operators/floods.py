@@ -6,6 +6,7 @@ the first row after its cover opens the next, whether or not it was an attack.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -64,28 +65,44 @@ def _target_columns() -> list:
     ]
 
 
-def _tumbling(rows: DataFrame, keys: list[str], window_seconds: int, threshold: int) -> DataFrame:
-    """Windows with at least ``threshold`` rows: keys, ``opened``, ``closed``, ``request_count``.
+@dataclass(frozen=True)
+class Tumbling:
+    """Windows with at least so many rows (keys, ``opened``, ``closed``, ``request_count``), what
+    was counted on the way (keys, ``at``, ``c``), and the keys that have such windows at all."""
 
-    A window closes one width after it opened, or with the last row of its key. Only keys
-    that somewhere have enough rows within one width can have such a window. They are found
-    first, by counting alone, and written; all other keys stay out of the window choice,
-    which for floods has every instant as a candidate.
+    windows: DataFrame
+    counted: DataFrame
+    busy: DataFrame
+
+    def totals(self, keys: list[str], flagged: DataFrame) -> DataFrame:
+        return _key_totals(self.counted.join(flagged, keys, "left_semi"), keys)
+
+
+def _tumbling(rows: DataFrame, keys: list[str], window_seconds: int, threshold: int) -> Tumbling:
+    """The windows of all keys. A window closes one width after it opened, or with the last row of its key.
+
+    The log is read once, into a written table of instants, which is dealt by (key, slot) when
+    rows ahead are counted. Only keys that somewhere have enough rows within one width can
+    have such a window; all others stay out of the window choice, which for floods has every
+    instant as a candidate.
     """
     slots = Slots.of(window_seconds * SECOND)
+    ahead = settle(
+        ahead_counts(_per_instant(rows, keys), keys, slots).select(*keys, "slot", "at", "side", "c", "n"), "instants")
+    counted = ahead.where(F.col("side") == 0)
     busy = settle(
-        ahead_counts(_per_instant(rows, keys), keys, slots)
-        .where((F.col("side") == 0) & (F.col("n") >= threshold)).select(*keys).distinct(), "busy-keys")
-    nodes = _per_instant(rows.join(busy, keys, "left_semi"), keys)
-    chosen = greedy_windows(ahead_counts(nodes, keys, slots), keys, slots, ["n"]).where(F.col("n") >= threshold)
-    ends = nodes.groupBy(*keys).agg(F.max("at").alias("last"))
-    return chosen.join(ends, keys).select(
+        counted.groupBy(*keys).agg(F.max("at").alias("last"), F.max("n").alias("most"))
+        .where(F.col("most") >= threshold).select(*keys, "last"), "busy-keys")
+    nodes = ahead.join(busy, keys, "left_semi")
+    chosen = greedy_windows(nodes, keys, slots, ["n"]).where(F.col("n") >= threshold)
+    windows = chosen.join(busy, keys).select(
         *keys,
         F.col("at").alias("opened"),
         F.least(F.col("at") + slots.width, "last").alias("closed"),
         F.col("n").alias("request_count"),
         (F.col("n") / F.lit(window_seconds / 60)).alias("request_rate_per_min"),
     )
+    return Tumbling(windows, counted.select(*keys, "at", "c"), busy)
 
 
 def _per_instant(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,7 +133,7 @@ def single_flood_windows(
     """Attack windows of single sources."""
     params.check(window_seconds=window_seconds, single_ip_threshold=single_ip_threshold)
     rows = _sources(flood_rows(logs, **scope))
-    return _dated(_tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold))
+    return _dated(_tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold).windows)
 
 
 def detect_single_floods(
@@ -128,8 +145,9 @@ def detect_single_floods(
     """One row per flooding source."""
     params.check(window_seconds=window_seconds, single_ip_threshold=single_ip_threshold)
     rows = _sources(flood_rows(logs, **scope))
+    found = _tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold)
     flagged = settle(
-        _tumbling(rows, ["source_ip"], window_seconds, single_ip_threshold).groupBy("source_ip").agg(
+        found.windows.groupBy("source_ip").agg(
             F.count("*").alias("window_count"),
             F.max("request_rate_per_min").alias("peak_request_rate")),
         "flood-sources")
@@ -141,7 +159,7 @@ def detect_single_floods(
         F.sort_array(F.collect_set(F.nullif("destination_port", F.lit(0)))).alias("target_ports"),
         F.sort_array(F.collect_set(F.nullif("protocol", F.lit("")))).alias("target_protocols"))
     return (
-        _key_totals(_per_instant(mine, ["source_ip"]), ["source_ip"]).join(flagged, "source_ip")
+        found.totals(["source_ip"], flagged).join(flagged, "source_ip")
         .join(targets, "source_ip")
         .withColumn("severity", by_bounds(SINGLE_FLOOD_BOUNDS))
         .select(
@@ -198,20 +216,22 @@ def _distributed(
     window_seconds: int,
     ip_count: int,
     request_threshold: int,
-) -> tuple[DataFrame, DataFrame]:
-    """Attack windows of targets, and the requests of each source inside busy windows.
-
-    Busy windows are few, and written first: with a known size the join with the log is a
-    broadcast when it may be one.
-    """
-    busy = settle(_tumbling(rows, TARGET, window_seconds, request_threshold), "busy-windows")
+) -> tuple[Tumbling, DataFrame, DataFrame, DataFrame]:
+    """All windows, the attack windows among them, the requests of each source inside busy
+    windows, and those of each source and instant of busy targets."""
+    found = _tumbling(rows, TARGET, window_seconds, request_threshold)
+    busy = settle(found.windows, "busy-windows")
+    # The second and last read of the log: requests per source and instant of busy targets.
+    sources = settle(
+        rows.where(F.col("source_ip").isNotNull()).join(found.busy, TARGET, "left_semi")
+        .groupBy(*TARGET, "at", "source_ip").agg(F.count("*").alias("c")), "target-sources")
     hits = (
-        in_windows(rows.where(F.col("source_ip").isNotNull()), busy.select(*TARGET, "opened"),
-                   TARGET, Slots.of(window_seconds * SECOND))
-        .groupBy(*TARGET, "opened", "source_ip").agg(F.count("*").alias("requests"))
+        in_windows(sources, busy.select(*TARGET, "opened"), TARGET, Slots.of(window_seconds * SECOND))
+        .groupBy(*TARGET, "opened", "source_ip").agg(F.sum("c").alias("requests"))
     )
     breadth = _breadth(hits, [*TARGET, "opened"], "unique_ip_count")
-    return busy.join(breadth.where(F.col("unique_ip_count") >= ip_count), [*TARGET, "opened"]), hits
+    wide = busy.join(breadth.where(F.col("unique_ip_count") >= ip_count), [*TARGET, "opened"])
+    return found, wide, hits, sources
 
 
 def distributed_flood_windows(
@@ -225,7 +245,7 @@ def distributed_flood_windows(
     params.check(window_seconds=window_seconds, distributed_ip_count=distributed_ip_count,
                  distributed_request_threshold=distributed_request_threshold)
     rows = _targets(flood_rows(logs, **scope))
-    windows, hits = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
+    _, windows, hits, _ = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
     key = [*TARGET, "opened"]
     top = _busiest(hits, key, WINDOW_ATTACKERS)
     return _dated(windows.join(top, key).select("*", *_target_columns()).drop(*TARGET))
@@ -242,18 +262,20 @@ def detect_distributed_floods(
     params.check(window_seconds=window_seconds, distributed_ip_count=distributed_ip_count,
                  distributed_request_threshold=distributed_request_threshold)
     rows = _targets(flood_rows(logs, **scope))
-    windows, _ = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
+    found, windows, _, sources = _distributed(rows, window_seconds, distributed_ip_count, distributed_request_threshold)
     flagged = settle(
         windows.groupBy(*TARGET).agg(
             F.count("*").alias("window_count"),
             F.max("request_rate_per_min").alias("peak_request_rate"),
             F.max("unique_ip_count").alias("peak_unique_ips")),
         "flooded-targets")
-    mine = rows.join(flagged, TARGET, "left_semi")
-    hits = mine.where(F.col("source_ip").isNotNull()).groupBy(*TARGET, "source_ip").agg(F.count("*").alias("requests"))
+    hits = (
+        sources.join(flagged, TARGET, "left_semi")
+        .groupBy(*TARGET, "source_ip").agg(F.sum("c").alias("requests"))
+    )
     breadth = _breadth(hits, TARGET, "source_ip_count")
     return (
-        _key_totals(_per_instant(mine, TARGET), TARGET).join(flagged, TARGET).join(breadth, TARGET)
+        found.totals(TARGET, flagged).join(flagged, TARGET).join(breadth, TARGET)
         .join(_busiest(hits, TARGET, TARGET_ATTACKERS), TARGET)
         .withColumn("severity", by_bounds(DISTRIBUTED_FLOOD_BOUNDS))
         .select(

@@ -14,29 +14,33 @@ into slots of fixed length, much longer than a window:
 * A slot whose first candidate has no candidate within one width before it restarts the
   chain and is solved alone. Nearly all slots of ordinary keys are such.
 * Any other slot is *carried*: its first window depends on the last window before it. Such
-  a slot offers a small table "if the first window opens here, the last one opens there",
-  with one line per instant of its first width. Only these tables are brought together per
-  key, and walked; the windows inside are then found in parallel, slot by slot.
-
-Nothing here holds more than one slot of one key, apart from the tables, which are a
-sixteenth of the instants at most. Rows are reduced to one per (key, instant) beforehand;
-log text has whole seconds, so a slot holds at most its length in seconds, however many
-rows a source sends.
+  a slot offers, for each instant of its first width where a window may open, the place of
+  its last window. Only these lines are brought together per key, and walked; the windows
+  inside are then found in parallel, slot by slot.
+
+The three passes read rows sorted by (key, slot, instant) and hold the last window, one
+slot's offered lines, or the chains that are open at one time: what one window width of
+one key holds, never a slot or a key.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from palisade.functions.text import let
 from palisade.functions.times import HOUR, from_micros
+from palisade.session import settle
 
 WIDTHS_PER_SLOT = 16
+# The side of a row that marks where the first window of a carried slot opens.
+MARK = -2
 
 
 @dataclass(frozen=True)
@@ -148,81 +152,168 @@ def greedy_windows(
     """Choose windows among candidate instants: one row per window with ``at`` and payload.
 
     ``candidates`` comes from ``ahead_counts`` or ``ahead_distinct``, filtered by the
-    detector; ``side`` must be 0 or -1. Keys must not be null.
+    detector; ``side`` must be 0 or -1. Keys must not be null. Candidates are written once,
+    since two passes read them.
     """
-    width, chunk = slots.width, [*keys, "slot"]
-    at, own = F.col("at"), F.col("side") == 0
-    order = Window.partitionBy(*chunk).orderBy("at")
-    reach = order.rangeBetween(Window.unboundedPreceding, width)
-    tables = (
-        candidates
-        # Position of the first candidate beyond the cover of a window opened here.
-        .withColumn("beyond", F.sum(own.cast("int")).over(reach).cast("int"))
-        .groupBy(*chunk)
-        .agg(
-            F.max(F.when(~own, at)).alias("before"),
-            F.sort_array(F.collect_list(F.when(own, F.struct("at", "beyond", *payload)))).alias("row"),
-        )
-        .where(F.size("row") > 0)
-        .withColumn("carried", F.coalesce(F.col("before") >= F.col("row")[0]["at"] - width, F.lit(False)))
-    )
-    joined = tables.join(_carried_entries(tables, keys, slots), chunk, "left")
-    begin = F.when(F.col("carried"), F.col("entry")).otherwise(F.col("row")[0]["at"])
-    usable = F.filter("row", lambda x: x["at"] >= F.col("begin"))
-    taken = lambda acc: F.try_element_at(acc, F.lit(-1))
-    empty = F.slice("row", 1, 0)
-    chosen = F.aggregate(
-        usable, empty,
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["at"] > taken(acc)["at"] + width), F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
-    return joined.withColumn("begin", begin).select(*keys, F.inline(chosen)).drop("beyond")
-
-
-def _carried_entries(tables: DataFrame, keys: Sequence[str], slots: Slots) -> DataFrame:
-    """The instant at which the first window of each carried slot opens."""
-    width, length = slots.width, slots.length
-    row, first_slot_instant = F.col("row"), F.col("slot") * length
-    last = F.element_at("row", -1)["at"]
-    # Only a slot that hangs on the one before, or may reach into the one after, matters.
-    open_slots = tables.where(F.col("carried") | (last + width >= first_slot_instant + length))
-
-    # Follow the positions from window to window until they stay: each round doubles the
-    # number of steps, and a slot has room for length / width + 1 windows.
-    count = F.size("row")
-    hop = F.transform("row", lambda x, i: F.when(x["beyond"] >= count, i).otherwise(x["beyond"]))
-    for _ in range(math.ceil(math.log2(length / max(width, 1) + 2))):
-        hop = let(hop, lambda h: F.transform(h, lambda j: F.get(h, j)))
-    hops = open_slots.withColumn("hop", hop)
-
-    early = F.size(F.filter("row", lambda x: x["at"] <= first_slot_instant + width))
-    offered = F.when(F.col("carried"), early + 1).otherwise(1)
-    routes = F.transform(
-        F.slice(row, F.lit(1), offered),
-        lambda x, i: F.struct(
-            x["at"].alias("entry"), F.get(row, F.get(F.col("hop"), i))["at"].alias("exit")),
-    )
-    chains = (
-        hops.select(*keys, F.struct("slot", "carried", routes.alias("routes")).alias("step"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("step")).alias("steps"))
-        .where(F.exists("steps", lambda s: s["carried"]))
+    chunk = [*keys, "slot"]
+    rows = settle(candidates.select(*chunk, "at", "side", *payload), "window-candidates")
+    opens = _entries(rows, keys, slots)
+    marks = opens.select(*chunk, F.col("entry").alias("at"), F.lit(MARK).alias("side"),
+                         *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in payload])
+    width, n = slots.width, len(keys)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scan = None, None
+        for batch in batches:
+            taken = []
+            for k, (*key, at, side) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:n + 3]))):
+                if key != now:
+                    now, scan = key, Choice(width)
+                if scan.takes(at, side):
+                    taken.append(k)
+            if taken:
+                yield batch.take(pa.array(taken))
+
+    sorted_ = rows.unionByName(marks).repartition(*chunk).sortWithinPartitions(*chunk, "at", "side")
+    return sorted_.mapInArrow(choose, rows.schema).drop("slot", "side")
+
+
+class Choice:
+    """The windows of one slot, met in time order: holds the last one only."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.before, self.free, self.met, self.marked = width, None, None, False, None
+
+    def takes(self, at: int, side: int) -> bool:
+        """Whether a window opens at this row."""
+        if side == MARK:
+            self.marked = at
+            return False
+        if side < 0:
+            self.before = at
+            return False
+        if not self.met:
+            self.met = True
+            # A carried slot waits for the mark at its first window.
+            self.free = None if self.before is not None and self.before >= at - self.width else at
+        if self.free is None and self.marked == at:
+            self.free = at
+        if self.free is None or at < self.free:
+            return False
+        self.free = at + self.width + 1
+        return True
+
+
+def _entries(rows: DataFrame, keys: Sequence[str], slots: Slots) -> DataFrame:
+    """The instant at which the first window of each carried slot opens: keys, slot, ``entry``."""
+    chunk, n, width, length = [*keys, "slot"], len(keys), slots.width, slots.length
+    kept = StructType([rows.schema[c] for c in chunk])
+    routes = StructType([*kept.fields, StructField("carried", BooleanType()), StructField("entry", LongType()),
+                         StructField("exit", LongType())])
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scan = None, None
+        for batch in batches:
+            done = []
+            for *key, at, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if scan is not None:
+                        done += [(*now, *r) for r in scan.routes()]
+                    now, scan = key, Routes(key[-1] * length, width, length)
+                scan.add(at, side)
+            yield from _batch(done, routes)
+        if scan is not None:
+            yield from _batch([(*now, *r) for r in scan.routes()], routes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slot, last, hit = None, None, None, False
+        for batch in batches:
+            found = []
+            for *key, number, carried, entry, leaves in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    now, slot, last = key, None, None
+                if number != slot:
+                    slot, hit = number, False
+                if hit:
+                    continue
+                if not carried:
+                    last, hit = leaves, True
+                elif last is not None and entry > last + width:
+                    found.append((*key, number, entry))
+                    last, hit = leaves, True
+            yield from _batch(found, out)
+
+    out = StructType([*kept.fields, StructField("entry", LongType())])
+    offered = (
+        rows.select(*chunk, "at", "side").repartition(*chunk).sortWithinPartitions(*chunk, "at").mapInArrow(offer, routes)
     )
-    walk_type = "struct<last:bigint,found:array<struct<slot:bigint,entry:bigint>>>"
-    start = F.struct(F.lit(None).alias("last"), F.array().alias("found")).cast(walk_type)
-
-    def step(acc, s):
-        hit = F.when(~s["carried"], F.get(s["routes"], F.lit(0))).otherwise(
-            F.get(F.filter(s["routes"], lambda r: r["entry"] > acc["last"] + width), F.lit(0)))
-        found = F.when(
-            s["carried"] & hit.isNotNull(),
-            F.concat(acc["found"], F.array(F.struct(s["slot"].alias("slot"), hit["entry"].alias("entry")))),
-        ).otherwise(acc["found"])
-        return F.struct(F.coalesce(hit["exit"], acc["last"]).alias("last"), found.alias("found"))
-
-    walked = F.aggregate("steps", start, step, lambda acc: acc["found"])
-    return chains.select(*keys, F.inline(walked))
+    return offered.repartition(*keys).sortWithinPartitions(*chunk, "entry").mapInArrow(walk, out)
+
+
+class Routes:
+    """For one slot: where its last window opens, for each place where the first may open.
+
+    Instants come in time order. The chain of windows from each entry is at one place at a
+    time; chains that meet go on as one, so no more are held than entries exist, and these lie
+    in the first width of the slot.
+    """
+
+    def __init__(self, start: int, width: int, length: int) -> None:
+        self.start, self.width, self.end = start, width, start + length
+        self.before = self.carried = None
+        self.entries: list[int] = []
+        self.parent: list[int] = []
+        self.exit: list[int] = []
+        self.open: deque[tuple[int, int]] = deque()
+        self.late = False
+
+    def _root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def add(self, at: int, side: int) -> None:
+        if side < 0:
+            self.before = at
+            return
+        if self.carried is None:
+            self.carried = self.before is not None and self.before >= at - self.width
+            entry = True
+        else:
+            # The first instant beyond the first width may still be the first window.
+            entry = self.carried and not self.late
+        self.late = self.late or at > self.start + self.width
+        landed = None
+        while self.open and self.open[0][0] + self.width < at:
+            root = self._root(self.open.popleft()[1])
+            if landed is None:
+                landed = root
+            elif root != landed:
+                self.parent[root] = landed
+        if entry:
+            own = len(self.parent)
+            self.entries.append(at)
+            self.parent.append(own if landed is None else landed)
+            self.exit.append(at)
+            landed = own if landed is None else landed
+        if landed is not None:
+            self.exit[landed] = at
+            self.open.append((at, landed))
+        self.last = at
+
+    def routes(self) -> Iterator[tuple[bool, int, int]]:
+        """``carried, entry, exit``, for slots that hang on another or may reach into the next."""
+        if self.carried is None or not (self.carried or self.last + self.width >= self.end):
+            return
+        for k, entry in enumerate(self.entries):
+            yield self.carried, entry, self.exit[self._root(k)]
+
+
+def _batch(rows: list[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
+    if rows:
+        arrow = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 def in_windows(

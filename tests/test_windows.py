@@ -118,3 +118,34 @@ def test_bad_widths_are_refused():
     for args in ((-1,), (10, 5)):
         with pytest.raises(ValueError):
             Slots.of(*args)
+
+
+def test_a_million_instants_of_one_key_in_one_slot(spark):
+    """Microsecond instants, wide windows: the slot is carried, and read as a stream."""
+    from palisade.functions.times import MINUTE
+
+    count, step, width = 1_000_000, 977_777, 1440 * MINUTE
+    slots = Slots.of(width)
+    start = 5 * slots.length
+    nodes = spark.range(-3, count).select(
+        F.lit("k").alias("key"), (F.lit(start) + F.col("id") * step).alias("at"), F.lit(1).cast("bigint").alias("c"))
+    found = greedy_windows(
+        ahead_counts(nodes, ["key"], slots).where(F.col("n") >= 2), ["key"], slots, ["n"]).orderBy("at").collect()
+    want, at, last = [], start - 3 * step, start + (count - 1) * step
+    while at < last:
+        want.append(at)
+        at += (width // step + 1) * step
+    assert [r["at"] for r in found] == want and len(want) > 5
+
+
+def test_routes_hold_the_chains_that_are_open():
+    """Far more instants than fit in a width pass through without being kept."""
+    from palisade.operators.windows import Routes
+
+    routes = Routes(0, 100, 1_000_000)
+    routes.add(-50, -1)
+    most = 0
+    for at in range(0, 900_000, 7):
+        routes.add(at, 0)
+        most = max(most, len(routes.open))
+    assert most <= 16 and len(routes.entries) <= 16
