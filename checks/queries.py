@@ -20,7 +20,6 @@ from palisade.plans.threats import Detections, DetectorSettings
 from palisade.session import configure
 from palisade.sources import ingest, parsers
 from palisade.sources.event_view import logs_as_lines, read_logs
-from palisade.sources.tables import balanced
 
 WHOLE = {"start": datetime(2000, 1, 1), "end": datetime(2100, 1, 1)}
 SINGLE = {"window_seconds": 60, "single_ip_threshold": 8, **WHOLE}
@@ -96,7 +95,8 @@ def over_lines(parser: str | None = None, hints: bool = True, router: str = "ref
 
 
 def _parsed(logs: DataFrame, parser: str | None = None, hints: bool = True, router: str = "reference") -> DataFrame:
-    lines = balanced(logs_as_lines(logs))
+    # Parsing is heavy per row, and the given table is one small file.
+    lines = logs_as_lines(logs).repartition(logs.sparkSession.sparkContext.defaultParallelism)
     return parsers.parse_lines(lines if hints else lines.drop("log_source_hint"), REFERENCE_TIME, parser, router)
 
 

@@ -35,13 +35,16 @@ def dashboard(logs: DataFrame, as_of: datetime, settings: DetectorSettings = Det
 
 
 def health(logs: DataFrame, as_of: datetime) -> DataFrame:
-    """Rows and HIGH rows of the last day, and the newest timestamp overall, in one pass."""
-    recent = F.col("timestamp").between(ntz(as_of - timedelta(hours=24)), ntz(as_of))
-    return logs.agg(
-        F.count_if(recent).alias("total_logs_24h"),
-        F.count_if(recent & (F.col("severity") == "HIGH")).alias("high_severity_logs_24h"),
-        F.max("timestamp").alias("last_log_timestamp"),
-    )
+    """Rows and HIGH rows of the last day, and the newest timestamp overall.
+
+    The counts read the day alone; the newest timestamp is a column of its own, which files
+    have in their statistics.
+    """
+    one = F.lit(1).alias("one")
+    counts = in_range(logs, as_of - timedelta(hours=24), as_of).agg(
+        F.count("*").alias("total_logs_24h"), F.count_if(F.col("severity") == "HIGH").alias("high_severity_logs_24h"))
+    newest = logs.agg(F.max("timestamp").alias("last_log_timestamp"))
+    return counts.select(one, "*").join(newest.select(one, "*"), "one").drop("one")
 
 
 def score(summary: DataFrame, state: DataFrame) -> DataFrame:
@@ -56,21 +59,23 @@ def score(summary: DataFrame, state: DataFrame) -> DataFrame:
 def top_ips(logs: DataFrame, as_of: datetime, limit: int = TOP_IPS) -> DataFrame:
     """The busiest sources of the last seven days, each with the time it was last seen.
 
-    Only when these days hold no row at all the whole log is used. Asking that first reads
-    one row; deciding it inside the query would read the whole log every time.
+    Only when these days hold no row at all the whole log is used, in the same job: all rows
+    are matched against one row that exists when the days have any, and none pass then.
     """
     since = as_of - timedelta(days=TOP_DAYS)
     named = logs.where(F.col("source_ip").isNotNull())
-    if in_range(named, since, as_of).isEmpty():
-        return _ranked(named, F.lit(True), limit)
+    one = F.lit(1).alias("one")
+    some = in_range(named, since, as_of).limit(1).select(one)
     # Rows after `as_of` do not count, but may be where a source was last seen.
-    return _ranked(in_range(named, since, None), F.col("timestamp") <= ntz(as_of), limit)
+    lately = _counted(in_range(named, since, None), F.col("timestamp") <= ntz(as_of))
+    ever = _counted(named.select("*", one).join(some, "one", "left_anti"), F.lit(True))
+    return lately.union(ever).orderBy(F.desc("total_logs"), "source_ip").limit(limit)
 
 
-def _ranked(logs: DataFrame, counted, limit: int) -> DataFrame:
+def _counted(logs: DataFrame, counted) -> DataFrame:
     per_ip = logs.groupBy("source_ip").agg(
         F.count_if(counted).alias("total_logs"),
         *[F.count_if(counted & (F.col("severity") == s)).alias(s.lower()) for s in stats.BREAKDOWN],
         F.max("timestamp").alias("last_seen"),
     )
-    return per_ip.where(F.col("total_logs") > 0).orderBy(F.desc("total_logs"), "source_ip").limit(limit)
+    return per_ip.where(F.col("total_logs") > 0)

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from palisade.functions.times import ntz
 from palisade.operators.filters import in_range
-from palisade.schema import LOG_SCHEMA
 from palisade.session import settle
 from palisade.sources.tables import append_logs, read_logs
 
 BATCH_ROWS = 2000
 # An estimate of what a record takes besides its text.
 ROW_OVERHEAD_BYTES = 200
+# Inside the table's folder; readers pass over names that begin with an underscore.
+SWAP = "_swap"
 
 
 @dataclass(frozen=True)
@@ -45,28 +46,37 @@ def find_cut(logs: DataFrame, max_bytes: int, batch_rows: int = BATCH_ROWS) -> C
     Whole batches are deleted: as few as bring the size down to the limit.
     """
     sized = logs.where(F.col("timestamp").isNotNull()).select("timestamp", "log_id", row_bytes().alias("bytes"))
-    total = sized.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    # The one read of the whole log; what follows reads single hours.
+    hours = settle(_per_bucket(sized, "hour"), "hours")
+    total = hours.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     if not total["rows"] or total["bytes"] <= max_bytes:
         return None
-    by_size = _locate(sized, "bytes", total["bytes"] - max_bytes)
+    by_size = _locate(sized, hours, "bytes", total["bytes"] - max_bytes)
     rows = min(-(-by_size["rows_to"] // batch_rows) * batch_rows, total["rows"])
-    last = by_size if rows == by_size["rows_to"] else _locate(sized, "rows", rows)
+    last = by_size if rows == by_size["rows_to"] else _locate(sized, hours, "rows", rows)
     return Cut(last["timestamp"], last["log_id"], rows, total["bytes"], total["bytes"] - last["bytes_to"])
 
 
-def _locate(sized: DataFrame, measure: str, target: int) -> dict:
+def _bucket(unit: str) -> Column:
+    return F.date_trunc(unit, "timestamp").cast("timestamp_ntz")
+
+
+def _per_bucket(sized: DataFrame, unit: str) -> DataFrame:
+    return sized.groupBy(_bucket(unit).alias("bucket")).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+def _locate(sized: DataFrame, hours: DataFrame, measure: str, target: int) -> dict:
     """The first row at which the running total of rows or bytes, oldest first, reaches the target."""
     rows, start = sized, {"rows": 0, "bytes": 0}
-    for unit in ("hour", "second"):
-        bucket = F.date_trunc(unit, "timestamp").cast("timestamp_ntz")
-        counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
-        # At most one row per hour of the log, then 3600: small enough for one window.
+    for unit in ("hour", "second", "microsecond"):
+        # At most one row per hour of the log, then 3600, then a million: small enough for one window.
+        counts = hours if unit == "hour" else _per_bucket(rows, unit)
         hit = _reach(counts, [F.col("bucket")], start, measure, target)
         start = {m: hit[f"{m}_to"] - hit[m] for m in ("rows", "bytes")}
         # The plain range reaches the scan; the bucket makes it exact.
-        rows = in_range(rows, hit["bucket"], None).where(bucket == ntz(hit["bucket"]))
+        rows = in_range(rows, hit["bucket"], None).where(_bucket(unit) == ntz(hit["bucket"]))
     single = rows.withColumn("rows", F.lit(1).cast("bigint"))
-    return _reach(single, [F.col("timestamp"), F.col("log_id")], start, measure, target)
+    return _reach(single, [F.col("log_id")], start, measure, target) | {"timestamp": hit["bucket"]}
 
 
 def _reach(counts: DataFrame, order: list[Column], start: dict, measure: str, target: int) -> dict:
@@ -82,28 +92,61 @@ def after(cut: Cut) -> Column:
 
 
 def retained(logs: DataFrame, max_bytes: int, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """The log after retention."""
+    """The log after retention. Rows without a time have no age: they stay and do not count."""
     cut = find_cut(logs, max_bytes, batch_rows)
-    return logs if cut is None else in_range(logs, cut.timestamp, None).where(after(cut))
+    return logs if cut is None else logs.where(F.col("timestamp").isNull() | after(cut))
 
 
 def enforce_retention(spark, table: str, max_mb: int, batch_rows: int = BATCH_ROWS) -> Cut | None:
     """Apply retention to a log table: drop whole days, rewrite the day of the cut.
 
-    What stays of that day is written aside first and only then put in place of the day, so
-    a failure on the way loses nothing. Run it while nothing else writes to the table.
+    What stays of that day is written inside the table's folder, where readers do not look, and
+    then put in place of the day by a rename. A run that was stopped on the way is finished
+    by ``finish_swap``, which the next run calls first; nothing is lost in between. Run it while nothing else writes to the table.
     """
+    finish_swap(spark, table)
     cut = find_cut(read_logs(spark, table), max_mb * 1024 * 1024, batch_rows)
     if cut is None:
         return None
     day = cut.timestamp.date()
     boundary = read_logs(spark, table).where(F.col("log_date") == F.lit(day))
-    kept = settle(boundary.where(after(cut)).select(*LOG_SCHEMA.names), "retention")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("log_date=") and name.removeprefix("log_date=") <= day.isoformat():
-            files.delete(status.getPath(), True)
-    append_logs(kept, table)
+    append_logs(boundary.where(after(cut)), f"{table}/{SWAP}/new", "kept")
+    path, files = _files(spark, table)
+    # Whether anything of the day stays has to be known when it has been moved in, too.
+    some = files.exists(path(f"{SWAP}/new/log_date={day.isoformat()}"))
+    files.mkdirs(path(f"{SWAP}/{'before' if some else 'through'}={day.isoformat()}"))
+    finish_swap(spark, table)
     return cut
+
+
+def finish_swap(spark, table: str) -> None:
+    """Delete the days up to the cut and move in what stays of its day, as far as that is not done.
+
+    The mark is set once what stays is complete. Without it the written rows are of a stopped
+    run and go; with it every step can be repeated.
+    """
+    path, files = _files(spark, table)
+    if not files.exists(path(SWAP)):
+        return
+    marks = [m for m in _names(files, path(SWAP)) if m.startswith(("before=", "through="))]
+    if marks:
+        kind, _, date = marks[0].partition("=")
+        day = f"log_date={date}"
+        waiting = files.exists(path(f"{SWAP}/new/{day}"))
+        # Once what stays is moved in, the day's folder is no longer an old one.
+        gone = lambda name: name < day or name == day and (waiting or kind == "through")
+        for name in _names(files, path("")):
+            if name.startswith("log_date=") and "__HIVE" not in name and gone(name):
+                files.delete(path(name), True)
+        if waiting:
+            files.rename(path(f"{SWAP}/new/{day}"), path(day))
+    files.delete(path(SWAP), True)
+
+
+def _names(files, folder) -> list[str]:
+    return [status.getPath().getName() for status in files.listStatus(folder)]
+
+
+def _files(spark, table: str):
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{name}" if name else table)
+    return place, place("").getFileSystem(spark._jsc.hadoopConfiguration())

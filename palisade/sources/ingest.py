@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palisade.sources.parsers import parse_lines, records
@@ -13,10 +13,14 @@ from palisade.sources.tables import append_logs
 
 def ingest_summary(parsed: DataFrame) -> DataFrame:
     """Received, ingested and failed lines as one row, with a message."""
-    counts = parsed.agg(
+    return _told(parsed.agg(
         F.count("*").alias("total_received"),
         F.count("parsed").alias("ingested_count"),
-    ).withColumn("failed_count", F.col("total_received") - F.col("ingested_count"))
+    ))
+
+
+def _told(counts: DataFrame) -> DataFrame:
+    counts = counts.withColumn("failed_count", F.col("total_received") - F.col("ingested_count"))
     # The texts of the message.
     some = F.format_string("Successfully ingested %d log(s). %d failed to parse.", "ingested_count", "failed_count")
     return counts.select(
@@ -31,12 +35,17 @@ def ingest(
     table: str,
     reference_time: datetime,
     router: str = "reference",
+    load: str | None = None,
 ) -> DataFrame:
-    """Parse lines and append them to the log table; returns the counts.
+    """Parse lines and add them to the log table; returns the counts.
 
-    The lines are read twice, once to write and once to count. Counting needs no shuffle
-    of the lines, and holding them between the two would cost more than parsing.
+    Lines are parsed once: what is written is counted on the way. Ids come with the lines
+    (``read_lines(..., first_id=next_id(spark, table))`` continues those of the table).
     """
-    parsed = parse_lines(lines, reference_time, router=router)
-    append_logs(records(parsed), table)
-    return ingest_summary(parsed)
+    seen = Observation("ingest")
+    counts = F.count("*").alias("total_received"), F.count("parsed").alias("ingested_count")
+    parsed = parse_lines(lines, reference_time, router=router).observe(seen, *counts)
+    append_logs(records(parsed), table, load)
+    got = seen.get
+    return _told(lines.sparkSession.createDataFrame(
+        [(got["total_received"], got["ingested_count"])], "total_received long, ingested_count long"))

@@ -2,48 +2,68 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.schema import LOG_SCHEMA, LOG_TABLE_SCHEMA
 
 
-def read_lines(spark: SparkSession, path: str, log_source_hint: str | None = None) -> DataFrame:
-    """Text files as raw lines. The id combines the file with the place Spark gives a line."""
-    return spark.read.text(path).select(
-        F.xxhash64("_metadata.file_path", "_metadata.file_modification_time",
-                   F.monotonically_increasing_id()).alias("line_id"),
-        F.col("value").alias("line"),
-        F.lit(log_source_hint).cast("string").alias("log_source_hint"),
-    )
+def read_lines(spark: SparkSession, path: str, log_source_hint: str | None = None, first_id: int = 0) -> DataFrame:
+    """Text files as raw lines with consecutive ids from ``first_id``."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.lit(log_source_hint).cast("string").alias("log_source_hint"))
+    return numbered(lines, first_id).select("line_id", "line", "log_source_hint")
 
 
-def balanced(rows: DataFrame) -> DataFrame:
-    """Spread rows over all cores when their files give fewer tasks than that.
+def numbered(rows: DataFrame, first: int, column: str = "line_id") -> DataFrame:
+    """``rows`` with consecutive ids from ``first``, in the order of their partitions.
 
-    Parsing is heavy per row, and a small file is a single task. A large input already has
-    more tasks than cores and is left as it is: no shuffle.
+    Rows are counted per partition, and the counts, one per partition, give each its start.
+    ``rows`` must read the same partitions twice, as files do.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    counts = {r["part"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    starts, at = {}, first
+    for part in sorted(counts):
+        starts[part], at = at, at + counts[part]
+    # The lower 33 bits of Spark's id are the place in the partition.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    # One entry per partition that has rows.
+    start = F.element_at(F.from_json(F.lit(json.dumps(starts)), "map<string, bigint>"), F.spark_partition_id().cast("string"))
+    return rows.withColumn(column, start + place) if starts else rows.withColumn(column, F.lit(first).cast("bigint"))
+
+
+def next_id(spark: SparkSession, path: str) -> int:
+    """The id after the largest in the log table."""
+    if not exists(spark, path):
+        return 0
+    largest = read_logs(spark, path).agg(F.max("log_id").alias("m")).first()["m"]
+    return 0 if largest is None else largest + 1
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
-def append_logs(logs: DataFrame, path: str) -> None:
-    """Append records to the log table.
+def append_logs(logs: DataFrame, path: str, load: str | None = None) -> None:
+    """Add records to the log table, below their day, in a folder named by ``load``.
 
-    Rows are brought together by day, so a day gets few files, and split by source within
-    it, so a busy day is not one task. Files are sorted by source and time: their min/max
-    statistics then let a scan skip most of them.
+    Writing the same load again replaces what it wrote before; without a name it is a new
+    one. Rows are brought together by day, and days are cut by their size at run time. Files
+    are sorted by source and time: their min/max statistics then let a scan skip most of them.
     """
-    dated = logs.select(*LOG_SCHEMA.names, F.col("timestamp").cast("date").alias("log_date"))
-    (dated.repartition("log_date", F.pmod(F.xxhash64("source_ip", F.date_trunc("hour", "timestamp")), F.lit(64)))
-     .sortWithinPartitions("log_date", "source_ip", "timestamp")
-     .write.mode("append").partitionBy("log_date").parquet(path))
+    dated = logs.select(
+        *LOG_SCHEMA.names, F.col("timestamp").cast("date").alias("log_date"), F.lit(load or uuid.uuid4().hex).alias("load"))
+    (dated.hint("rebalance", "log_date", "load").sortWithinPartitions("log_date", "source_ip", "timestamp")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "load").parquet(path))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """The log table. Filters on ``log_date`` prune folders; others reach the files."""
-    return spark.read.schema(LOG_TABLE_SCHEMA).parquet(path)
+    return spark.read.schema(LOG_TABLE_SCHEMA).parquet(path).select(*LOG_TABLE_SCHEMA.names)
 
 
 def export_rows(rows: DataFrame, path: str, kind: str = "csv") -> None:

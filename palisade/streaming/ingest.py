@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.sources.parsers import failures, parse_lines, records
-from palisade.sources.tables import append_logs
+from palisade.sources.tables import append_logs, numbered
 
 
 def follow(spark: SparkSession, folder: str, log_source_hint: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -32,29 +34,32 @@ def stream_ingest(
     router: str = "reference",
     reference_time: Column | None = None,
     trigger: dict | None = None,
+    first_id: int = 0,
 ) -> StreamingQuery:
-    """Append parsed records to the log table and other lines to a folder of failures.
+    """Add parsed records to the log table and other lines to a folder of failures.
 
-    A batch may run again after a failure. Its failures are written to a folder of the
-    batch, which is replaced; its records carry ids made of the batch and the place in it,
-    and a batch that was already written is recognised by its marker and left out.
+    A batch may run again after a failure: both its records and its failures go to folders
+    of the batch, which are replaced. Ids are consecutive over the stream; a batch leaves a mark
+    with the id after its last, and a batch that runs again starts at the same id. Lines
+    without a stamp take the time of their batch, which the stream keeps, so they
+    return to the same day.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = f"{checkpoint}/written/{number}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(done)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.exists(path):
-            return
-        # 2^40 rows per batch and 2^23 batches fit an id.
-        numbered = batch.withColumn(
-            "line_id", F.lit(number << 40).cast("bigint")
-            + F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 24)
-            + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        parsed = parse_stream(numbered, router, reference_time)
+        path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/{name}")
+        files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        first = first_id
+        if number:
+            marks = files.listStatus(path(f"ids/{number - 1}"))
+            first = int(marks[0].getPath().getName())
+        lines = numbered(batch, first)
+        parsed = parse_stream(lines, router, F.col("batch_time") if reference_time is None else reference_time)
         failures(parsed).write.mode("overwrite").parquet(f"{failed}/batch={number}")
-        append_logs(records(parsed), table)
-        files.mkdirs(path)
+        append_logs(records(parsed), table, f"{name}-{number}")
+        files.mkdirs(path(f"ids/{number}/{first + batch.count()}"))
 
+    # Every stream names its loads after its checkpoint.
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    lines = lines.withColumn("batch_time", F.current_timestamp().cast("timestamp_ntz"))
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/state")
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -1,7 +1,4 @@
-"""Registered queries against their SQL. PALISADE_ALL=1 runs all of them; by default the
-slow ones, which the comparison tool covers, are left out."""
-
-import os
+"""Registered queries against their SQL, all of them."""
 
 import pytest
 
@@ -10,11 +7,6 @@ from checks.oracles import statements
 from checks.queries import queries
 
 SQL = statements()
-QUICK = [n for n in queries() if not n.startswith((
-    "threat", "report", "active", "security", "flood", "malicious", "top_threat", "recommendations", "dashboard_score"))]
-CHOSEN = list(queries()) if os.environ.get("PALISADE_ALL") else [*QUICK, "report_sections", "active_alerts"]
-
-
 @pytest.fixture(scope="module")
 def connection(small):
     return database(small)
@@ -24,7 +16,7 @@ def test_every_query_has_sql():
     assert set(SQL) == set(queries())
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, small, connection, name):
     assert difference(queries()[name](spark, small), connection, SQL[name]) is None
 

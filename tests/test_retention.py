@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.plans import retention
 from palisade.plans.retention import ROW_OVERHEAD_BYTES, enforce_retention, find_cut, retained
 from palisade.sources.event_view import read_logs
 from palisade.sources.tables import append_logs, read_logs as read_table
@@ -41,3 +42,43 @@ def test_table_is_cut(spark, small, tmp_path):
     assert left.agg(F.min("timestamp")).first()[0] >= cut.timestamp
     assert enforce_retention(spark, table, 2, 100) is None
     assert find_cut(left.where(F.col("timestamp") > F.lit(datetime(2050, 1, 1))), 0) is None
+
+
+@pytest.mark.parametrize("stopped", ["before the mark", "after the mark", "after deleting", "after the move"])
+def test_a_stopped_run_loses_nothing(spark, small, tmp_path, monkeypatch, stopped):
+    table, aside = str(tmp_path / "logs"), str(tmp_path / "aside")
+    logs = read_logs(spark, small).withColumn("raw_log", F.repeat("raw_log", 40))
+    for path in (table, aside):
+        append_logs(logs, path)
+    enforce_retention(spark, aside, 2, 100)
+    want = {r.log_id for r in read_table(spark, aside).collect()}
+    finish = retention.finish_swap
+    with monkeypatch.context() as patch:
+        patch.setattr(retention, "finish_swap", lambda *a: None)
+        cut = enforce_retention(spark, table, 2, 100)
+    path, files = retention._files(spark, table)
+    day = cut.timestamp.date().isoformat()
+    if stopped == "before the mark":
+        files.delete(path(f"_swap/before={day}"), True)
+        assert read_table(spark, table).count() == 1000
+        assert enforce_retention(spark, table, 2, 100) == cut
+    else:
+        if stopped != "after the mark":
+            for name in retention._names(files, path("")):
+                if name.startswith("log_date=") and name <= f"log_date={day}":
+                    files.delete(path(name), True)
+        if stopped == "after the move":
+            files.rename(path(f"_swap/new/log_date={day}"), path(f"log_date={day}"))
+        assert enforce_retention(spark, table, 2, 100) is None
+    assert {r.log_id for r in read_table(spark, table).collect()} == want
+    finish(spark, table)
+    assert {r.log_id for r in read_table(spark, table).collect()} == want
+
+
+def test_rows_without_a_time_stay(spark, small):
+    logs = read_logs(spark, small).withColumn("timestamp", F.when(F.col("log_id") % 10 != 0, F.col("timestamp")))
+    size = logs.where("timestamp is not null").agg(F.sum(retention.row_bytes())).first()[0]
+    cut = find_cut(logs, size // 3, 70)
+    kept = retained(logs, size // 3, 70)
+    assert kept.where("timestamp is null").count() == 100
+    assert kept.count() == 1000 - cut.deleted_rows

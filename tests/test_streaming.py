@@ -115,6 +115,46 @@ def test_ingest_and_restart(spark, small, tmp_path):
     assert [r.line for r in spark.read.parquet(failed).collect()] == ["no address here"]
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, small, tmp_path):
+    """As if the stream stopped after the records were written, and before it was noted."""
+    lines = logs_as_lines(read_logs(spark, small))
+    drop, table, failed, state = (str(tmp_path / n) for n in ("drop", "table", "failed", "state"))
+
+    def run_all():
+        query = ingest.stream_ingest(ingest.follow(spark, drop, files_per_batch=1), table, failed, state)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return sorted((r.log_id, r.raw_log) for r in read_table(spark, table).collect())
+
+    for part in range(2):
+        lines.where(F.col("line_id") % 2 == part).select("line").coalesce(1).write.mode("append").text(drop)
+    spark.createDataFrame([("no stamp, from 10.9.9.9",)], "value string").coalesce(1).write.mode("append").text(drop)
+    first = run_all()
+    assert len(first) == 1001 and [i for i, _ in first] == list(range(1001))
+    for name in ("1", "2", ".1.crc", ".2.crc"):
+        (tmp_path / "state" / "state" / "commits" / name).unlink(missing_ok=True)
+    assert run_all() == first
+
+
+def test_port_scan_stream_equals_a_plain_loop(spark, tmp_path):
+    from tests.test_detectors import logs, scan_loop, scan_series
+
+    folder = str(tmp_path / "in")
+    series = scan_series(8)
+    logs(spark, series).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        logs(spark, [(10 ** 8, "later", 1, "TCP")]).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # The first file holds all rows, so none is late.
+    got = run(spark, detect.port_scan_stream(frame), tmp_path).collect()
+    zero = datetime(2024, 1, 1)
+    second = lambda t: int((t - zero).total_seconds())
+    want = scan_loop(series, least_rows=1)
+    base = second(min(r.window_start for r in got)) - min(w[3] for w in want)
+    assert sorted((r.source_ip, r.attempt_count, r.unique_ports, second(r.window_start) - base, second(r.window_end) - base) for r in got) == want
+
+
 def test_enriched_alert_feed(spark, files, tmp_path):
     reputation = spark.createDataFrame([("10.0.0.0", True, "HIGH")], "ip string, detected boolean, threat_level string")
     out = str(tmp_path / "alerts")
