@@ -55,6 +55,21 @@ def over_logs(query: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([LOGS, *ctes])}\n{query}"
 
 
+_AS_OF = "TIMESTAMP '2024-01-30 00:02:00'"
+_LAST_DAY = f"{_AS_OF} - INTERVAL 24 HOUR AND {_AS_OF}"
+
+
+def _within(statement: str, bounds: str) -> str:
+    """The statement over the rows of a period alone."""
+    return statement.replace("\nlogs AS (", "\nall_logs AS (", 1).replace(
+        "  FROM fields)", f'  FROM fields),\nlogs AS (SELECT * FROM all_logs WHERE "timestamp" BETWEEN {bounds})', 1)
+
+
+def _iso(column: str) -> str:
+    return (f"strftime({column}, '%Y-%m-%dT%H:%M:%S') || "
+            f"CASE WHEN epoch_us({column}) % 1000000 = 0 THEN '' ELSE strftime({column}, '.%f') END")
+
+
 def chain(name: str, candidates: str, keys: str, width: str) -> str:
     """Windows among candidate instants: hop to the first candidate after the last cover."""
     listed = keys.split(", ")
@@ -575,14 +590,16 @@ FROM target_windows w""", *TARGET_PARTS),
         "top_event_types": over_logs(
             "SELECT replace(event_type, '_', ' ') AS event_type, count(*) AS count FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
         "stats_bundle": over_logs(
-            """SELECT 'total_logs' AS statistic, 'all' AS key, count(*) AS count FROM logs
-UNION ALL SELECT 'severity_counts', severity, count(*) FROM logs GROUP BY severity
-UNION ALL SELECT 'event_type_counts', event_type, count(*) FROM logs GROUP BY event_type
-UNION ALL SELECT 'protocol_counts', protocol, count(*) FROM logs WHERE protocol IS NOT NULL GROUP BY protocol
-UNION ALL SELECT 'logs_by_hour', strftime("timestamp", '%Y-%m-%dT%H:00:00'), count(*) FROM logs
+            """SELECT 'total_logs' AS statistic, 'all' AS key, count(*) AS count, NULL AS detail FROM logs
+UNION ALL SELECT 'severity_counts', severity, count(*), NULL FROM logs GROUP BY severity
+UNION ALL SELECT 'event_type_counts', event_type, count(*), NULL FROM logs GROUP BY event_type
+UNION ALL SELECT 'protocol_counts', protocol, count(*), NULL FROM logs WHERE protocol IS NOT NULL GROUP BY protocol
+UNION ALL SELECT 'logs_by_hour', strftime("timestamp", '%Y-%m-%dT%H:00:00'), count(*), NULL FROM logs
   WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-30 00:02:00' GROUP BY 2
-UNION ALL (SELECT 'top_source_ips', source_ip, count(*) FROM logs GROUP BY source_ip ORDER BY 3 DESC, 2 LIMIT 10)
-UNION ALL (SELECT 'top_ports', CAST(destination_port AS VARCHAR), count(*) FROM logs WHERE destination_port IS NOT NULL
+UNION ALL (SELECT 'top_source_ips', source_ip, count(*), concat_ws(',',
+    'HIGH=' || nullif(count(*) FILTER (WHERE severity = 'HIGH'), 0), 'MEDIUM=' || nullif(count(*) FILTER (WHERE severity = 'MEDIUM'), 0),
+    'LOW=' || nullif(count(*) FILTER (WHERE severity = 'LOW'), 0)) FROM logs GROUP BY source_ip ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL (SELECT 'top_ports', CAST(destination_port AS VARCHAR), count(*), min(protocol) FROM logs WHERE destination_port IS NOT NULL
   GROUP BY destination_port ORDER BY 3 DESC, destination_port LIMIT 10)"""),
         "time_breakdown": over_logs(
             "SELECT strftime(\"timestamp\", '%Y-%m-%dT00:00:00') AS time, count(*) AS count, "
@@ -673,19 +690,67 @@ ORDER BY {_RANK.format('severity')} DESC, detected_at DESC, type, source_ip, des
         "report_sections": rec(_report_lines(), *full),
         "report_print_sections": rec(_print_lines(), *full),
         "report_json": rec(
-            """SELECT 'report' AS section, 1 AS rows, 0 AS with_severity
-UNION ALL SELECT 'severity_distribution', count(DISTINCT severity), count(DISTINCT severity) FROM logs
-UNION ALL SELECT 'event_type_distribution', count(DISTINCT event_type), 0 FROM logs
-UNION ALL SELECT 'protocol_distribution', count(DISTINCT protocol), 0 FROM logs
-UNION ALL SELECT 'top_source_ips', least(10, count(DISTINCT source_ip)), 0 FROM logs
-UNION ALL SELECT 'top_ports', count(*), 0 FROM top_port_rows
-UNION ALL SELECT 'time_breakdown', count(DISTINCT date_trunc('day', "timestamp")), 0 FROM logs
-UNION ALL SELECT 'brute_force_attacks', count(*), count(*) FROM brute
-UNION ALL SELECT 'ddos_attacks', count(*), count(*) FROM flood_all
-UNION ALL SELECT 'port_scan_attacks', count(*), count(*) FROM scan
-UNION ALL SELECT 'top_threat_sources', count(*), count(*) FROM top_sources
-UNION ALL SELECT 'malicious_ip_analysis', count(*), 0 FROM analysis
-UNION ALL SELECT 'recommendations', count(*), 0 FROM advice""", *full),
+            rf"""SELECT 'summary' AS section, concat_ws('|', (SELECT count(*) FROM logs), security_score, security_status, total_threats,
+    critical_threats, high_threats, medium_threats, low_threats) AS value FROM scored, summary
+UNION ALL SELECT 'report', 'CUSTOM|2000-01-01T00:00:00|2100-01-01T00:00:00'
+UNION ALL SELECT 'severity_distribution', severity || '|' || count(*) FROM logs GROUP BY severity
+UNION ALL SELECT 'event_type_distribution', event_type || '|' || count(*) FROM logs GROUP BY event_type
+UNION ALL SELECT 'protocol_distribution', protocol || '|' || count(*) FROM logs WHERE protocol IS NOT NULL GROUP BY protocol
+UNION ALL (SELECT 'top_source_ips', concat_ws('|', source_ip, count(*), count(*) FILTER (WHERE severity = 'HIGH'),
+    count(*) FILTER (WHERE severity = 'MEDIUM'), count(*) FILTER (WHERE severity = 'LOW')) FROM logs
+  GROUP BY source_ip ORDER BY count(*) DESC, source_ip LIMIT 10)
+UNION ALL (SELECT 'top_ports', concat_ws('|', destination_port, count(*), coalesce(min(protocol), '-')) FROM logs
+  WHERE destination_port IS NOT NULL GROUP BY destination_port ORDER BY count(*) DESC, destination_port LIMIT 10)
+UNION ALL SELECT 'brute_force_attacks', concat_ws('|', source_ip, total_attempts, severity, {_iso('first_attempt')}, {_iso('last_attempt')}) FROM brute
+UNION ALL SELECT 'ddos_attacks', concat_ws('|', attack_type, source_ip_count, total_requests, round(peak_request_rate, 4),
+    coalesce(CAST(target_port AS VARCHAR), '-'), coalesce(target_protocol, '-'), severity, {_iso('first_request')}, {_iso('last_request')}) FROM flood_all
+UNION ALL SELECT 'port_scan_attacks', concat_ws('|', source_ip, total_attempts, unique_ports_attempted, severity,
+    {_iso('first_attempt')}, {_iso('last_attempt')}) FROM scan
+UNION ALL SELECT 'top_threat_sources', concat_ws('|', ip, total_attempts, severity) FROM top_sources
+UNION ALL SELECT 'recommendations', text FROM advice""", *full),
+        "log_page_deep": over_logs(f'SELECT {shown} FROM logs ORDER BY "timestamp" DESC, log_id LIMIT 50 OFFSET 7450'),
+        "log_page_deep_by_severity": over_logs(f"SELECT {shown} FROM logs ORDER BY severity, log_id LIMIT 40 OFFSET 7960"),
+        "log_page_by_source": over_logs(f"SELECT {shown} FROM logs ORDER BY source_ip DESC, log_id LIMIT 30 OFFSET 2970"),
+        "detection_order": rec(
+            f"""SELECT 'brute_force' AS detector, row_number() OVER (ORDER BY total_attempts DESC, source_ip) AS place,
+  source_ip AS key, total_attempts AS size FROM brute
+UNION ALL SELECT 'port_scan', row_number() OVER (ORDER BY {_RANK.format('severity')} DESC, unique_ports_attempted DESC,
+  total_attempts DESC, source_ip), source_ip, total_attempts FROM scan
+UNION ALL SELECT 'ddos', row_number() OVER (ORDER BY {_RANK.format('severity')} DESC, peak_request_rate DESC,
+  array_to_string(ips, ',')), array_to_string(ips, ','), total_requests FROM flood_all""", *seen),
+        "port_scan_enriched": rec(
+            f"SELECT b.source_ip, b.total_attempts, {_LIFTED.format('b')}, h.threat_level FROM scan b "
+            "LEFT JOIN half h ON h.ip = b.source_ip", *SCAN_PARTS, SCAN_DETECTIONS, *REPUTATION_PARTS),
+        "dashboard_top_ips_all_time": over_logs(
+            """SELECT source_ip, count(*) AS total_logs, count(*) FILTER (WHERE severity = 'HIGH') AS high,
+  count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low,
+  max("timestamp") AS last_seen FROM logs GROUP BY source_ip ORDER BY 2 DESC, 1 LIMIT 10"""),
+        "table_round_trip": over_logs(f"SELECT {shown} FROM logs"),
+        "reputation_stored": over_logs("SELECT * FROM newest", *REPUTATION_PARTS),
+        "parse_odd_lines": over_logs(
+            """SELECT log_id, seen AS "timestamp", source_ip, port AS destination_port, protocol, 'syslog' AS log_source, event AS event_type,
+  level AS severity, NULL AS username, line AS raw_log
+FROM (
+  SELECT log_id, source_ip, TIMESTAMP '2024-06-01 12:00:00' AS seen, NULL AS port, NULL AS protocol, 'SYSLOG_ENTRY' AS event, 'LOW' AS level,
+    'gw app: hello from ' || source_ip AS line FROM logs WHERE log_id % 5 = 1
+  UNION ALL SELECT log_id, source_ip, TIMESTAMP '2024-03-03 04:05:06', 22, 'TCP', 'SSH_FAILED_LOGIN', 'HIGH',
+    'Mar  3 04:05:06 gw sshd[7]: Invalid user bob from ' || source_ip FROM logs WHERE log_id % 5 = 2
+  UNION ALL SELECT log_id, source_ip, TIMESTAMP '2024-06-01 12:00:00', 3306, 'TCP', 'SQL_AUTH_FAILED', 'HIGH',
+    'mysql login failed for ' || source_ip FROM logs WHERE log_id % 5 = 3
+  UNION ALL SELECT log_id, source_ip, TIMESTAMP '2024-02-03 04:05:06', 5, NULL, 'SYSLOG_SECURITY_EVENT', 'MEDIUM',
+    '2024-02-03T04:05:06 gw app: traffic blocked from ' || source_ip FROM logs WHERE log_id % 5 = 4)"""),
+        "brute_force_last_day": _within(rec("SELECT * FROM brute", *BRUTE_PARTS, BRUTE_DETECTIONS), _LAST_DAY),
+        "port_scan_last_day": _within(rec(
+            "SELECT source_ip, attempt_count, unique_ports, window_start, window_end FROM scan_windows", *SCAN_PARTS), _LAST_DAY),
+        "single_flood_last_hour": _within(rec(
+            "SELECT source_ip, n AS request_count, round(n / 1.0, 4) AS request_rate_per_min, t0 AS window_start, "
+            "closed AS window_end FROM source_windows", *SINGLE_PARTS), f"{_AS_OF} - INTERVAL 1 HOUR AND {_AS_OF}"),
+        "daily_report": _within(rec(
+            "SELECT (SELECT count(*) FROM logs) AS total_logs, scored.*, summary.* FROM scored, summary", *full),
+            "TIMESTAMP '2024-01-30 00:00:00' AND TIMESTAMP '2024-01-30 23:59:59.999999'"),
+        "weekly_report": _within(rec(
+            "SELECT (SELECT count(*) FROM logs) AS total_logs, scored.*, summary.* FROM scored, summary", *full),
+            f"TIMESTAMP '2024-01-23 00:00:00' AND {_AS_OF}"),
         "dashboard_top_ips": over_logs(
             """SELECT l.source_ip, count(*) AS total_logs, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low,

@@ -6,20 +6,24 @@ joined to text, rates are rounded to four places, so that values compare exactly
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.feeds import provider_answers
 from palisade.functions.text import format_ip, format_threat_type
 from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
 from palisade.plans import dashboard, export, report, retention, threats
 from palisade.plans.threats import Detections, DetectorSettings
-from palisade.session import configure
+from palisade.functions.times import ntz
+from palisade.session import configure, shared_folder
 from palisade.sources import ingest, parsers
 from palisade.sources.event_view import logs_as_lines, read_logs
+from palisade.sources.tables import append_logs, read_logs as read_table
 
 WHOLE = {"start": datetime(2000, 1, 1), "end": datetime(2100, 1, 1)}
 SINGLE = {"window_seconds": 60, "single_ip_threshold": 8, **WHOLE}
@@ -212,6 +216,85 @@ def _cut(logs: DataFrame) -> DataFrame:
         F.sum(retention.row_bytes()).alias("deleted_bytes"))
 
 
+def _report_values(logs: DataFrame) -> DataFrame:
+    """The JSON document read back, as one line per value or list entry."""
+    made = _report(logs)
+    kind = T.StructType([f for f in export.document(made).schema.fields])
+    doc = export.json_document(made).select(F.from_json("json", kind).alias("d"))
+    text = lambda *c: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("-")) for x in c])
+    line = lambda section, value: F.struct(F.lit(section).alias("section"), value.alias("value"))
+    listed = lambda section, path, *names: F.transform(
+        F.col(path), lambda x: line(section, text(*[x[n] if n != "peak_request_rate" else F.round(x[n], 4) for n in names])))
+    mapped = lambda section: F.transform(
+        F.map_entries(F.col(f"d.log_statistics.{section}")), lambda x: line(section, text(x["key"], x["value"])))
+    summary = [F.col(f"d.summary.{c}") for c in ("total_logs", "security_score", "security_status")] + [
+        F.col(f"d.summary.threat_summary.{c}") for c in ("total_threats", "critical_threats", "high_threats", "medium_threats", "low_threats")]
+    lines = F.concat(
+        F.array(line("summary", text(*summary)), line("report", text(F.col("d.report_type"), F.col("d.period.start"), F.col("d.period.end")))),
+        mapped("severity_distribution"), mapped("event_type_distribution"), mapped("protocol_distribution"),
+        listed("top_source_ips", "d.log_statistics.top_source_ips", "source_ip", "count", "high", "medium", "low"),
+        listed("top_ports", "d.log_statistics.top_ports", "port", "count", "protocol"),
+        listed("brute_force_attacks", "d.threat_detections.brute_force_attacks", "source_ip", "total_attempts", "severity",
+               "first_attempt", "last_attempt"),
+        listed("ddos_attacks", "d.threat_detections.ddos_attacks", "attack_type", "source_ip_count", "total_requests",
+               "peak_request_rate", "target_port", "target_protocol", "severity", "first_request", "last_request"),
+        listed("port_scan_attacks", "d.threat_detections.port_scan_attacks", "source_ip", "total_attempts",
+               "unique_ports_attempted", "severity", "first_attempt", "last_attempt"),
+        listed("top_threat_sources", "d.top_threat_sources", "ip", "total_attempts", "severity"),
+        F.transform("d.recommendations", lambda x: line("recommendations", x)),
+    )
+    return doc.select(F.inline(lines))
+
+
+def _ranked(logs: DataFrame) -> DataFrame:
+    """The place of each detection in its detector's order."""
+    found = _found(logs)
+    placed = lambda kind, frame, order, key, size: frame.select(
+        F.lit(kind).alias("detector"), F.row_number().over(Window.orderBy(*order())).alias("place"),
+        key.alias("key"), F.col(size).alias("size"))
+    return (
+        placed("brute_force", found.brute_force, brute_force.detection_order, F.col("source_ip"), "total_attempts")
+        .union(placed("port_scan", found.port_scans, port_scan.detection_order, F.col("source_ip"), "total_attempts"))
+        .union(placed("ddos", found.floods, floods.detection_order, F.array_join("source_ips", ","), "total_requests")))
+
+
+def _scan_enriched(logs: DataFrame) -> DataFrame:
+    found = reputation.enrich(port_scan.detect_port_scan(logs, **WHOLE), _half(logs))
+    return found.select("source_ip", "total_attempts", "severity", "reputation.threat_level")
+
+
+def _stored_and_read(logs: DataFrame) -> DataFrame:
+    """The log through the table's own folders: two loads, one of them written twice."""
+    spark, path = logs.sparkSession, f"{shared_folder(logs.sparkSession)}/palisade/table-{uuid.uuid4().hex}"
+    even = F.col("log_id") % 2 == 0
+    for load, rows in (("even", logs.where(even)), ("odd", logs.where(~even)), ("even", logs.where(even))):
+        append_logs(rows, path, load)
+    return read_table(spark, path).select(*logs.columns)
+
+
+def _reputation_stored(logs: DataFrame) -> DataFrame:
+    """The reputation table after three stores, the last of them a repetition."""
+    path = f"{shared_folder(logs.sparkSession)}/palisade/reputation-{uuid.uuid4().hex}"
+    answers = reputation.normalize(provider_answers(logs))
+    early = answers.where(F.col("cached_at") <= ntz(AS_OF))
+    for part in (early, answers, answers):
+        reputation.store(part, path)
+    return _flat_reputation(reputation.read_reputation(logs.sparkSession, path))
+
+
+def _odd_lines(logs: DataFrame) -> DataFrame:
+    """Lines of shapes that the rendered log does not have: blank, padded, and three of syslog."""
+    ip, kind = F.col("source_ip"), F.col("log_id") % 5
+    text = (
+        F.when(kind == 0, F.lit("   \t "))
+        .when(kind == 1, F.concat(F.lit("   gw app: hello from "), ip, F.lit("  ")))
+        .when(kind == 2, F.concat(F.lit("Mar  3 04:05:06 gw sshd[7]: Invalid user bob from "), ip))
+        .when(kind == 3, F.concat(F.lit("mysql login failed for "), ip))
+        .otherwise(F.concat(F.lit("2024-02-03T04:05:06 gw app: traffic blocked from "), ip)))
+    lines = logs.select(F.col("log_id").alias("line_id"), text.alias("line"), F.lit("syslog").alias("log_source_hint"))
+    return parsers.records(parsers.parse_lines(lines, REFERENCE_TIME))
+
+
 def queries() -> dict[str, Query]:
     return {
         # brute force
@@ -294,11 +377,25 @@ def queries() -> dict[str, Query]:
         "report_summary": over_logs(lambda t: _report(t).summary),
         "report_sections": over_logs(lambda t: _lines(export.csv_sections(_report(t)))),
         "report_print_sections": over_logs(lambda t: _lines(export.print_sections(_report(t)))),
-        "report_json": over_logs(lambda t: export.json_sections(_report(t)).groupBy("section").agg(
-            F.count("*").alias("rows"), F.count(F.get_json_object("json", "$.severity")).alias("with_severity"))),
+        "report_json": over_logs(_report_values),
         "dashboard_top_ips": over_logs(lambda t: dashboard.top_ips(t, AS_OF)),
         "health_24h": over_logs(lambda t: dashboard.health(t, AS_OF)),
         "dashboard_score": over_logs(_dashboard_score),
+        "log_page_deep": over_logs(lambda t: browse.page(t, 150, 50)),
+        "log_page_deep_by_severity": over_logs(lambda t: browse.page(t, 200, 40, sort_by="severity")),
+        "log_page_by_source": over_logs(lambda t: browse.page(t, 100, 30, "source_ip", "desc", strict_direction=True)),
+        "detection_order": over_logs(_ranked),
+        "port_scan_enriched": over_logs(_scan_enriched),
+        "brute_force_last_day": over_logs(lambda t: brute_force.detect_brute_force(t, as_of=AS_OF)),
+        "port_scan_last_day": over_logs(lambda t: port_scan.port_scan_windows(t, as_of=AS_OF)),
+        "single_flood_last_hour": over_logs(lambda t: rounded(
+            floods.single_flood_windows(t, 60, 8, as_of=AS_OF), "request_rate_per_min")),
+        "daily_report": over_logs(lambda t: report.daily_report(t, _half(t), as_of=AS_OF, settings=SETTINGS).summary),
+        "weekly_report": over_logs(lambda t: report.weekly_report(t, _half(t), as_of=AS_OF, settings=SETTINGS).summary),
+        "dashboard_top_ips_all_time": over_logs(lambda t: dashboard.top_ips(t, datetime(2030, 1, 1))),
+        "table_round_trip": over_logs(_stored_and_read),
+        "reputation_stored": over_logs(_reputation_stored),
+        "parse_odd_lines": over_logs(_odd_lines),
         # retention
         "retention_keep": over_logs(lambda t: _retained(t).select("log_id", "timestamp", "source_ip", "raw_log")),
         "retention_cut": over_logs(_cut),

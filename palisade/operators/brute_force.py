@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import BRUTE_FORCE_BOUNDS, by_bounds
@@ -118,9 +118,13 @@ def window_attempts(
         "source_ip", from_micros("opened").alias("window_start"), "timestamp", "username", "log_id")
 
 
-def ordered(detections: DataFrame) -> DataFrame:
+def detection_order() -> list[Column]:
     """Most attempts first."""
-    return detections.orderBy(F.desc("total_attempts"), "source_ip")
+    return [F.desc("total_attempts"), F.asc("source_ip")]
+
+
+def ordered(detections: DataFrame) -> DataFrame:
+    return detections.orderBy(*detection_order())
 
 
 def timeline(

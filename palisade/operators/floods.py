@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import DISTRIBUTED_FLOOD_BOUNDS, SINGLE_FLOOD_BOUNDS, by_bounds, rank
@@ -332,10 +332,13 @@ def detect_floods(
     return single.unionByName(distributed, allowMissingColumns=True)
 
 
-def ordered(detections: DataFrame) -> DataFrame:
+def detection_order() -> list[Column]:
     """Most severe first, then the highest peak."""
-    return detections.orderBy(
-        F.desc(rank("severity")), F.desc("peak_request_rate"), F.array_join("source_ips", ","))
+    return [F.desc(rank("severity")), F.desc("peak_request_rate"), F.array_join("source_ips", ",")]
+
+
+def ordered(detections: DataFrame) -> DataFrame:
+    return detections.orderBy(*detection_order())
 
 
 def _dated(windows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import PORT_SCAN_BOUNDS, by_bounds, rank
@@ -155,7 +155,10 @@ def window_details(
     )
 
 
-def ordered(detections: DataFrame) -> DataFrame:
+def detection_order() -> list[Column]:
     """Most severe first, then most ports, then most attempts."""
-    return detections.orderBy(
-        F.desc(rank("severity")), F.desc("unique_ports_attempted"), F.desc("total_attempts"), "source_ip")
+    return [F.desc(rank("severity")), F.desc("unique_ports_attempted"), F.desc("total_attempts"), F.asc("source_ip")]
+
+
+def ordered(detections: DataFrame) -> DataFrame:
+    return detections.orderBy(*detection_order())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.severity import lift
@@ -77,10 +77,44 @@ def latest(records: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, answers: DataFrame) -> DataFrame:
-    """The reputation table after new answers: write it to a new folder."""
+    """The reputation table after new answers."""
     return latest(current.unionByName(answers))
 
 
+def read_reputation(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of the table; empty when there is none."""
+    at = _versions(spark, path)
+    return spark.read.schema(REPUTATION_SCHEMA).parquet(f"{path}/v{at[-1]}") if at else spark.createDataFrame([], REPUTATION_SCHEMA)
+
+
+def store(answers: DataFrame, path: str) -> None:
+    """Bring answers into the table: a new version is written beside the one in use.
+
+    A version counts once it is complete, so a write that stops changes nothing; the version
+    before the last is kept for those that still read it, older ones go. On a stream, call it for each batch:
+    storing the same answers again gives the same table.
+    """
+    spark = answers.sparkSession
+    at = _versions(spark, path)
+    upsert(read_reputation(spark, path), answers).write.mode("overwrite").parquet(f"{path}/v{at[-1] + 1 if at else 0}")
+    place, files = _files(spark, path)
+    for old in at[:-1]:
+        files.delete(place(f"v{old}"), True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    place, files = _files(spark, path)
+    if not files.exists(place("")):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(place(""))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and files.exists(place(f"{n}/_SUCCESS")))
+
+
+def _files(spark: SparkSession, path: str):
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+    return place, place("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def known_at(records: DataFrame, as_of: datetime) -> DataFrame:
     """What was known at a point in time, and whether it was younger than a day.
 

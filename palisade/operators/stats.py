@@ -132,7 +132,9 @@ def statistics(
     as_of: datetime | None = None,
     limit: int = 10,
 ) -> DataFrame:
-    """All statistics as one long table: statistic, key, count.
+    """All statistics as one long table: statistic, key, count, detail.
+
+    The detail of a source is its rows per severity (those it has), that of a port its protocol.
 
     One grouping by the columns that have few values serves five statistics; the small
     table it gives is then grouped again. Sources and ports have their own groupings,
@@ -155,11 +157,15 @@ def statistics(
                 ("severity_counts", "severity"), ("event_type_counts", "event_type"),
                 ("protocol_counts", "protocol"), ("logs_by_hour", "hour"))],
         )), "c")
-    counted = sets.where(F.col("key").isNotNull()).groupBy("statistic", "key").agg(F.sum("c").alias("count"))
+    counted = sets.where(F.col("key").isNotNull()).groupBy("statistic", "key").agg(
+        F.sum("c").alias("count")).withColumn("detail", F.lit(None).cast("string"))
+    shares = [F.when(F.col(s.lower()) > 0, F.concat(F.lit(f"{s}="), F.col(s.lower()).cast("string"))) for s in BREAKDOWN]
     ips = top_ips(scope, limit).select(
-        F.lit("top_source_ips").alias("statistic"), F.col("source_ip").alias("key"), "count")
+        F.lit("top_source_ips").alias("statistic"), F.col("source_ip").alias("key"), "count",
+        F.concat_ws(",", *shares).alias("detail"))
     ports = top_ports(scope, limit).select(
-        F.lit("top_ports").alias("statistic"), F.col("port").cast("string").alias("key"), "count")
+        F.lit("top_ports").alias("statistic"), F.col("port").cast("string").alias("key"), "count",
+        F.col("protocol").alias("detail"))
     return counted.unionByName(ips).unionByName(ports)
 
 

@@ -1,7 +1,9 @@
 """Reports as files: rows of titled sections for CSV, print-ready sections, and JSON.
 
-A report may hold millions of detections, so nothing is gathered: every section is a frame
-with sort columns, sections are united, and a distributed sort puts lines in order.
+A report may hold millions of detections, so lines are not gathered: every section is a frame
+with sort columns, sections are united, and a distributed sort puts lines in order. Only the
+JSON document, one nested row by its nature, holds all of a report; sections are the way for
+large ones.
 """
 
 from __future__ import annotations
@@ -218,11 +220,73 @@ def json_sections(report: Report) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows(n, f) for n, f in parts.items()])
 
 
+def document(report: Report) -> DataFrame:
+    """The report as one nested row. Its lists are detections and top lists: a document is as
+    large as what was found, so a report with very many detections is better taken by sections.
+    """
+    found = report.detections
+
+    def listed(frame: DataFrame, name: str, *order) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order)).alias("place")
+        shown = frame.select(place, F.struct(*[
+            (iso(n) if t == "timestamp_ntz" else F.col(n)).alias(n) for n, t in frame.dtypes]).alias("item"))
+        return shown.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias(name))
+
+    def mapped(frame: DataFrame, key: str, name: str) -> DataFrame:
+        return frame.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "count")))).alias(name))
+
+    most = lambda *names: [*map(F.desc, names)]
+    parts = [
+        report.summary.select(F.struct(
+            "total_logs", "security_score", "security_status",
+            F.struct(*[c for c in report.summary.columns if c not in ("total_logs", "security_score", "security_status")])
+            .alias("threat_summary")).alias("summary")),
+        mapped(report.severities, "severity", "severity_distribution"),
+        mapped(report.event_types, "event_type", "event_type_distribution"),
+        mapped(report.protocols, "protocol", "protocol_distribution"),
+        listed(report.top_ips, "top_source_ips", F.desc("count"), "source_ip"),
+        listed(report.top_ports, "top_ports", F.desc("count"), "port"),
+        listed(report.time_breakdown, "time_breakdown", "time"),
+        listed(found.brute_force.select("source_ip", "total_attempts", "severity", "first_attempt", "last_attempt"),
+               "brute_force_attacks", *most("total_attempts"), "source_ip"),
+        listed(found.floods.select(
+            "attack_type", "source_ip_count", "total_requests", "peak_request_rate", "target_port", "target_protocol",
+            "severity", "first_request", "last_request"),
+            "ddos_attacks", F.desc(rank("severity")), *most("peak_request_rate", "total_requests"), "target_port", "first_request"),
+        listed(found.port_scans.select(
+            "source_ip", "total_attempts", "unique_ports_attempted", "severity", "first_attempt", "last_attempt"),
+            "port_scan_attacks", F.desc(rank("severity")), *most("unique_ports_attempted", "total_attempts"), "source_ip"),
+        listed(report.top_sources, "top_threat_sources", *most("total_attempts"), "ip"),
+        report.malicious_ips.select(F.struct("*").alias("malicious_ip_analysis")),
+        listed(report.recommendations, "recommendations", "rule_no"),
+    ]
+    # Each part is a single row.
+    one = F.lit(1).alias("one")
+    whole = reduce(lambda a, b: a.join(b.select(one, "*"), "one"), parts[1:], parts[0].select(one, "*"))
+    return whole.select(
+        F.lit(report.kind).alias("report_type"), F.lit(report.generated.isoformat()).alias("report_date"),
+        F.struct(F.lit(report.start.isoformat()).alias("start"), F.lit(report.end.isoformat()).alias("end")).alias("period"),
+        "summary",
+        F.struct("severity_distribution", "event_type_distribution", "protocol_distribution", "top_source_ips", "top_ports",
+                 "time_breakdown").alias("log_statistics"),
+        F.struct("brute_force_attacks", "ddos_attacks", "port_scan_attacks").alias("threat_detections"),
+        "top_threat_sources", "malicious_ip_analysis",
+        F.transform("recommendations", lambda r: r["text"]).alias("recommendations"),
+    )
+
+
+def json_document(report: Report) -> DataFrame:
+    """The report as one JSON text, missing values included."""
+    return document(report).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def export_report(report: Report, path: str, kind: str) -> None:
-    """Write a report as ``csv``, ``json`` (a folder per section) or ``print`` (JSON lines)."""
+    """Write a report as ``csv``, ``json`` (one document), ``json_sections`` (a folder per section) or ``print`` (JSON lines)."""
     if kind == "csv":
         write_csv(report, path)
     elif kind == "json":
+        json_document(report).write.text(path)
+    elif kind == "json_sections":
         json_sections(report).write.partitionBy("section").text(path)
     elif kind == "print":
         print_sections(report).orderBy(*ORDER).select(

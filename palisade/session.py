@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -88,17 +89,22 @@ def drop_settled(spark: SparkSession, *frames: DataFrame) -> None:
         _delete(spark, frame._settled_at)
 
 
-def settled_mark() -> int:
-    """How much is settled so far; hand it to ``forget_settled`` to delete what came after."""
-    return len(_settled)
-
-
 def forget_settled(spark: SparkSession, since: int = 0) -> None:
     """Delete what this process settled. Call it when no frame built on it is needed."""
     while len(_settled) > since:
         _delete(spark, _settled.pop())
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was settled inside: make a report and export it in here."""
+    since = len(_settled)
+    try:
+        yield
+    finally:
+        forget_settled(spark, since)
+
+
 def together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent pieces that start Spark jobs at the same time, in order of result.
 

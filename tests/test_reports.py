@@ -79,15 +79,10 @@ def test_pages(spark, small):
     ids = lambda frame: [r.log_id for r in frame.collect()]
     assert ids(browse.page(logs, 2, 30)) == newest[30:60]
     assert ids(browse.page(logs, 1, 30, sort_by="nonsense", direction="asc")) == newest[:30]
-    # Deep pages are found by counting; lower the bound so that the small log has some.
-    browse.SHALLOW_ROWS, before = 10, browse.SHALLOW_ROWS
-    try:
-        for number in (1, 2, 5, 20, 34, 40):
-            assert ids(browse.page(logs, number, 30)) == newest[30 * (number - 1):30 * number]
-        oldest = [r.log_id for r in logs.orderBy("timestamp", "log_id").collect()]
-        assert ids(browse.page(logs, 3, 30, direction="asc")) == oldest[60:90]
-    finally:
-        browse.SHALLOW_ROWS = before
+    for number in (1, 20, 34, 40):
+        assert ids(browse.page(logs, number, 30)) == newest[30 * (number - 1):30 * number]
+    oldest = [r.log_id for r in logs.orderBy("timestamp", "log_id").collect()]
+    assert ids(browse.page(logs, 3, 30, direction="asc")) == oldest[60:90]
     assert browse.lookup(logs, "no id").count() == 0 and browse.lookup(logs, "5").first().log_id == 5
     first = browse.page(logs, 1, 5, sort_by="severity", direction="desc")
     assert {r.severity for r in first.collect()} == {"CRITICAL"}
@@ -140,7 +135,7 @@ def test_report_files(spark, small, tmp_path):
     nobody = spark.createDataFrame([], REPUTATION_SCHEMA)
     made = report.weekly_report(logs, nobody, datetime(2024, 1, 2), as_of=datetime(2024, 1, 9),
                                 settings=DetectorSettings(floods={"single_ip_threshold": 8}))
-    for kind in ("csv", "json", "print"):
+    for kind in ("csv", "json", "json_sections", "print"):
         export.export_report(made, str(tmp_path / kind), kind)
     text = "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "csv" / "part-*"))))
     lines = text.split("\n")
@@ -150,7 +145,11 @@ def test_report_files(spark, small, tmp_path):
     assert lines[lines.index("BRUTE FORCE ATTACKS") + 2].startswith("10.0.0.0,")
     with pytest.raises(ValueError):
         export.export_report(made, str(tmp_path / "x"), "pdf")
-    sections = {r.section for r in spark.read.text(str(tmp_path / "json")).select("section").distinct().collect()}
+    whole = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json")).collect()]
+    assert len(whole) == 1 and whole[0]["period"] == {"start": "2024-01-02T00:00:00", "end": "2024-01-09T00:00:00"}
+    assert set(whole[0]["log_statistics"]["severity_distribution"]) <= {"CRITICAL", "HIGH", "MEDIUM", "LOW"}
+    assert whole[0]["threat_detections"]["brute_force_attacks"][0]["source_ip"] == "10.0.0.0"
+    sections = {r.section for r in spark.read.text(str(tmp_path / "json_sections")).select("section").distinct().collect()}
     assert {"report", "brute_force_attacks", "recommendations"} <= sections
     assert made.malicious_ips.first().unknown_ips == 1
 
@@ -193,3 +192,17 @@ def test_export_rows_and_maps(spark, small, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     with pytest.raises(ValueError):
         export_rows(top, str(tmp_path / "x"), "xml")
+
+
+def test_scratch_leaves_nothing_behind(spark, small):
+    from pathlib import Path
+
+    from palisade.operators import port_scan
+    from palisade.session import scratch, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "palisade"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with scratch(spark):
+        port_scan.port_scan_windows(read_logs(spark, small), start=datetime(2000, 1, 1), end=datetime(2100, 1, 1)).count()
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
