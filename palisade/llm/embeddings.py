@@ -105,8 +105,10 @@ def _block(ids: list, copies: list, vectors: list) -> dict:
 
 def _tiles(distinct: DataFrame, block_rows: int) -> DataFrame:
     """Each distinct vector once for every tile its block is in."""
-    blocks = distinct.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = distinct.join(F.broadcast(blocks), "dim").withColumn(
+    # Written first, so that its size decides how it is joined.
+    blocks = settle(
+        distinct.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "vector-blocks")
+    placed = distinct.join(blocks, "dim").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
