@@ -768,6 +768,31 @@ FROM (SELECT *, "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 2
 FROM summary, (SELECT count(*) AS t, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM logs
   WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-30 00:02:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-30 00:02:00')""", *seen),
     })
+    # streams: windows end with their last row, and no least number of rows per source applies to scans
+    out.update({
+        "stream_ingest": over_logs(
+            f"SELECT * EXCLUDE (log_id) FROM ({_first_of('p_sql', 'p_auth', 'p_ufw', 'p_iptables', 'p_syslog')})", *_ALL_PARSERS),
+        "stream_hourly": over_logs(
+            "SELECT strftime(\"timestamp\", '%Y-%m-%dT%H:00:00') AS hour, severity, event_type, count(*) AS count, "
+            "count(*) FILTER (WHERE severity = 'HIGH') AS high_severity FROM logs GROUP BY 1, 2, 3"),
+        "stream_brute_force": rec("SELECT * FROM login_windows", *BRUTE_PARTS),
+        "stream_port_scan": rec(
+            "SELECT q.source_ip, q.n AS attempt_count, q.k AS unique_ports, q.t0 AS window_start, q.until AS window_end "
+            "FROM scan_q q JOIN scan_hops h ON q.source_ip = h.source_ip AND q.t0 = h.t0", *SCAN_PARTS[:-1]),
+        "stream_distributed_flood": rec(
+            """SELECT h.destination_port AS target_port, h.protocol AS target_protocol, count(*) AS request_count,
+  count(DISTINCT l.source_ip) AS unique_ip_count, h.t0 AS window_start, max(l."timestamp") AS window_end
+FROM target_hops h
+JOIN logs l ON l.destination_port IS NOT DISTINCT FROM h.destination_port AND l.protocol IS NOT DISTINCT FROM h.protocol
+  AND l."timestamp" BETWEEN h.t0 AND h.t0 + INTERVAL 60 SECOND
+WHERE h.t0 IS NOT NULL GROUP BY h.destination_port, h.protocol, h.t0
+HAVING count(*) >= 20 AND count(DISTINCT l.source_ip) >= 3""", *TARGET_PARTS[:2]),
+        "stream_alerts": rec(
+            """SELECT h.source_ip, count(*) AS request_count, h.t0 AS window_start, max(l."timestamp") AS window_end
+FROM source_hops h JOIN logs l ON l.source_ip = h.source_ip AND l."timestamp" BETWEEN h.t0 AND h.t0 + INTERVAL 60 SECOND
+WHERE h.t0 IS NOT NULL GROUP BY h.source_ip, h.t0 HAVING count(*) >= 8""", *SINGLE_PARTS[:2]),
+        "stream_enriched": out["logs_enriched"],
+    })
     out.update({
         "retention_keep": over_logs(
             'SELECT log_id, "timestamp", source_ip, raw_log FROM sized WHERE place > (SELECT n FROM gone)', _SIZED, _GONE),

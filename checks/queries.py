@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import streams
 from checks.feeds import provider_answers
 from palisade.functions.text import format_ip, format_threat_type
 from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
@@ -396,6 +397,14 @@ def queries() -> dict[str, Query]:
         "table_round_trip": over_logs(_stored_and_read),
         "reputation_stored": over_logs(_reputation_stored),
         "parse_odd_lines": over_logs(_odd_lines),
+        # streams
+        "stream_ingest": over_logs(lambda t: streams.ingested(t, REFERENCE_TIME)),
+        "stream_hourly": over_logs(streams.hourly),
+        "stream_brute_force": over_logs(streams.brute_force),
+        "stream_port_scan": over_logs(streams.port_scan),
+        "stream_distributed_flood": over_logs(streams.distributed_flood),
+        "stream_alerts": over_logs(streams.alerts),
+        "stream_enriched": over_logs(lambda t: streams.enriched(t, _half(t))),
         # retention
         "retention_keep": over_logs(lambda t: _retained(t).select("log_id", "timestamp", "source_ip", "raw_log")),
         "retention_cut": over_logs(_cut),
