@@ -14,14 +14,16 @@ from palisade.session import configure, drop_settled, settle
 # Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Rows handed to a Python task at once: one very long text is about 100 kB, so a batch stays small.
+# What is handed to a Python task at once: so many rows, and no more bytes than this beyond the first row.
 BATCH_ROWS = 512
+BATCH_BYTES = "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The session with the library's settings and small Arrow batches."""
+    """The session with the library's settings and small Arrow batches, bounded in rows and in bytes."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

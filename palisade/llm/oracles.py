@@ -102,10 +102,71 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM rows
 """
 
+_INFILL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d
+  FROM documents),
+drawn AS (
+  SELECT *, len(tokens) AS n, ('0x' || d[1:8])::BIGINT % (len(tokens) + 1) AS u, ('0x' || d[9:16])::BIGINT % (len(tokens) + 1) AS v,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR ('0x' || d[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || d[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(tokens[1:least(u, v)], ''), '') AS p,
+    coalesce(array_to_string(tokens[least(u, v) + 1:greatest(u, v)], ''), '') AS m,
+    coalesce(array_to_string(tokens[greatest(u, v) + 1:n], ''), '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _centroids(count: int = 16, rounds: int = 3) -> str:
+    """The rounds written out one after the other."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT rid, vec_id, x, c, distance FROM (
+    SELECT k.rid, k.vec_id, k.x, m.c,
+      list_sum(list_transform(range(1, 65), lambda i: (k.x[i] - m.x[i]) * (k.x[i] - m.x[i])))::BIGINT AS distance
+    FROM kept k, c{k} m)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1)"""
+
+    def moved(k: int) -> str:
+        return f"""s{k} AS (
+  SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{k - 1}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i),
+c{k} AS MATERIALIZED (
+  SELECT o.c, coalesce(t.x, o.x) AS x FROM c{k - 1} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{k} GROUP BY c) t USING (c))"""
+
+    steps = ",\n".join([assigned(0), *(step for k in range(1, rounds + 1) for step in (moved(k), assigned(k)))])
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda e: greatest(least(floor(64 * e::DOUBLE), 134217728), -134217728)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) <= {count}),
+{steps}
+SELECT vec_id, c AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} m USING (c)
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op2_embedding_near_dedup": _EMBEDDINGS,
         "op5_quality_rules": _QUALITY,
         "op8_mixing": _MIXING,
+        "op11_fill_in_middle": _INFILL,
+        "op13_centroid_clustering": _centroids(),
     }

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import chat, embeddings, mixing, pages, pieces, quality, secrets, simhash, token_counts, toxicity
+from palisade.llm import (
+    attention, centroids, chat, embeddings, infill, mixing, pages, pieces, quality, secrets, simhash, token_counts, toxicity,
+)
 from palisade.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,18 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.report(table(spark, folder, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return attention.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -75,5 +89,8 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_quality_classifier": op12_quality_classifier,
+        "op13_centroid_clustering": op13_centroid_clustering,
         "pipeline": corpus_pipeline.run,
     }

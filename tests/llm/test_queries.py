@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, small, name):
 
 def test_one_query_for_each_operator():
     names = list(queries())
-    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11)) and "pipeline" in names
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 14)) and "pipeline" in names
