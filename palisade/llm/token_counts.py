@@ -1,10 +1,13 @@
 """Token counts of a unigram vocabulary, with forward scores shared along a trie.
 
-Distinct pre-tokens go into a trie. A node holds the best score of segmenting the string that leads to
-it, and the number of tokens of that segmentation; both follow from the nodes above it, so a prefix
-that many pre-tokens share is scored once. The count at a pre-token's last node is its token
-count, and a text's count is the sum over its pre-tokens. Each task has its own trie, which
-starts anew when it reaches a number of nodes, so nothing is shuffled and memory is bounded.
+The distinct pre-tokens of a batch go into a trie. A node holds the best score of segmenting the string
+that leads to it, and the number of tokens of that segmentation; both follow from nodes above
+it and the pieces that end there, so a prefix that many pre-tokens share is scored once. The count at a
+pre-token's last node is its token count, and a text's count is the sum over its pre-tokens.
+Nothing is shuffled; tries, and the counts kept from earlier batches, have a bounded size.
+
+The scores are an input. Where none are given they follow from the rank of a piece in its
+vocabulary file, since no unigram model comes with a merge vocabulary and none is trained here.
 """
 
 from __future__ import annotations
@@ -12,15 +15,15 @@ from __future__ import annotations
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import tries
 from palisade.llm.common import over_batches
-from palisade.llm.pieces import LONGEST_CACHED, Recent, load
+from palisade.llm.pieces import load
 
-TRIE_NODES = 300_000
-CACHED_COUNTS = 300_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -42,72 +45,68 @@ class Unigram:
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.reach: dict[str, int] = {}
-        for piece in scores:
-            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
-        self.counts = Recent(self.count, CACHED_COUNTS)
-        self._empty_trie()
-
-    def _empty_trie(self) -> None:
-        # A node is children, best score, tokens.
-        self.root: tuple[dict, float, int] = ({}, 0.0, 0)
-        self.nodes = 0
-
-    def _step(self, token: str, end: int, path: list) -> tuple[float, int]:
-        """Score and tokens of ``token[:end]``, from those of the shorter prefixes in ``path``."""
-        letter = token[end - 1]
-        above = path[end - 1]
-        own = self.scores.get(letter)
-        if own is None:
-            best, tokens = above[1] + self.unknown, above[2] + len(letter.encode("utf-8", "replace"))
-        else:
-            best, tokens = above[1] + own, above[2] + 1
-        for length in range(2, min(end, self.reach.get(token[end - 2:end], 1)) + 1):
-            score = self.scores.get(token[end - length:end])
-            if score is not None:
-                above = path[end - length]
-                score += above[1]
-                if score > best or score == best and above[2] + 1 < tokens:
-                    best, tokens = score, above[2] + 1
-        return best, tokens
+        self.vocabulary = tries.Vocabulary(list(scores))
+        self.values = np.array(list(scores.values()))
+        self.solved = tries.Solved(self.counts)
 
     def count(self, token: str) -> int:
-        """Tokens of one pre-token; its prefixes stay in the trie unless it is very long."""
-        if len(token) > LONGEST_CACHED:
-            path: list = [self.root]
-            for end in range(1, len(token) + 1):
-                path.append((None, *self._step(token, end, path)))
-            return path[-1][2]
-        if self.nodes >= TRIE_NODES:
-            self._empty_trie()
-        node = self.root
-        path = [node]
-        for end, letter in enumerate(token, 1):
-            below = node[0].get(letter)
-            if below is None:
-                below = node[0][letter] = ({}, *self._step(token, end, path))
-                self.nodes += 1
-            node = below
-            path.append(node)
-        return node[2]
+        return self.counts([token])[0] if token else 0
+
+    def counts(self, tokens: list[str]) -> list[int]:
+        """Tokens of each pre-token. They are distinct, sorted and not empty."""
+        trie = tries.Trie(tokens)
+        found = trie.matches(self.vocabulary)
+        # Nodes of characters outside the vocabulary start from the node above them.
+        single = np.zeros(trie.nodes, bool)
+        single[found.node[found.length == 1]] = True
+        alone = np.flatnonzero(~single[1:]) + 1
+        place = trie.place[alone]
+        above = np.where(trie.depth[place] == 1, 0, trie.node[place - 1])
+        points = trie.points[place]
+        size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        node = np.concatenate([found.node, alone])
+        order = np.argsort(node, kind="stable")
+        pick = lambda a, b: np.concatenate([a, b])[order].tolist()
+        best, tokens_at = [-np.inf] * trie.nodes, [0] * trie.nodes
+        best[0] = 0.0
+        for at, start, score, more in zip(
+                node[order].tolist(), pick(found.before, above),
+                pick(self.values[found.piece], np.full(len(alone), self.unknown)), pick(np.ones(len(found.node), np.int64), size)):
+            score += best[start]
+            if score > best[at]:
+                best[at], tokens_at[at] = score, tokens_at[start] + more
+            elif score == best[at] and tokens_at[start] + more < tokens_at[at]:
+                tokens_at[at] = tokens_at[start] + more
+        return [tokens_at[n] for n in trie.last.tolist()]
 
 
 @lru_cache(maxsize=2)
 def unigram(model_file: str) -> Unigram:
-    """The counter of a vocabulary file, once per worker process."""
+    """The counter of a vocabulary file with scores by rank, once per worker process."""
     ids = load(model_file).ids
     return Unigram(zipf_scores(sorted(ids, key=ids.get)))
 
 
-def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
+@lru_cache(maxsize=2)
+def _scored(scores: tuple[tuple[str, float], ...]) -> Unigram:
+    return Unigram(dict(scores))
+
+
+def token_counts(docs: DataFrame, model_file: str, scores: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, n_pretokens, n_tokens`` for every row of ``docs``.
 
-    Null and empty texts have neither. Repeated rows get a row each; a null id stays null. An
-    empty table gives no rows; other columns are ignored.
+    ``model_file`` says where pre-tokens end, ``scores`` are log-probabilities of the pieces
+    (default: ``zipf_scores`` of the file's vocabulary). Null and empty texts have neither. Repeated rows get a
+    row each; a null id stays null. A pre-token of any length takes time and memory in proportion to its
+    length. An empty table gives no rows; other columns are ignored.
     """
+    given = None if scores is None else tuple(scores.items())
+
     def task(batch: pa.RecordBatch) -> dict:
-        cut, counts = load(model_file).cut, unigram(model_file).counts
+        cut = load(model_file).cut
+        model = unigram(model_file) if given is None else _scored(given)
         units = [cut(t or "") for t in batch.column(1).to_pylist()]
+        counts = model.solved(units)
         return {"doc_id": batch.column(0), "n_pretokens": list(map(len, units)),
                 "n_tokens": [sum(map(counts.__getitem__, u)) for u in units]}
 

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import over_batches
-from palisade.llm.pieces import Recent
 from palisade.session import settle
 
 TRAIN_ROWS = 8192
@@ -39,6 +38,24 @@ BLOCK = 64
 FOLDS = 5
 BINS = 200
 
+class Recent(dict):
+    """What ``make`` gives for a key, kept for the keys met lately: a bounded number of them."""
+
+    def __init__(self, make, bound: int) -> None:
+        super().__init__()
+        self.make, self.bound, self.older = make, bound // 2, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.bound:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
 

@@ -1,11 +1,12 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from palisade.llm import pieces
+from palisade.llm import pieces, tries
 from tests.llm.helpers import ODD, documents, rows_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,13 +43,25 @@ def test_long_units_take_the_same_ids(own, library):
         assert own.encode(text) == library.encode(text)
 
 
-def test_bounded_caches_do_not_change_results(own, library, monkeypatch):
-    monkeypatch.setattr(pieces, "CACHED_PREFIXES", 50)
+def test_many_texts_and_small_tries_do_not_change_results(own, library, monkeypatch):
+    texts = list(strings(own, 800))
+    want = [library.encode(t) for t in texts]
+    both = [(ids, ",".join(map(str, ids))) for ids in want]
+    assert list(own.encode_all(texts)) == both
     monkeypatch.setattr(pieces, "CACHED_PAIRS", 50)
+    monkeypatch.setattr(tries, "CHARACTERS", 30)
+    monkeypatch.setattr(tries, "KEPT", 100)
     tight = pieces.Pieces(MODEL)
-    tight.units.bound = tight.decimals.bound = 10
-    for text in strings(own, 500):
-        assert tight.encode(text) == library.encode(text)
+    assert [x for k in range(0, 800, 16) for x in tight.encode_all(texts[k:k + 16])] == both
+
+
+def test_a_million_letters_without_a_space(own, library):
+    rng = random.Random(8)
+    text = "".join(rng.choice("etaoinshr") for _ in range(1_000_000))
+    began = time.perf_counter()
+    found = own.encode(text)
+    assert time.perf_counter() - began < 30  # a few seconds; a quadratic way needs minutes
+    assert own.decode(found) == text and own.encode(text[:20_000]) == library.encode(text[:20_000])
 
 
 def digest(text):

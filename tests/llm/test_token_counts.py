@@ -1,6 +1,8 @@
+import random
+
 import public_tokenizers
 
-from palisade.llm import token_counts
+from palisade.llm import token_counts, tries
 from palisade.llm.pieces import load
 from tests.llm.helpers import ODD, documents
 
@@ -31,18 +33,54 @@ def test_counts_against_a_plain_table(spark, small):
             assert own.count(token) == brute(own.scores, own.unknown, token), token
 
 
-def test_small_tries_give_the_same_counts(monkeypatch):
-    monkeypatch.setattr(token_counts, "TRIE_NODES", 3)
-    scores = {"a": -2.0, "b": -2.0, "ab": -2.5, "abc": -9.0, "c": -3.0}
-    tight = token_counts.Unigram(scores)
-    for token in ("abc", "ab", "abab", "cab", "xab", "é", ""):
-        assert tight.count(token) == brute(scores, tight.unknown, token)
+def strings(letters, count, longest):
+    rng = random.Random(9)
+    return sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(count)})
+
+
+SCORES = {"a": -2.0, "b": -2.0, "ab": -2.5, "abc": -9.0, "c": -3.0, "aa": -4.0, "bca": -5.0, "éa": -1.0, "日": -2.0}
+
+
+def test_one_trie_of_many_tokens_and_small_ones(monkeypatch):
+    own = token_counts.Unigram(SCORES)
+    tokens = strings("abcxé日\U0001f600", 3000, 9)
+    want = [brute(SCORES, own.unknown, t) for t in tokens]
+    assert own.counts(tokens) == want
+    monkeypatch.setattr(tries, "CHARACTERS", 20)
+    parts = list(tries.parts(tokens))
+    assert len(parts) > 100 and [t for p in parts for t in p] == tokens
+    assert [c for p in parts for c in own.counts(p)] == want
+    monkeypatch.setattr(tries, "KEPT", 200)
+    for k in range(0, len(tokens), 30):
+        got = own.solved([tokens[k:k + 40], tokens[k:k + 40][::-1]])
+        assert got == dict(zip(tokens[k:k + 40], want[k:k + 40]))
+        assert sum(map(len, own.solved.recent)) <= 200 and sum(map(len, own.solved.older)) <= 200
 
 
-def test_long_tokens_need_no_trie():
+def test_a_node_for_each_prefix():
+    tokens = strings("ab", 200, 8) + ["b" * 40]
+    trie = tries.Trie(sorted(set(tokens)))
+    prefixes = sorted({t[:k] for t in tokens for k in range(1, len(t) + 1)}, key=lambda p: (len(p), p))
+    assert trie.nodes == len(prefixes) + 1
+    assert [prefixes[n - 1] for n in trie.last.tolist()] == sorted(set(tokens))
+    assert trie.levels.tolist() == [1 + sum(len(p) <= d for p in prefixes) for d in range(41)]
+    found = trie.matches(tries.Vocabulary(["a", "ab", "bb", "bbab", "x"]))
+    want = [(n + 1, prefixes.index(p[:-len(q)]) + 1 if p != q else 0, q) for n, p in enumerate(prefixes)
+            for q in ("bbab", "ab", "bb", "a") if p.endswith(q)]
+    assert [(n, b, ["a", "ab", "bb", "bbab", "x"][q]) for n, b, q in zip(
+        found.node.tolist(), found.before.tolist(), found.piece.tolist())] == want
+
+
+def test_a_very_long_token():
     own = token_counts.Unigram({"a": -1.0, "aa": -1.5})
-    before = own.nodes
-    assert own.count("a" * 1001) == 501 and own.nodes == before
+    assert own.count("a" * 500_001) == 250_001 and own.count("") == 0
+
+
+def test_scores_are_an_input(spark):
+    docs = documents(spark, [(1, "abab"), (2, "ab ab")])
+    scores = {"▁": -1.0, "a": -1.0, "b": -1.0, "▁ab": -1.0}
+    counts = lambda s: [r.n_tokens for r in token_counts.token_counts(docs, MODEL, s).orderBy("doc_id").collect()]
+    assert counts(scores) == [3, 2] and counts({**scores, "▁abab": -0.5}) == [1, 2]
 
 
 def test_odd_rows(spark):
