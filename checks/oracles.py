@@ -1,6 +1,7 @@
 """The same questions in SQL, for DuckDB, over the same tables.
 
-Nothing here is used by the engine. Each statement starts from `events`, rebuilds the
+Nothing here is used by the engine. Patterns, words, ports and limits in the statements are
+fixed values that results depend on. Each statement starts from `events`, rebuilds the
 derived log table in SQL, and answers its query in the most direct way SQL has.
 """
 
@@ -560,6 +561,10 @@ FROM target_windows w""", *TARGET_PARTS),
             "OR regexp_matches(raw_log, 'INVALID user|10\\.0\\.0\\.[37]$', 'i') "
             "OR coalesce(regexp_matches(username, 'INVALID user|10\\.0\\.0\\.[37]$', 'i'), false)"),
         "log_page": over_logs(f'SELECT {shown} FROM logs ORDER BY "timestamp" DESC, log_id LIMIT 50 OFFSET 100'),
+        "log_page_stored": over_logs(f'SELECT {shown} FROM logs ORDER BY "timestamp" DESC, log_id LIMIT 50 OFFSET 100'),
+        "logs_by_hour_stored": over_logs(
+            "SELECT strftime(\"timestamp\", '%Y-%m-%dT%H:00:00') AS hour, count(*) AS count FROM logs "
+            "WHERE \"timestamp\" BETWEEN TIMESTAMP '2024-01-05 00:02:30' AND TIMESTAMP '2024-01-29 00:03:00' GROUP BY 1"),
         "log_page_by_severity": over_logs(f"SELECT {shown} FROM logs ORDER BY severity, log_id LIMIT 40 OFFSET 80"),
         "log_page_info": over_logs(
             "SELECT count(*) AS total, 3 AS page, 50 AS page_size, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages "
@@ -800,4 +805,10 @@ WHERE h.t0 IS NOT NULL GROUP BY h.source_ip, h.t0 HAVING count(*) >= 8""", *SING
             'SELECT count(*) AS deleted_rows, max("timestamp") AS cut_at, CAST(sum(bytes) AS BIGINT) AS deleted_bytes '
             "FROM sized WHERE place <= (SELECT n FROM gone)", _SIZED, _GONE),
     })
+    for stored in ("health_24h", "dashboard_top_ips", "retention_cut"):
+        out[f"{stored}_stored"] = out[stored]
+    # Ids are consecutive over both loads, from 0.
+    out["ingest_batch"] = over_logs(
+        f"SELECT * EXCLUDE (log_id), 0 AS first_id, (SELECT count(*) FROM logs) - 1 AS last_id, (SELECT count(*) FROM logs) AS ids "
+        f"FROM ({_first_of('p_sql', 'p_auth', 'p_ufw', 'p_iptables', 'p_syslog')})", *_ALL_PARSERS)
     return out

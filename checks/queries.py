@@ -22,7 +22,7 @@ from palisade.plans import dashboard, export, report, retention, threats
 from palisade.plans.threats import Detections, DetectorSettings
 from palisade.functions.times import ntz
 from palisade.session import configure, shared_folder
-from palisade.sources import ingest, parsers
+from palisade.sources import ingest, parsers, rollup
 from palisade.sources.event_view import logs_as_lines, read_logs
 from palisade.sources.tables import append_logs, read_logs as read_table
 
@@ -211,7 +211,10 @@ def _limit(logs: DataFrame) -> int:
 
 
 def _cut(logs: DataFrame) -> DataFrame:
-    cut = retention.find_cut(logs, _limit(logs), RETENTION_BATCH)
+    return _cut_rows(logs, retention.find_cut(logs, _limit(logs), RETENTION_BATCH))
+
+
+def _cut_rows(logs: DataFrame, cut: retention.Cut) -> DataFrame:
     return logs.where(~retention.after(cut)).agg(
         F.count("*").alias("deleted_rows"), F.max("timestamp").alias("cut_at"),
         F.sum(retention.row_bytes()).alias("deleted_bytes"))
@@ -264,13 +267,51 @@ def _scan_enriched(logs: DataFrame) -> DataFrame:
     return found.select("source_ip", "total_attempts", "severity", "reputation.threat_level")
 
 
-def _stored_and_read(logs: DataFrame) -> DataFrame:
-    """The log through the table's own folders: two loads, one of them written twice."""
-    spark, path = logs.sparkSession, f"{shared_folder(logs.sparkSession)}/palisade/table-{uuid.uuid4().hex}"
-    even = F.col("log_id") % 2 == 0
+def _new_table(logs: DataFrame) -> str:
+    return f"{shared_folder(logs.sparkSession)}/palisade/table-{uuid.uuid4().hex}"
+
+
+def _stored(logs: DataFrame) -> str:
+    """The log in a table's own folders: two loads, one of them written twice."""
+    path, even = _new_table(logs), F.col("log_id") % 2 == 0
     for load, rows in (("even", logs.where(even)), ("odd", logs.where(~even)), ("even", logs.where(even))):
         append_logs(rows, path, load)
-    return read_table(spark, path).select(*logs.columns)
+    return path
+
+
+def _stored_and_read(logs: DataFrame) -> DataFrame:
+    return read_table(logs.sparkSession, _stored(logs)).select(*logs.columns)
+
+
+def _stored_page(logs: DataFrame) -> DataFrame:
+    """A page by time of a stored table, whose days are known from its folders."""
+    spark, path = logs.sparkSession, _stored(logs)
+    return browse.page(read_table(spark, path), 3, 50, days=rollup.days(spark, path)).select(*logs.columns)
+
+
+def _stored_hours(logs: DataFrame) -> DataFrame:
+    spark, path = logs.sparkSession, _stored(logs)
+    return rollup.logs_by_hour(
+        rollup.read_rollup(spark, path), read_table(spark, path), datetime(2024, 1, 5, 0, 2, 30), datetime(2024, 1, 29, 0, 3))
+
+
+def _stored_cut(logs: DataFrame) -> DataFrame:
+    """The cut of a stored table, from its rollup and single hours."""
+    spark, path = logs.sparkSession, _stored(logs)
+    table = read_table(spark, path)
+    return _cut_rows(table, retention.find_cut(table, _limit(logs), RETENTION_BATCH, rollup.read_rollup(spark, path)))
+
+
+def _ingested(logs: DataFrame) -> DataFrame:
+    """The log table after its lines came in as two loads that bring no ids."""
+    path, even = _new_table(logs), F.col("log_id") % 2 == 0
+    for rows in (logs.where(even), logs.where(~even)):
+        ingest.ingest_lines(rows.select(F.col("raw_log").alias("line")), path, REFERENCE_TIME)
+    table = read_table(logs.sparkSession, path)
+    ids = table.agg(F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"), F.countDistinct("log_id").alias("ids"))
+    # One row beside each record.
+    return table.select(*[c for c in logs.columns if c != "log_id"], F.lit(1).alias("one")).join(
+        ids.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def _reputation_stored(logs: DataFrame) -> DataFrame:
@@ -324,6 +365,8 @@ def queries() -> dict[str, Query]:
         "log_search": over_logs(lambda t: filters.search(t, r"INVALID user|10\.0\.0\.[37]$")),
         "log_page": over_logs(lambda t: browse.page(t, 3, 50)),
         "log_page_by_severity": over_logs(lambda t: browse.page(t, 3, 40, sort_by="severity")),
+        "log_page_stored": over_logs(_stored_page),
+        "logs_by_hour_stored": over_logs(_stored_hours),
         "log_page_info": over_logs(lambda t: browse.page_info(filters.filter_logs(t, severity="HIGH"), 3, 50)),
         "log_lookup": over_logs(lambda t: browse.lookup(t, 77)),
         "log_defaults": over_logs(_defaults),
@@ -350,6 +393,7 @@ def queries() -> dict[str, Query]:
         "parse_unhinted": over_lines(hints=False),
         "parse_specific_first": over_lines(hints=False, router="specific_first"),
         "parse_failures": over_logs(lambda t: parsers.failures(_parsed(t, "ufw"))),
+        "ingest_batch": over_logs(_ingested),
         "ingest_summary": over_logs(lambda t: ingest.ingest_summary(_parsed(t, "auth"))),
         # reputation
         "reputation_normalize": over_logs(
@@ -381,6 +425,8 @@ def queries() -> dict[str, Query]:
         "report_json": over_logs(_report_values),
         "dashboard_top_ips": over_logs(lambda t: dashboard.top_ips(t, AS_OF)),
         "health_24h": over_logs(lambda t: dashboard.health(t, AS_OF)),
+        "health_24h_stored": over_logs(lambda t: dashboard.health(read_table(t.sparkSession, _stored(t)), AS_OF)),
+        "dashboard_top_ips_stored": over_logs(lambda t: dashboard.top_ips(read_table(t.sparkSession, _stored(t)), AS_OF)),
         "dashboard_score": over_logs(_dashboard_score),
         "log_page_deep": over_logs(lambda t: browse.page(t, 150, 50)),
         "log_page_deep_by_severity": over_logs(lambda t: browse.page(t, 200, 40, sort_by="severity")),
@@ -408,4 +454,5 @@ def queries() -> dict[str, Query]:
         # retention
         "retention_keep": over_logs(lambda t: _retained(t).select("log_id", "timestamp", "source_ip", "raw_log")),
         "retention_cut": over_logs(_cut),
+        "retention_cut_stored": over_logs(_stored_cut),
     }

@@ -37,13 +37,16 @@ def dashboard(logs: DataFrame, as_of: datetime, settings: DetectorSettings = Det
 def health(logs: DataFrame, as_of: datetime) -> DataFrame:
     """Rows and HIGH rows of the last day, and the newest timestamp overall.
 
-    The counts read the day alone; the newest timestamp is a column of its own, which files
-    have in their statistics.
+    The counts read the last day alone. Of a table with ``log_date`` the newest timestamp is
+    looked for in its newest day, which is known from the folders when the scan starts.
     """
     one = F.lit(1).alias("one")
     counts = in_range(logs, as_of - timedelta(hours=24), as_of).agg(
         F.count("*").alias("total_logs_24h"), F.count_if(F.col("severity") == "HIGH").alias("high_severity_logs_24h"))
-    newest = logs.agg(F.max("timestamp").alias("last_log_timestamp"))
+    last = logs
+    if "log_date" in logs.columns:
+        last = logs.where(F.col("log_date") == logs.select(F.max("log_date")).scalar())
+    newest = last.agg(F.max("timestamp").alias("last_log_timestamp"))
     return counts.select(one, "*").join(newest.select(one, "*"), "one").drop("one")
 
 
@@ -59,17 +62,21 @@ def score(summary: DataFrame, state: DataFrame) -> DataFrame:
 def top_ips(logs: DataFrame, as_of: datetime, limit: int = TOP_IPS) -> DataFrame:
     """The busiest sources of the last seven days, each with the time it was last seen.
 
-    Only when these days hold no row at all the whole log is used, in the same job: all rows
-    are matched against one row that exists when the days have any, and none pass then.
+    Only when these days hold no row at all the whole log is used, in the same job: where the
+    scan begins is a scalar that is known before it, and on a table with ``log_date`` it
+    prunes folders.
     """
     since = as_of - timedelta(days=TOP_DAYS)
     named = logs.where(F.col("source_ip").isNotNull())
-    one = F.lit(1).alias("one")
-    some = in_range(named, since, as_of).limit(1).select(one)
+    # A single row: null when the last days are empty, and then nothing is left out.
+    some = in_range(named, since, as_of).limit(1).agg(F.when(F.count("*") > 0, ntz(since)).alias("since")).scalar()
     # Rows after `as_of` do not count, but may be where a source was last seen.
-    lately = _counted(in_range(named, since, None), F.col("timestamp") <= ntz(as_of))
-    ever = _counted(named.select("*", one).join(some, "one", "left_anti"), F.lit(True))
-    return lately.union(ever).orderBy(F.desc("total_logs"), "source_ip").limit(limit)
+    scanned = named.where(F.coalesce(F.col("timestamp") >= some, some.isNull()))
+    if "log_date" in logs.columns:
+        first = F.lit("0001-01-01").cast("date")
+        scanned = scanned.where(F.coalesce(F.col("log_date"), first) >= F.coalesce(some.cast("date"), first))
+    counted = F.coalesce(some.isNull() | (F.col("timestamp") <= ntz(as_of)), F.lit(False))
+    return _counted(scanned, counted).orderBy(F.desc("total_logs"), "source_ip").limit(limit)
 
 
 def _counted(logs: DataFrame, counted) -> DataFrame:

@@ -1,7 +1,8 @@
 """Size-based retention: when the log is too large, the oldest rows go, in batches.
 
-The cut is found by counting, coarse to fine: bytes per hour over the whole log, per second
-within one hour, per row within one second. Each step brings back a single row, and the
+The cut is found by counting, coarse to fine: bytes per hour over the whole log (from the
+rollup that loads leave in a table), per second within one hour, per instant within one
+second, and within one instant per range of ids. Each step brings back a single row, and the
 cut itself is a literal, so the rewrite prunes folders by it.
 """
 
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from palisade.functions.times import ntz
 from palisade.operators.filters import in_range
 from palisade.session import settle
+from palisade.sources import rollup
+from palisade.sources.rollup import ROW_OVERHEAD_BYTES, row_bytes  # noqa: F401
 from palisade.sources.tables import append_logs, read_logs
 
 BATCH_ROWS = 2000
-# An estimate of what a record takes besides its text.
-ROW_OVERHEAD_BYTES = 200
+ID_RANGES = 1024  # that the ids of one instant are cut into at a time; a power of two
 # Inside the table's folder; readers pass over names that begin with an underscore.
 SWAP = "_swap"
 
@@ -36,18 +38,20 @@ class Cut:
     bytes_after: int
 
 
-def row_bytes() -> Column:
-    return F.coalesce(F.octet_length("raw_log"), F.lit(0)).cast("bigint") + ROW_OVERHEAD_BYTES
-
-
-def find_cut(logs: DataFrame, max_bytes: int, batch_rows: int = BATCH_ROWS) -> Cut | None:
+def find_cut(logs: DataFrame, max_bytes: int, batch_rows: int = BATCH_ROWS, rolled: DataFrame | None = None) -> Cut | None:
     """Where to cut so that at most ``max_bytes`` stay; None when nothing has to go.
 
-    Whole batches are deleted: as few as bring the size down to the limit.
+    Whole batches are deleted: as few as bring the size down to the limit. With the rollup of
+    a table in ``rolled``, only single hours of the log are read; without it, the hours are
+    counted from the log first.
     """
-    sized = logs.where(F.col("timestamp").isNotNull()).select("timestamp", "log_id", row_bytes().alias("bytes"))
-    # The one read of the whole log; what follows reads single hours.
-    hours = settle(_per_bucket(sized, "hour"), "hours")
+    dated = ["log_date"] if "log_date" in logs.columns else []
+    sized = logs.where(F.col("timestamp").isNotNull()).select("timestamp", "log_id", row_bytes().alias("bytes"), *dated)
+    if rolled is None:
+        hours = settle(_per_bucket(sized, "hour"), "hours")
+    else:
+        hours = rolled.where(F.col("hour").isNotNull()).groupBy(F.col("hour").alias("bucket")).agg(
+            F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
     total = hours.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     if not total["rows"] or total["bytes"] <= max_bytes:
         return None
@@ -75,8 +79,24 @@ def _locate(sized: DataFrame, hours: DataFrame, measure: str, target: int) -> di
         start = {m: hit[f"{m}_to"] - hit[m] for m in ("rows", "bytes")}
         # The plain range reaches the scan; the bucket makes it exact.
         rows = in_range(rows, hit["bucket"], None).where(_bucket(unit) == ntz(hit["bucket"]))
-    single = rows.withColumn("rows", F.lit(1).cast("bigint"))
-    return _reach(single, [F.col("log_id")], start, measure, target) | {"timestamp": hit["bucket"]}
+    return _reach_id(rows, start, measure, target) | {"timestamp": hit["bucket"]}
+
+
+def _reach_id(rows: DataFrame, start: dict, measure: str, target: int) -> dict:
+    """``_reach`` over the ids of one instant, however many rows it has: the range of ids is cut
+    into ``ID_RANGES`` parts until a part is one id."""
+    ends = rows.agg(F.min("log_id").alias("low"), F.max("log_id").alias("high")).first()
+    low = ends["low"] or 0
+    shift = ((ends["high"] or 0) - low).bit_length()
+    while True:
+        shift = max(0, shift - ID_RANGES.bit_length() + 1)
+        part = F.shiftright(F.coalesce("log_id", F.lit(low)) - low, shift)
+        counts = rows.groupBy(part.alias("bucket")).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+        hit = _reach(counts, [F.col("bucket")], start, measure, target)
+        if not shift:
+            return hit | {"log_id": low + hit["bucket"]}
+        start = {m: hit[f"{m}_to"] - hit[m] for m in ("rows", "bytes")}
+        rows = rows.where(part == hit["bucket"])
 
 
 def _reach(counts: DataFrame, order: list[Column], start: dict, measure: str, target: int) -> dict:
@@ -105,7 +125,7 @@ def enforce_retention(spark, table: str, max_mb: int, batch_rows: int = BATCH_RO
     by ``finish_swap``, which the next run calls first; nothing is lost in between. Run it while nothing else writes to the table.
     """
     finish_swap(spark, table)
-    cut = find_cut(read_logs(spark, table), max_mb * 1024 * 1024, batch_rows)
+    cut = find_cut(read_logs(spark, table), max_mb * 1024 * 1024, batch_rows, rollup.read_rollup(spark, table))
     if cut is None:
         return None
     day = cut.timestamp.date()
@@ -135,10 +155,14 @@ def finish_swap(spark, table: str) -> None:
         waiting = files.exists(path(f"{SWAP}/new/{day}"))
         # Once what stays is moved in, the day's folder is no longer an old one.
         gone = lambda name: name < day or name == day and (waiting or kind == "through")
-        for name in _names(files, path("")):
-            if name.startswith("log_date=") and "__HIVE" not in name and gone(name):
-                files.delete(path(name), True)
+        # The rollup of a day goes and comes with the day, and is moved before it, since the day marks what is done.
+        for part in (f"{rollup.FOLDER}/", ""):
+            for name in _names(files, path(part)):
+                if name.startswith("log_date=") and "__HIVE" not in name and gone(name):
+                    files.delete(path(part + name), True)
         if waiting:
+            if files.exists(path(f"{SWAP}/new/{rollup.FOLDER}/{day}")):
+                files.rename(path(f"{SWAP}/new/{rollup.FOLDER}/{day}"), path(f"{rollup.FOLDER}/{day}"))
             files.rename(path(f"{SWAP}/new/{day}"), path(day))
     files.delete(path(SWAP), True)
 

@@ -8,8 +8,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from palisade.session import drop_settled
 from palisade.sources.parsers import parse_lines, records
-from palisade.sources.tables import append_logs
+from palisade.sources.tables import append_logs, next_id, placed, with_ids
 
 
 def ingest_summary(parsed: DataFrame) -> DataFrame:
@@ -53,3 +54,24 @@ def ingest(
         # Where no line could be parsed the write is planned away, and its counts with it.
         found = lines.count(), 0
     return _told(lines.sparkSession.createDataFrame([found], "total_received long, ingested_count long"))
+
+
+def ingest_lines(
+    lines: DataFrame,
+    table: str,
+    reference_time: datetime,
+    router: str = "reference",
+    load: str | None = None,
+) -> DataFrame:
+    """``ingest`` for lines without ids: they continue those of the table.
+
+    The lines are read and parsed once. What comes out is written with its place, counted
+    there, and gets its ids on the way into the table. Writers that run at once must use
+    ``ingest`` with ranges of their own.
+    """
+    spark = lines.sparkSession
+    held = placed(parse_lines(lines, reference_time, router=router))
+    append_logs(records(with_ids(held, next_id(spark, table))), table, load)
+    found = held.agg(F.count("*"), F.count("parsed")).first()
+    drop_settled(spark, held)
+    return _told(spark.createDataFrame([tuple(found)], "total_received long, ingested_count long"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palisade.session import drop_settled
 from palisade.sources.parsers import failures, parse_lines, records
-from palisade.sources.tables import append_logs, numbered
+from palisade.sources.tables import append_logs, placed, with_ids
 
 
 def follow(spark: SparkSession, folder: str, log_source_hint: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -52,11 +53,16 @@ def stream_ingest(
         if number:
             marks = files.listStatus(path(f"ids/{number - 1}"))
             first = int(marks[0].getPath().getName())
-        lines = numbered(batch, first)
-        parsed = parse_stream(lines, router, F.col("batch_time") if reference_time is None else reference_time)
+        # The batch is read and parsed once; what follows reads what was written of it.
+        held = placed(parse_stream(batch, router, F.col("batch_time") if reference_time is None else reference_time))
+        parsed = with_ids(held, first)
         failures(parsed).write.mode("overwrite").parquet(f"{failed}/batch={number}")
         append_logs(records(parsed), table, f"{name}-{number}")
-        files.mkdirs(path(f"ids/{number}/{first + batch.count()}"))
+        files.mkdirs(path(f"ids/{number}/{first + held.count()}"))
+        drop_settled(spark, held)
+        # Only the last batch can run again, and it starts from the mark before it.
+        if number > 1:
+            files.delete(path(f"ids/{number - 2}"), True)
 
     # Every stream names its loads after its checkpoint.
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.plans import retention
 from palisade.plans.retention import ROW_OVERHEAD_BYTES, enforce_retention, find_cut, retained
+from palisade.sources import rollup
 from palisade.sources.event_view import read_logs
 from palisade.sources.tables import append_logs, read_logs as read_table
 
@@ -82,3 +83,25 @@ def test_rows_without_a_time_stay(spark, small):
     kept = retained(logs, size // 3, 70)
     assert kept.where("timestamp is null").count() == 100
     assert kept.count() == 1000 - cut.deleted_rows
+
+
+def test_one_instant_is_cut_by_ranges_of_ids(spark):
+    rows = 2_000_000
+    logs = spark.range(rows).select(
+        (F.col("id") * 3 + 5).alias("log_id"), F.lit(datetime(2024, 1, 1)).alias("timestamp"), F.lit("x" * 10).alias("raw_log"))
+    cut = find_cut(logs, (rows - 1_234_567) * (ROW_OVERHEAD_BYTES + 10), 1)
+    assert (cut.deleted_rows, cut.log_id) == (1_234_567, 3 * 1_234_566 + 5)
+
+
+def test_the_rollup_gives_the_same_cut_and_follows_it(spark, small, tmp_path):
+    table = str(tmp_path / "logs")
+    append_logs(read_logs(spark, small).withColumn("raw_log", F.repeat("raw_log", 40)), table)
+    rolled = lambda: rollup.read_rollup(spark, table)
+    for batch in (1, 100):
+        assert find_cut(read_table(spark, table), 2 << 20, batch, rolled()) == find_cut(read_table(spark, table), 2 << 20, batch)
+    hours = rolled().select("hour").distinct().count()
+    enforce_retention(spark, table, 2, 100)
+    want = rollup.hours_of(read_table(spark, table)).select("hour", "rows", "bytes").orderBy("hour").collect()
+    got = rolled().groupBy("hour").agg(
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).orderBy("hour").collect()
+    assert got == want and len(got) < hours
