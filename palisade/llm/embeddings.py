@@ -14,6 +14,7 @@ pairs. The work is that of comparing all distinct vectors, which the operator as
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,34 +30,50 @@ BLOCK_ROWS = 8192
 STRIP = 512  # rows of a tile multiplied at once
 
 
-def unit(vector: np.ndarray) -> np.ndarray:
-    """The vector at length one; scaled by a power of two first, so squares stay in range."""
-    scaled = np.ldexp(vector, -np.frexp(np.abs(vector).max())[1])
-    return scaled / np.sqrt(scaled @ scaled)
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The rows at length one; scaled by a power of two first, so squares stay in range."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+    return scaled / np.sqrt(np.einsum("nd,nd->n", scaled, scaled))[:, None]
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """int8 codes, their scale, and the length of what they miss (rounded up)."""
-    scale = float(np.abs(x).max()) / 127
-    codes = np.rint(x / scale).astype(np.int8)
-    missed = x - scale * codes
-    return codes, scale, float(np.sqrt(missed @ missed)) * (1 + 1e-12) + 1e-15
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes of each row, their scale, and the length of what they miss (rounded up)."""
+    scale = np.abs(x).max(axis=1) / 127
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    missed = x - scale[:, None] * codes
+    return codes, scale, np.sqrt(np.einsum("nd,nd->n", missed, missed)) * (1 + 1e-12) + 1e-15
+
+
+_VECTOR = "vec_id long, dim int, key binary, x binary, q binary, s double, e double"
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """``vec_id, dim, key, x`` of the vectors that can link; ``x`` are doubles, ``key`` their digest."""
+    """The vectors that can link: ``key`` is the digest of the components, ``x`` the unit vector in doubles,
+    ``q, s, e`` its codes, their scale and their error. Nothing of this is done again for a tile."""
     def task(batch: pa.RecordBatch) -> dict:
-        ids, dims, made = [], [], []
+        made: dict[str, list] = {k.split()[0]: [] for k in _VECTOR.split(", ")}
+        lengths: dict[int, list] = {}
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.array([np.nan if c is None else c for c in v], "<f8")
-            if len(x) and np.isfinite(x).all() and x.any():
-                ids.append(i)
-                dims.append(len(x))
-                made.append((x + 0.0).tobytes())  # -0 becomes 0
-        return {"vec_id": ids, "dim": dims, "x": made}
+            lengths.setdefault(len(v), []).append((i, v))
+        for dim, found in lengths.items():
+            given = np.array([[np.nan if c is None else c for c in v] for _, v in found], "<f8").reshape(len(found), dim)
+            good = np.isfinite(given).all(axis=1) & given.any(axis=1)
+            given = given[good] + 0.0  # -0 becomes 0
+            if not len(given):
+                continue
+            x = unit(given)
+            codes, scale, error = quantise(x)
+            made["vec_id"] += [i for (i, _), g in zip(found, good) if g]
+            made["dim"] += [dim] * len(x)
+            made["key"] += [hashlib.sha256(v.tobytes()).digest() for v in given]
+            made["x"] += [v.tobytes() for v in x]
+            made["q"] += [v.tobytes() for v in codes]
+            made["s"] += scale.tolist()
+            made["e"] += error.tolist()
+        return made
 
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    return over_batches(usable, "vec_id long, dim int, x binary", task).withColumn("key", F.unhex(F.sha2("x", 256)))
+    return over_batches(usable, _VECTOR, task)
 
 
 def tile(left: dict, right: dict, same: bool, threshold: float) -> tuple[list, np.ndarray, np.ndarray]:
@@ -94,13 +111,12 @@ def tile(left: dict, right: dict, same: bool, threshold: float) -> tuple[list, n
     return found, of_left, of_right
 
 
-def _block(ids: list, copies: list, vectors: list) -> dict:
-    x = np.array([unit(np.frombuffer(v, "<f8")) for v in vectors])
-    coded = [quantise(v) for v in x]
-    q = np.array([c for c, _, _ in coded], np.float32)
-    s, e = np.array([c[1] for c in coded]), np.array([c[2] for c in coded])
-    return {"id": np.array(ids, np.int64), "copies": np.array(copies, np.int64), "x": x, "q": q, "s": s, "e": e,
-            "w": s * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))}
+def _block(ids: list, copies: list, vectors: list, codes: list, scales: list, errors: list) -> dict:
+    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(ids), -1)
+    q = np.frombuffer(b"".join(codes), np.int8).reshape(len(ids), -1).astype(np.float32)
+    s = np.array(scales)
+    return {"id": np.array(ids, np.int64), "copies": np.array(copies, np.int64), "x": x, "q": q, "s": s, "e": np.array(errors),
+            "w": s * np.sqrt(np.einsum("nd,nd->n", q, q, dtype=np.float64))}
 
 
 def _tiles(distinct: DataFrame, block_rows: int) -> DataFrame:
@@ -112,8 +128,8 @@ def _tiles(distinct: DataFrame, block_rows: int) -> DataFrame:
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
-    return placed.select("dim", "block", F.explode(others).alias("t"), "node", "copies", "x").select(
-        "dim", "t.p", "t.q", "block", "node", "copies", "x")
+    return placed.select("dim", "block", F.explode(others).alias("t"), "node", "copies", "x", "q", "s", "e").select(
+        "dim", F.col("t.p").alias("left"), F.col("t.q").alias("right"), "block", "node", "copies", "x", "q", "s", "e")
 
 
 def _linked(tiles: DataFrame, threshold: float) -> DataFrame:
@@ -122,7 +138,7 @@ def _linked(tiles: DataFrame, threshold: float) -> DataFrame:
         sides = {}
         for at in {p, q}:
             own = [r for r in rows if r[0] == at]
-            sides[at] = _block(*zip(*((r[1], r[2], r[3]) for r in own))) if own else None
+            sides[at] = _block(*zip(*(r[1:] for r in own))) if own else None
         left, right = sides[p], sides[q]
         if left is None or right is None:
             return
@@ -147,7 +163,7 @@ def _linked(tiles: DataFrame, threshold: float) -> DataFrame:
         if rows:
             yield from solve(rows, *now[1:])
 
-    return tiles.repartition("dim", "p", "q").sortWithinPartitions("dim", "p", "q").mapInArrow(run, "a long, b long, n long")
+    return tiles.repartition("dim", "left", "right").sortWithinPartitions("dim", "left", "right").mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -163,8 +179,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block_rows: i
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     vectors = settle(_vectors(rows), "vectors")
     distinct = settle(vectors.groupBy("key").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("x").alias("x")),
-        "distinct-vectors")
+        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("dim").alias("dim"),
+        *[F.first(c).alias(c) for c in ("x", "q", "s", "e")]), "distinct-vectors")
     # Two different vectors under one id are still two nodes.
     numbered = settle(distinct.withColumn("id", F.col("node")).withColumn("node", F.xxhash64("key")), "vector-nodes")
     made = settle(_linked(_tiles(numbered, block_rows), threshold), "vector-links")

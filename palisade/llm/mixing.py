@@ -24,7 +24,7 @@ MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17
 SLICES = 4096
-BROADCAST_SOURCES = 20_000  # of about 100 bytes each
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -104,15 +104,10 @@ def _slice(draw: str) -> Column:
 
 
 def _with_decisions(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """``rows`` with what was decided for their source.
-
-    One row per source is broadcast when they are few; otherwise the rows of each source are spread
-    over sixty-four keys first, so that a large source is not one task.
-    """
-    if decided.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(decided), F.col("source").eqNullSafe(F.col("its_source")))
-    salted = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return rows.withColumn("its_salt", F.pmod("draw", F.lit(64))).join(
+    """``rows`` with what was decided for their source; the rows of each source are spread over
+    ``SALTS`` keys, so that a large source is not one task."""
+    salted = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("its_salt", F.pmod("draw", F.lit(SALTS))).join(
         salted, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("its_salt") == F.col("salt"))
     ).drop("salt", "its_salt")
 

@@ -26,6 +26,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
 MAX_SHARE = 0.1
 MAX_REMOVED = 0.5
+SALTS = 64
 
 _SPACE = b" \t\n\v\f\r"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
@@ -121,8 +122,11 @@ def common_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float
 def _verdicts(measured: DataFrame, limits: dict) -> DataFrame:
     """``_row, removed`` (hashes)``, removed_words`` for the rows that lose a line."""
     common = settle(common_lines(measured, **limits), "common-lines")
-    lines = measured.select("host", "_row", F.explode("lines").alias("x")).select("host", "_row", "x.line", "x.words")
-    hits = lines.join(common.select("host", "line"), ["host", "line"]).select("_row", "line", "words").distinct()
+    # Common lines are in very many rows by definition: their rows are dealt by a salt from the row.
+    salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("salt")
+    lines = measured.select("host", "_row", salt, F.explode("lines").alias("x")).select("host", "_row", "salt", "x.line", "x.words")
+    salted = common.select("host", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    hits = lines.join(salted, ["host", "line", "salt"]).select("_row", "line", "words").distinct()
     return hits.groupBy("_row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words"))
 
 
@@ -152,7 +156,7 @@ def quality(
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, in their own columns, without the lines above the limits.
 
-    Other columns stay as they are; ``n_chars``, where there is one, is counted anew for
+    Other columns stay as they are, whatever their names; ``n_chars``, where there is one, is counted anew for
     texts that lost a line. The cases are those of ``quality``.
     """
     verdict = quality(docs, **limits).where("kept").select("_row", "removed").dropDuplicates(["_row"])
@@ -168,8 +172,8 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     # Only rows that lose a line pass through Python.
-    cut = over_batches(kept.where(touched).select("removed", "row").select(
-        *[F.col("row").getField(c).alias(c) for c in names], F.col("removed").alias("gone")), docs.schema, task)
+    cut = over_batches(kept.where(touched).select(
+        *[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(names)], "removed"), docs.schema, task)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.where(~touched).select("row.*").union(cut)

@@ -11,8 +11,9 @@ of their bounds until no bound is above the worst of the neighbours found, so th
 are exact. Their votes are weighted by the squared cosine and calibrated with a logistic curve fitted to
 the votes that examples get from the others. Labels, language, source and id are no inputs.
 
-The sample's bound (``train_rows``) and the number of terms (``max_terms``) bound the index,
-which is what tasks receive.
+The cosine is exact over these terms, the rest being one of them: with every word of a text as a
+term of its own, neighbours are texts that share rare words of any kind, and the label is lost.
+The sample's bound (``train_rows``) bounds the terms and the index, which is what tasks receive.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from palisade.llm.common import over_batches
 from palisade.session import settle
 
 TRAIN_ROWS = 8192
-MAX_TERMS = 1024
-MIN_DOCS = 3
 MIN_G = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
@@ -125,8 +124,8 @@ class Index:
         bounds = weights @ self.most[query]
         places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
         for b in np.argsort(-bounds, kind="stable").tolist():
-            # The margin is far above rounding, far below what would change a vote.
-            if len(places) == k and bounds[b] <= worst + 1e-9:
+            # Bounds are raised by more than their rounding, so that no neighbour is missed.
+            if len(places) == k and bounds[b] * (1 + 1e-12) < worst:
                 break
             size = min(BLOCK, len(self.ids) - b * BLOCK)
             scores = np.zeros(size)
@@ -185,7 +184,7 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def _chosen(sample: DataFrame, max_terms: int) -> list[str]:
+def _chosen(sample: DataFrame) -> list[str]:
     """The terms that go with the toxic label, strongest first."""
     def task(batch: pa.RecordBatch) -> dict:
         toxic, clean = Counter(), Counter()
@@ -207,8 +206,8 @@ def _chosen(sample: DataFrame, max_terms: int) -> list[str]:
              + part(toxic - F.col("a"), toxic - n * share)
              + part(every - toxic - F.col("b"), every - toxic - n * (1 - share)))
     best = (
-        counted.where((n >= MIN_DOCS) & (F.col("a") > n * share)).withColumn("g", g).where(F.col("g") > MIN_G)
-        .orderBy(F.desc("g"), "term").limit(max_terms)
+        counted.where(F.col("a") > n * share).withColumn("g", g).where(F.col("g") > MIN_G)
+        .orderBy(F.desc("g"), "term")
     )
     return [r["term"] for r in best.collect()]
 
@@ -238,7 +237,7 @@ def _terms(chosen: list[str]) -> Terms:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS,
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     neighbours: int = NEIGHBOURS,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence``: one row per row of ``docs``.
@@ -250,7 +249,7 @@ def toxicity(
     empty table gives no rows; other columns are ignored.
     """
     sample = settle(_sample(docs, labels, train_rows), "labelled-texts")
-    chosen = _chosen(sample, max_terms)
+    chosen = _chosen(sample)
     held_out = F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     if not chosen:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.lit(0.0).alias("score"),

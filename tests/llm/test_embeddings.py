@@ -65,8 +65,8 @@ def test_empty_table(spark):
 
 def test_bounds_hold_for_every_pair():
     rng = np.random.default_rng(4)
-    x = np.array([embeddings.unit(v) for v in rng.normal(size=(80, 17))])
-    coded = [embeddings.quantise(v) for v in x]
+    x = embeddings.unit(rng.normal(size=(80, 17)))
+    coded = list(zip(*embeddings.quantise(x)))
     for i in range(80):
         for j in range(i):
             (q, s, e), (r, t, f) = coded[i], coded[j]
@@ -79,10 +79,13 @@ def test_tile_finds_pairs_at_the_threshold():
     """Pairs within a hair of the threshold, on both sides."""
     rng = np.random.default_rng(5)
     base, away = rng.normal(size=(2, 32))
-    base = embeddings.unit(base)
-    away = embeddings.unit(away - (away @ base) * base)
+    one = lambda v: embeddings.unit(v[None])[0]
+    base = one(base)
+    away = one(away - (away @ base) * base)
     near = [0.9 + d for d in (-1e-3, -1e-9, 1e-9, 1e-3)]
     others = [c * base + np.sqrt(1 - c * c) * away for c in near]
-    block = lambda ids, vs: embeddings._block(ids, [1] * len(ids), [v.tobytes() for v in vs])
+    def block(ids, vs):
+        codes, scales, errors = embeddings.quantise(np.array(vs))
+        return embeddings._block(ids, [1] * len(ids), [v.tobytes() for v in vs], [c.tobytes() for c in codes], scales, errors)
     _, of_left, of_right = embeddings.tile(block([0], [base]), block([1, 2, 3, 4], others), False, 0.9)
     assert of_left.tolist() == [2] and of_right.tolist() == [0, 0, 1, 1]

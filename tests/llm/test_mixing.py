@@ -54,12 +54,16 @@ def test_reruns_and_layouts_agree(spark):
     assert tell(mixing.mix(docs)) == tell(mixing.mix(docs.repartition(7))) != tell(mixing.mix(docs, seed=18))
 
 
-def test_many_sources_without_broadcast(spark, monkeypatch):
+def test_many_sources_without_broadcast(spark):
     docs = documents(spark, corpus(5, ["a", "b", None]))
     tell = lambda f: sorted((r.doc_id, r.taken) for r in f.collect())
     want = tell(mixing.mix(docs))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert tell(mixing.mix(docs)) == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tell(mixing.mix(docs)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_rows_of_the_mix(spark):

@@ -59,3 +59,22 @@ def test_odd_rows(spark):
     assert (1, 0, True, False) in got and (2, 0, True, False) in got and (4, 30000, True, False) in got
     assert quality.quality(docs.where("false")).count() == 0
     assert quality.clean(docs.where("false")).count() == 0
+
+
+def test_columns_that_bear_names_of_the_operator(spark):
+    menu = "Menu of  the SITE"
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    names = "gone removed row _row host line lines words salt kept c0 c1 c5 n_words removed_words docs n_docs x"
+    docs = documents(spark, [(k, f"{menu}\n{body(k)}", "a") for k in range(40)] + [(50, None), (51, "short")], names)
+    cleaned = quality.clean(docs)
+    assert cleaned.columns == docs.columns and cleaned.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r.text, r.gone, r.salt) for r in cleaned.collect()) == [(k, body(k), "x", "x") for k in range(40)]
+    assert quality.quality(docs).count() == 42
+
+
+def test_the_line_rule_changes_verdicts_of_a_whole_table(spark):
+    """The query's columns, where documents pass the base rules and are rejected for their lines."""
+    common = "\n".join(" ".join(f"t{k}u{j}" for j in range(15)) for k in range(8))
+    rows = [(k, common + "\n" + " ".join(f"w{k}x{j}" for j in range(30 if k % 2 else 400)), "h") for k in range(60)]
+    got = {r.doc_id: r for r in quality.quality(documents(spark, rows)).collect()}
+    assert all(not got[k].base_failed and got[k].removed_words == 8 * 15 and got[k].kept == (k % 2 == 0) for k in range(60))

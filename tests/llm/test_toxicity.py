@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,6 +50,60 @@ def test_nearest_examples_are_exact():
         assert len(set(places.tolist())) == 15
 
 
+def test_whole_query_against_dense_vectors(spark):
+    """Terms, weights, neighbours, votes, curve and scores, each the plain way."""
+    rng = random.Random(15)
+    def text(toxic):
+        words = [rng.choice(["nice", "day", "sunny", "walk", "rain", "clouds"]) for _ in range(rng.randint(3, 60))]
+        return " ".join(words + [rng.choice(["vileword", "vilest", "scum"]) for _ in range(rng.randint(1, 4) if toxic else rng.random() < 0.03)])
+    rows = [(k, text(k % 5 == 0)) for k in range(300)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0), "x") for k in range(250)], LABELS)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in texts}
+    train = {i: y for i, y in marks.items() if zlib.crc32(str(i).encode()) % 5}
+    words = {i: toxicity._LETTERS.findall(t.lower()) for i, t in texts.items()}
+    terms_of = lambda w: {"=" + w, *("^" + w[:k] for k in (3, 4, 5, 6) if len(w) > k)}
+    seen = {i: set().union(*map(terms_of, words[i]), set()) for i in train}
+    toxic, every = sum(train.values()), len(train)
+    chosen = []
+    for term in set().union(*seen.values()):
+        a = sum(train[i] for i in train if term in seen[i])
+        n = sum(term in seen[i] for i in train)
+        cells = [(a, n * toxic / every), (n - a, n * (1 - toxic / every)), (toxic - a, toxic - n * toxic / every),
+                 (every - toxic - n + a, every - toxic - n * (1 - toxic / every))]
+        g = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
+        if a > n * toxic / every and g > toxicity.MIN_G:
+            chosen.append(term)
+    chosen.sort()
+    counts = {i: [sum(t in terms_of(w) for w in ws) for t in chosen] for i, ws in words.items()}
+    rest = {i: sum(not terms_of(w) & set(chosen) for w in ws) for i, ws in words.items()}
+    idf = [math.log((1 + len(texts)) / (1 + sum(c[k] > 0 for c in counts.values()))) + 1 for k in range(len(chosen))]
+    def vector(i):
+        v = np.array([c * w for c, w in zip(counts[i], idf)] + [1 + math.log(1 + rest[i])])
+        return v / np.sqrt(v @ v)
+    vectors = {i: vector(i) for i in texts}
+    def votes(i, among):
+        """The vote, or None where the last neighbour is one of several with its cosine."""
+        near = sorted(((round(float(vectors[i] @ vectors[j]), 9), train[j]) for j in among), reverse=True)
+        k = toxicity.NEIGHBOURS
+        if len(near) > k and near[k - 1][0] == near[k][0]:
+            return None
+        near = near[:k]
+        return sum(c * c * y for c, y in near) / sum(c * c for c, _ in near)
+    assert 0 < len(chosen)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert set(got) == set(texts)
+    # The curve is one for all: scores are ordered as votes, equal votes score alike, and two votes fix it.
+    told = {i: votes(i, train) for i in texts}
+    known = sorted((v, got[i]) for i, v in told.items() if v is not None)
+    assert len(known) > 20
+    logit = lambda p: math.log(p / (1 - p))
+    (v0, p0), (v1, p1) = known[0], known[-1]
+    slope = (logit(p1) - logit(p0)) / (v1 - v0)
+    assert slope > 0 and all(abs(logit(p) - logit(p0) - slope * (v - v0)) < 1e-6 for v, p in known)
+
+
 def test_scores_depend_on_the_text_alone(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     twice = docs.union(docs.selectExpr("doc_id + 1000000", "text", "'xx'", "'other'", "n_chars"))
