@@ -6,6 +6,11 @@ these are the capacities of its edges to the two terminals. Neighbouring blocks,
 nearest blocks under one parent, are joined by edges that cost more the closer they are in the
 document tree. The minimum cut, found by maximum flow, is the labelling with the least total cost: blocks on
 the content side make up the text.
+
+No mark decides alone. An element whose name speaks of boilerplate weighs less the larger the
+share of the page's text below it, since what holds the page is its frame and not a part of it; a name
+that tells a state (``has-sidebar``) or calls the element a frame (``sidebar-layout``) says nothing. Text, links and neighbours decide
+blocks without marks: there the edges outweigh a doubtful block.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
+from itertools import takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,9 +44,18 @@ BAD_WORDS = frozenset((
 GOOD_WORDS = frozenset("article content main post entry story body text prose".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-# The classifier: positive weights speak for content. Markup outweighs all edges of a block together.
-BIAS, IN_GOOD, IN_BAD, GOOD_NAME, HEADER, LINKS, LENGTH, SENTENCE, HEADING = -1.0, 4.0, -20.0, 2.0, -1.5, -4.0, 0.6, 0.8, 0.5
+# Words of a class that are about readers' comments wherever they stand in it.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+STATE_WORDS = frozenset("has no with without is not".split())
+FRAME_WORDS = frozenset("page layout wrapper wrap container site frame grid row columns".split())
+
+# The classifier: positive weights speak for content. They are set so that, with all edges of a
+# block, a long sentence stays inside a good element and goes inside a bad one, that a
+# paragraph of three lines stays without any mark, and that a block of one word goes with its neighbours.
+BIAS, IN_GOOD, GOOD_NAME, HEADER, LINKS, LENGTH, SENTENCE, HEADING = -1.0, 4.0, 2.0, -1.5, -4.0, 0.6, 0.8, 0.5
+BAD_TAG, BAD_NAME = -14.0, -12.0
 SAME_PARENT, APART, SIBLING = 1.0, 0.4, 0.5
+ACROSS = 0.3  # of an edge that leaves or enters a marked element
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
@@ -59,27 +74,49 @@ class _Open(NamedTuple):
     tag: str
     number: int
     good: bool
-    bad: bool
+    bad: float  # the weight against content, 0 for none
     named: bool
 
 
+def _name_says(value: str) -> tuple[bool, bool]:
+    """Whether a class or id speaks for boilerplate, and whether for content.
+
+    The last word that says anything is the head of a compound: an ``alert-story`` is a story,
+    a ``post-footer`` a footer.
+    """
+    bad = good = False
+    for token in value.split():
+        words = list(takewhile(lambda w: w not in STATE_WORDS, (w.lower() for w in _WORD.findall(token))))
+        if not words or words[-1] in FRAME_WORDS:
+            continue
+        if COMMENT_WORDS.intersection(words):
+            bad = True
+            continue
+        head = next((w for w in reversed(words) if w in BAD_WORDS or w in GOOD_WORDS), None)
+        bad |= head in BAD_WORDS
+        good |= head in GOOD_WORDS
+    return bad, good
+
+
 def _element(tag: str, attributes: str, number: int) -> _Open:
-    good, bad, named = tag in GOOD_TAGS, tag in BAD_TAGS, False
+    good, bad, named = tag in GOOD_TAGS, BAD_TAG if tag in BAD_TAGS else 0.0, False
     if attributes.strip() and tag not in ("html", "body"):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                bad |= bool(words & BAD_WORDS)
-                named |= bool(words & GOOD_WORDS)
+                against, speaks = _name_says(value)
+                named |= speaks and not against
+                if against:
+                    bad = min(bad, BAD_NAME)
             elif key == "role":
-                bad |= value.lower() in BAD_ROLES
+                if value.lower() in BAD_ROLES:
+                    bad = BAD_TAG
                 good |= value.lower() in ("main", "article")
             elif key == "itemprop":
                 good |= value == "articleBody"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or (
                     key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                bad = True
+                bad = BAD_TAG
     return _Open(tag, number, good, bad, named)
 
 
@@ -148,12 +185,22 @@ def _is_heading(tag: str) -> bool:
     return len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
 
 
-def score(block: Block) -> float:
+def scores(page: list[Block]) -> list[float]:
     """The classifier: above zero for content."""
-    if any(x.bad for x in block.path):
-        return IN_BAD
+    below: dict[int, int] = {}
+    for block in page:
+        for x in block.path:
+            if x.bad:
+                below[x.number] = below.get(x.number, 0) + len(block.text)
+    total = sum(len(b.text) for b in page)
+    against = {n: 1 - (k / total) ** 4 for n, k in below.items()}
+    return [_score(block, against) for block in page]
+
+
+def _score(block: Block, against: dict[int, float]) -> float:
     inside = any(x.good for x in block.path)
     value = BIAS + IN_GOOD * inside + GOOD_NAME * any(x.named for x in block.path)
+    value += min((x.bad * against[x.number] for x in block.path if x.bad), default=0.0)
     value += HEADER * any(x.tag == "header" for x in block.path) * (1 if inside else 4)
     value += LINKS * min(1.0, block.linked / len(block.text))
     words = block.text.count(" ") + 1
@@ -162,10 +209,15 @@ def score(block: Block) -> float:
     return value
 
 
+def _marked(block: Block) -> list[int]:
+    return [x.number for x in block.path if x.bad or x.good]
+
+
 def _edges(page: list[Block]) -> dict[tuple[int, int], float]:
     """Capacities between blocks: neighbours by their distance in the tree, and siblings of one parent."""
     made: dict[tuple[int, int], float] = {}
     latest: dict[int, int] = {}
+    marks = [_marked(b) for b in page]
     for k, block in enumerate(page):
         # A block's own element, then the element around it.
         parent = block.path[-2].number if len(block.path) > 1 else 0
@@ -182,7 +234,7 @@ def _edges(page: list[Block]) -> dict[tuple[int, int], float]:
             pair = (latest[parent], k)
             made[pair] = made.get(pair, 0.0) + SIBLING
         latest[parent] = k
-    return made
+    return {(a, b): c if marks[a] == marks[b] else c * ACROSS for (a, b), c in made.items()}
 
 
 def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -242,14 +294,15 @@ def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> lis
 def main_text(page: str | None) -> str:
     """The text of a page's content blocks, joined by single spaces; empty for a null page."""
     found = blocks(page or "")
-    content = minimum_cut([score(b) for b in found], _edges(found))
+    content = minimum_cut(scores(found), _edges(found))
     return " ".join(b.text for b, keep in zip(found, content) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``: one row per row of ``pages``.
 
-    A null or empty page has the empty text. Null ids and addresses stay null; repeated rows get a row
+    A null or empty page has the empty text; a very long page takes time and memory in proportion to its
+    length and to the depth of its elements. Null ids and addresses stay null; repeated rows get a row
     each. An empty table gives no rows; other columns are ignored.
     """
     def task(batch: pa.RecordBatch) -> dict:

@@ -59,6 +59,53 @@ def test_neighbours_carry_a_doubtful_block():
     assert pages.main_text("<div><p><a>One</a></p><p>Yes</p><p><a>Two</a></p></div>") == ""
 
 
+LONG = "A paragraph that is long enough to speak for itself, and that ends with a full stop."
+FRAME = "<nav><a href=a>Start</a> <a href=b>News</a></nav>{}<footer>All rights reserved by the owners of this site.</footer>"
+
+
+def test_the_name_of_a_frame_is_no_veto():
+    body = f"<h1>Title</h1><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>"
+    want = f"Title {LONG} Yes. {LONG}"
+    for opened, closed in (
+            ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div id="page" class="no-comments"><main>', "</main></div>"),
+            ('<article class="alert-story">', "</article>"), ('<div class="sidebar-page"><div class="entry">', "</div></div>"),
+            ('<form id="aspnetForm"><article>', "</article></form>"), ('<div class="page-with-nav">', "</div>")):
+        assert pages.main_text(FRAME.format(opened + body + closed)) == want, opened
+
+
+def test_parts_inside_the_content_go():
+    comments = f'<section class="comments"><article class="comment-body"><p>{LONG}</p></article><article class="comment"><p>{LONG} So true!</p></article></section>'
+    for part in (comments, f'<div class="ad">{LONG}</div>', f'<aside class="content"><p>{LONG}</p></aside>', f'<div class="post-footer"><p>{LONG}</p></div>',
+                 f'<div class="share-buttons"><p>{LONG}</p></div>', f'<p class="notice">{LONG}</p>', f'<div role="alert">{LONG}</div>'):
+        page = FRAME.format(f"<article><h1>Title</h1>{f'<p>{LONG}</p>' * 4}{part}<p>{LONG}</p></article>")
+        assert pages.main_text(page) == " ".join(["Title", *[LONG] * 5]), part
+
+
+def noisy(rng):
+    """A page without any telling mark: a list of short links, an article with short lines in it, another list."""
+    word = lambda: rng.choice("some words of any kind that come in a line".split())
+    line = lambda n: " ".join(word() for _ in range(n))
+    links = lambda: "<div>" + "".join(
+        f"<p>{f'<a href=x>{line(rng.randint(1, 3))}</a>' if rng.random() < 0.8 else line(2)}</p>" for _ in range(rng.randint(3, 8))) + "</div>"
+    own = [line(rng.randint(1, 3)) if rng.random() < 0.35 else line(rng.randint(15, 40)) + "." for _ in range(rng.randint(4, 10))]
+    own[0], own[-1] = line(30) + ".", line(30) + "."
+    return links() + "<div>" + "".join(f"<p>{x}</p>" for x in own) + "</div>" + links(), " ".join(own)
+
+
+def test_the_cut_mends_labels_on_noisy_pages():
+    rng = random.Random(21)
+    changed = right = right_without = 0
+    for _ in range(200):
+        page, want = noisy(rng)
+        found = pages.blocks(page)
+        alone = [s > 0 for s in pages.scores(found)]
+        cut = pages.minimum_cut(pages.scores(found), pages._edges(found))
+        changed += sum(a != b for a, b in zip(alone, cut))
+        right += pages.main_text(page) == want
+        right_without += " ".join(b.text for b, keep in zip(found, alone) if keep) == want
+    assert changed > 200 and right >= 170 and right_without < 60
+
+
 def test_table(spark):
     rows = [(1, "u", None, "a"), (2, None, "", "a"), (None, "u", PAGE, "a"), (3, "u", PAGE, "a"), (3, "u", PAGE, "a")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
