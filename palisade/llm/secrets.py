@@ -8,17 +8,23 @@ Candidates are long runs of token characters that hold a digit and a letter. The
 alphabet that covers a candidate is taken as its encoding, and three tests ask whether its
 characters are random draws from it: chi-squared uniformity over the alphabet, the number of
 runs above and below the middle of the alphabet, and the correlation of neighbours. The
-smallest of the three p-values, times three, is the candidate's p-value for being random.
-Ordinary identifiers are rejected, secrets are not. Which rejections stand is decided over
-all candidates of the corpus with the Benjamini-Hochberg rule, for each length class on its own,
-since tests are stronger on longer tokens: of the candidates thrown out as not random, at
-most the rate is expected to be random after all. Candidates too short for their alphabet to
-be rejected by any test are no candidates. P-values are counted in fine bins of their
-logarithm, so the rule needs a few hundred counts, not a sort.
+smallest of the three p-values, corrected for being the smallest of three, is the candidate's p-value for
+being random. Ordinary identifiers are rejected, secrets are not.
+
+Which rejections stand is decided over all candidates of the corpus, for each length class
+on its own, since tests are stronger on longer tokens, and from both sides. Of the candidates
+thrown out, at most the rate is expected to be random after all (Benjamini-Hochberg). Of those
+kept, at most the rate is expected not to be random: p-values of random tokens are uniform, so
+those above one half tell how many random tokens a class has (with two standard errors on
+top, as a class with a handful of candidates cannot tell), and the limit goes up until what is
+kept is explained by them. Candidates too short for their alphabet to be rejected by any test are no
+candidates. P-values are counted in fine bins of their logarithm, so the rules need a few
+hundred counts, not a sort.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,34 +48,63 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 CANDIDATE_SIGN = r"[A-Za-z0-9+/_=-]{20}"
 # Alphabets from narrow to wide, in the order of their characters, and the least length at
 # which the battery can reject.
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = (
-    ("hex", "0123456789abcdef", 24),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 20),
+    ("hex", _DIGITS + "abcdef", 24),
+    ("upper hex", _DIGITS + "ABCDEF", 24),
+    ("base32", _UPPER + "234567", 24),
+    ("base36", _DIGITS + _LOWER, 24),
+    ("upper base36", _DIGITS + _UPPER, 24),
+    ("base62", _UPPER + _LOWER + _DIGITS, 20),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/", 20),
+    ("url base64", _UPPER + _LOWER + _DIGITS + "-_", 20),
 )
 RATE = 0.05
 BINS_PER_DECADE = 50
 LEAST_P = 1e-12
+HIGH_BIN = -15  # p-values of about one half and more
+CHUNK = 256  # matches of a text whose places are added up together
 
 _SPAN = "struct<start: int, kind: string, until: int>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside a lambda, an expression is computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunks(values: Column) -> Column:
+    """An array in arrays of ``CHUNK`` values."""
+    return _once(values, lambda own: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int"))),
+        lambda k: F.slice(own, k * CHUNK + 1, CHUNK)))
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``join`` makes of each value and all before it, without the value itself; 0 for the first.
+
+    Growing an array one by one copies it each time, so it is done in chunks, and once
+    more over the chunks: the cost of a text with very many matches stays near their number.
+    """
+    def grown(array: Column, first: Column) -> Column:
+        return F.aggregate(
+            array, F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("seen")),
+            lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))
+
+    zero = F.lit(0).cast(kind)
+    return _once(_chunks(values), lambda chunks: F.flatten(F.zip_with(
+        chunks, grown(F.transform(chunks, lambda c: F.aggregate(c, zero, join)), zero)["seen"], lambda c, first: grown(c, first)["seen"])))
+
+
 def _positions(text: Column, pattern: str, value: Column | None = None) -> Column:
     """All matches of ``pattern`` as structs ``start, until, value``, in code points."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    starts = F.aggregate(
-        F.zip_with(F.transform(between, F.length), F.transform(whole, F.length), lambda b, w: F.struct(
-            F.coalesce(b, F.lit(0)).alias("b"), F.coalesce(w, F.lit(0)).alias("w"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["w"]).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + x["b"])).alias("starts")),
-        lambda acc: acc["starts"])
+    between = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(whole))
+    lengths = F.transform(whole, F.length)
+    before = _scan(F.zip_with(between, lengths, lambda b, w: b + w), lambda a, b: a + b, "int")
     values = whole if value is None else value
     return F.zip_with(
-        F.arrays_zip(whole.alias("w"), values.alias("v")), F.slice(starts, 1, F.size(whole)),
+        F.arrays_zip(whole.alias("w"), values.alias("v")), F.zip_with(before, between, lambda a, b: a + b),
         lambda m, s: F.struct(s.alias("start"), (s + F.length(m["w"])).alias("until"), m["v"].alias("value")))
 
 
@@ -156,7 +191,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     # All characters on one side of the middle: the other tests decide.
     runs = F.when(variance > 0, two_sided((F.col("runs") - expected) / F.sqrt(variance))).otherwise(1.0)
     return tested.withColumns({"p_runs": runs, "p_serial": two_sided(serial)}).withColumn(
-        "p", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))).drop(
+        "p", 1 - F.pow(1 - F.least(F.lit(1.0), "p_uniform", "p_runs", "p_serial"), F.lit(3.0))).drop(
         "ranks", "high", "chi", "ups", "downs", "runs", "mean")
 
 
@@ -169,17 +204,26 @@ def _length_class(n: Column) -> Column:
 
 
 def random_tokens(tokens: DataFrame, rate: float = RATE) -> DataFrame:
-    """The candidates that the corpus-wide rule does not reject as not random.
+    """The candidates that the corpus-wide rules do not reject as not random.
 
     ``tokens`` is read twice: pass a written table.
     """
     placed = tokens.withColumn("bin", _bin(F.col("p"))).withColumn("class", _length_class(F.col("n")))
     counts = placed.groupBy("class", "bin").agg(F.count("*").alias("k"))
-    upward = Window.partitionBy("class").orderBy("bin")
-    ranked = counts.withColumn("rank", F.sum("k").over(upward)).withColumn("m", F.sum("k").over(Window.partitionBy("class")))
+    every = Window.partitionBy("class")
+    high = F.sum(F.when(F.col("bin") >= HIGH_BIN, F.col("k")).otherwise(0)).over(every) + 1
     # The upper edge of a bin stands for its p-values, which errs on the side of keeping.
-    edge = F.pow(F.lit(10.0), (F.col("bin") + 1) / BINS_PER_DECADE)
-    limits = ranked.where(edge <= rate * F.col("rank") / F.col("m")).groupBy("class").agg(F.max("bin").alias("rejected"))
+    edge = F.least(F.lit(1.0), F.pow(F.lit(10.0), (F.col("bin") + 1) / BINS_PER_DECADE))
+    ranked = counts.withColumns({
+        "rank": F.sum("k").over(every.orderBy("bin")), "m": F.sum("k").over(every), "edge": edge,
+        "random": (high + 2 * F.sqrt(high)) / (1 - 10 ** (HIGH_BIN / BINS_PER_DECADE)),
+    })
+    explained = (F.col("m") - F.col("rank")) * (1 - rate) <= F.col("random") * (1 - F.col("edge"))
+    limits = ranked.groupBy("class").agg(
+        F.max(F.when(F.col("edge") <= rate * F.col("rank") / F.col("m"), F.col("bin"))).alias("not_random"),
+        F.min(F.when(explained & (F.col("m") * (1 - rate) > F.col("random")), F.col("bin"))).alias("not_explained"),
+    ).select("class", F.greatest("not_random", "not_explained").alias("rejected"))
+    # One row per length class.
     return placed.join(F.broadcast(limits), "class", "left").where(
         F.col("rejected").isNull() | (F.col("bin") > F.col("rejected"))).drop("bin", "class", "rejected")
 
@@ -233,18 +277,23 @@ def report(docs: DataFrame, rate: float = RATE) -> DataFrame:
 def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in their own columns, each span (overlapping ones as one) replaced by a mark.
 
-    ``n_chars``, where there is one, is counted anew for the texts that change.
+    ``n_chars``, where there is one, is counted anew for the texts that change. The cases are those of
+    ``scan``; an empty table gives no rows, and other columns stay, whatever their names.
     """
     found = scan(docs, rate).withColumn("spans", F.array_sort(F.concat(*map(F.col, KINDS)))).where(F.size("spans") > 0)
     spans = settle(found.select("_row", "spans").dropDuplicates(["_row"]), "secret-spans")
     marked = docs.select(whole_row(docs), _row(docs).alias("_row")).join(spans, "_row", "left")
     text = F.col("row.text")
-    # Pieces of text between spans, with a mark after each, and what follows the last span.
-    spliced = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["until"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # A span's own piece is the text since the last span's end, and a mark, if it does not lie in that one.
+    ends = F.transform("spans", lambda x: x["until"])
+    since = _scan(ends, lambda a, b: F.greatest(a, b), "int")
+    cuts = F.zip_with("spans", since, lambda x, last: F.struct(x["start"].alias("start"), last.alias("last")))
+    # Finding a place in a long text takes its length, so pieces are taken from the text of a chunk of spans.
+    whole = F.transform(_chunks(cuts), lambda c: F.struct(
+        c.alias("cuts"), c[0]["last"].alias("at"),
+        F.substring(text, c[0]["last"] + 1, F.array_max(F.transform(c, lambda x: x["start"])) - c[0]["last"]).alias("text")))
+    pieces = F.transform(whole, lambda w: F.array_join(F.transform(w["cuts"], lambda x: F.when(x["start"] < x["last"], F.lit("")).otherwise(
+        F.concat(F.substring(w["text"], x["last"] - w["at"] + 1, x["start"] - x["last"]), F.lit(REDACTED)))), ""))
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))  # the last span's end is the largest
+    spliced = F.concat(F.array_join(pieces, ""), rest)
     return marked.select(with_text(docs, spliced, F.col("spans").isNotNull())).select("row.*")
