@@ -9,8 +9,9 @@ a text without any space.
 
 A piece of this kind of model never holds a letter before a space mark, so a text is cut
 before the marks that follow something else, and at characters that no piece holds. The
-distinct units of a batch stand in a trie, whose nodes are the prefixes of the table: a prefix that
-many units share has one entry. Results of the latest units are kept, up to a bounded size.
+distinct units of a batch are solved in order, so that units share the table's entries of their
+common prefixes. Results of the latest units are kept, up to a bounded size. A unit of more
+than ``LONGEST_CACHED`` characters has a table of its own, by place instead of by prefix.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 from itertools import chain
 from math import inf
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -33,8 +34,9 @@ from palisade.llm import tries
 from palisade.llm.common import over_batches
 
 MARK = "▁"  # stands for a space inside pieces
+CACHED_PREFIXES = 400_000
 CACHED_PAIRS = 600_000
-_PIECE_BITS = 32
+LONGEST_CACHED = 64
 
 
 class Pieces:
@@ -50,16 +52,21 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a space mark after a letter: units cannot be cut there")
-        self.pieces = list(self.ids)
-        self.vocabulary = tries.Vocabulary(self.pieces)
-        # By the number of a piece in ``pieces``: its id and its length.
-        self.id_of = np.array(list(self.ids.values()))
-        self.length_of = np.array([*map(len, self.pieces), 1])  # the last entry is for characters alone
+        self.tokens = ahocorasick.Automaton()
+        for piece in self.ids:
+            self.tokens.add_word(piece, piece)
+        self.tokens.make_automaton()
         alphabet = {c for p in self.ids for c in p}
         alone = "" if "\n" in alphabet else "\n"
         self.unit = re.compile(f"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.stable = np.array([self.merged(p) == [p] for p in self.pieces])
-        self.fits: dict[int, bool] = {}
+        # Longest piece for each ending of two characters, and the next shorter piece
+        # that ends a piece (the automaton's suffix links).
+        self.reach: dict[str, int] = {}
+        for piece in self.ids:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
+        self.shorter = {p: next((p[k:] for k in range(1, len(p)) if p[k:] in self.ids), "") for p in self.ids}
+        self.table: dict[str, str] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
         self.solved = tries.Solved(self._with_decimals)
 
     def merged(self, text: str) -> list[str]:
@@ -76,52 +83,83 @@ class Pieces:
                 scores[at] = self.scores.get(parts[at] + parts[at + 1], -inf)
         return parts
 
-    def compatible(self, pair: int) -> bool:
-        """Whether a piece stays as it is behind a token: a piece, or a character as its complement."""
-        before, token = pair >> _PIECE_BITS, self.pieces[pair & ((1 << _PIECE_BITS) - 1)]
-        first = self.pieces[before] if before >= 0 else chr(~before)
-        if len(self.fits) >= CACHED_PAIRS:
-            self.fits.clear()
-        found = self.fits[pair] = self.merged(first + token) == [first, token]
+    def compatible(self, before: str, token: str) -> bool:
+        known = self.fits.get((before, token))
+        if known is None:
+            if len(self.fits) >= CACHED_PAIRS:
+                self.fits.clear()
+            want = [before, token] if before else [token]
+            known = self.fits[before, token] = self.merged(before + token) == want
+        return known
+
+    def last_token(self, prefix: str) -> str:
+        """The last piece of a short prefix, from the table that all units share.
+
+        The longest piece that ends the prefix starts the walk along the automaton's suffix
+        links, which lead to the shorter ones.
+        """
+        found = self.table.get(prefix)
+        if found is not None:
+            return found
+        size = len(prefix)
+        reach = min(size, self.reach.get(prefix[-2:], 1))
+        ids = self.ids
+        piece = prefix[-1:]
+        for length in range(reach, 1, -1):
+            if prefix[size - length:] in ids:
+                piece = prefix[size - length:]
+                break
+        while piece:
+            start = size - len(piece)
+            before = self.last_token(prefix[:start]) if start else ""
+            fits = self.fits.get((before, piece))
+            if fits or fits is None and self.compatible(before, piece):
+                break
+            piece = self.shorter[piece]
+        if len(self.table) >= CACHED_PREFIXES:
+            self.table.clear()
+        self.table[prefix] = found = piece or prefix[-1:]
         return found
 
+    def split(self, unit: str) -> list[str]:
+        """The pieces of a unit; characters outside the vocabulary stand alone."""
+        pieces, end = [], len(unit)
+        if end <= LONGEST_CACHED:
+            while end:
+                piece = self.last_token(unit[:end])
+                pieces.append(piece)
+                end -= len(piece)
+            return pieces[::-1]
+        # A long unit has a table of its own, filled in one pass of the automaton.
+        last = [""] * (end + 1)
+        at = 0
+        for place, piece in self.tokens.iter(unit):
+            while at < place:  # places where no piece ends
+                at += 1
+                last[at] = last[at] or unit[at - 1]
+            start = place + 1 - len(piece)
+            if not last[place + 1] and self.compatible(last[start], piece):
+                last[place + 1] = piece
+        while end:
+            piece = last[end] or unit[end - 1]
+            pieces.append(piece)
+            end -= len(piece)
+        return pieces[::-1]
+
     def unit_ids(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit. Units are distinct, sorted and not empty."""
-        trie = tries.Trie(units)
-        found = trie.matches(self.vocabulary)
-        # Until a piece is found for it, a node ends in its character alone.
-        last = ~trie.points[trie.place]
-        last[0] = 0
-        # A prefix that is a piece as a whole needs no pair test; of the others each match is a pair to try.
-        whole = (found.before == 0) & self.stable[found.piece]
-        last[found.node[whole]] = found.piece[whole]
-        rest = (last[found.node] < 0) & self.stable[found.piece]
-        last = last.tolist()
-        known = self.fits.get
-        for node, before, piece in zip(found.node[rest].tolist(), found.before[rest].tolist(), found.piece[rest].tolist()):
-            if last[node] < 0:
-                pair = last[before] << _PIECE_BITS | piece
-                good = known(pair)
-                if good or good is None and self.compatible(pair):
-                    last[node] = piece
-        # The last token of every place, and the place where the token before it ends.
-        token = np.array(last, np.int64)[trie.node]
-        back = (np.arange(len(token)) - self.length_of[np.maximum(token, -1)]).tolist()
-        ids = np.where(token < 0, token, self.id_of[np.maximum(token, 0)]).tolist()
+        """The ids of each unit. Sorted units find the prefixes of their neighbours in the table."""
         made = []
-        for begin, end in zip(trie.begins.tolist(), (trie.ends - 1).tolist()):
-            read = []
-            while end >= begin:
-                read.append(ids[end])
-                end = back[end]
-            read.reverse()
-            made.append(read if min(read) >= 0 else [i for t in read for i in ([t] if t >= 0 else self._alone(chr(~t)))])
+        for unit in units:
+            ids: list[int] = []
+            for piece in self.split(unit):
+                known = self.ids.get(piece)
+                if known is not None:
+                    ids.append(known)
+                else:
+                    ids += [self.bytes[b] for b in piece.encode("utf-8")]
+            made.append(ids)
         return made
 
-    def _alone(self, character: str) -> list[int]:
-        known = self.ids.get(character)
-        return [known] if known is not None else [self.bytes[b] for b in character.encode("utf-8")]
-
     def cut(self, text: str) -> list[str]:
         return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
