@@ -34,7 +34,7 @@ from palisade.llm import tries
 from palisade.llm.common import over_batches
 
 MARK = "▁"  # stands for a space inside pieces
-CACHED_PREFIXES = 400_000
+CACHED_PREFIXES = 100_000
 CACHED_PAIRS = 600_000
 LONGEST_CACHED = 64
 

@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 
 CHARACTERS = 1 << 20  # of strings that share a trie, about a hundred bytes each
-KEPT = 6 << 20        # of strings whose results are kept
+KEPT = 2 << 20        # of strings whose results are kept
 
 
 def parts(strings: list[str]) -> Iterator[list[str]]:
