@@ -16,6 +16,7 @@ than ``LONGEST_CACHED`` characters has a table of its own, by place instead of b
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -59,15 +60,17 @@ class Pieces:
         alphabet = {c for p in self.ids for c in p}
         alone = "" if "\n" in alphabet else "\n"
         self.unit = re.compile(f"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        # Longest piece for each ending of two characters, and the next shorter piece
-        # that ends a piece (the automaton's suffix links).
+        # Longest piece for each ending of three characters (shorter ones have two at most), and
+        # the next shorter piece that ends a piece (the automaton's suffix links).
         self.reach: dict[str, int] = {}
         for piece in self.ids:
-            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
+            self.reach[piece[-3:]] = max(self.reach.get(piece[-3:], 2), len(piece))
         self.shorter = {p: next((p[k:] for k in range(1, len(p)) if p[k:] in self.ids), "") for p in self.ids}
-        self.table: dict[str, str] = {}
+        self.table: dict[str, tuple] = {}  # the last piece and the entry before it
         self.fits: dict[tuple[str, str], bool] = {}
-        self.solved = tries.Solved(self._with_decimals)
+        self.coded = {piece: (i,) for piece, i in self.ids.items()}
+        self.decimals = [str(i) for i in range(size)]
+        self.solved = tries.Solved(self.unit_ids)
 
     def merged(self, text: str) -> list[str]:
         """The pieces after all merges, best score first, leftmost on ties. For short strings."""
@@ -92,43 +95,48 @@ class Pieces:
             known = self.fits[before, token] = self.merged(before + token) == want
         return known
 
-    def last_token(self, prefix: str) -> str:
-        """The last piece of a short prefix, from the table that all units share.
+    def last_token(self, prefix: str) -> tuple:
+        """The last piece of a short prefix and the entry of the prefix before it, from the
+        table that all units share.
 
         The longest piece that ends the prefix starts the walk along the automaton's suffix
         links, which lead to the shorter ones.
         """
-        found = self.table.get(prefix)
-        if found is not None:
-            return found
-        size = len(prefix)
-        reach = min(size, self.reach.get(prefix[-2:], 1))
-        ids = self.ids
+        size, table, fits = len(prefix), self.table, self.fits
         piece = prefix[-1:]
-        for length in range(reach, 1, -1):
-            if prefix[size - length:] in ids:
+        for length in range(min(size, self.reach.get(prefix[-3:], 2)), 1, -1):
+            if prefix[size - length:] in self.ids:
                 piece = prefix[size - length:]
                 break
-        while piece:
+        while True:
             start = size - len(piece)
-            before = self.last_token(prefix[:start]) if start else ""
-            fits = self.fits.get((before, piece))
-            if fits or fits is None and self.compatible(before, piece):
+            if start:
+                rest = prefix[:start]
+                before = table.get(rest) or self.last_token(rest)
+                pair = (before[0], piece)
+            else:
+                before, pair = None, ("", piece)
+            known = fits.get(pair)
+            if known or known is None and self.compatible(*pair):
                 break
-            piece = self.shorter[piece]
-        if len(self.table) >= CACHED_PREFIXES:
-            self.table.clear()
-        self.table[prefix] = found = piece or prefix[-1:]
+            if not (shorter := self.shorter.get(piece)):
+                piece = prefix[-1:]  # outside the vocabulary: it stands alone
+                before = (table.get(prefix[:-1]) or self.last_token(prefix[:-1])) if size > 1 else None
+                break
+            piece = shorter
+        if len(table) >= CACHED_PREFIXES:
+            table.clear()
+        table[prefix] = found = (piece, before)
         return found
 
     def split(self, unit: str) -> list[str]:
         """The pieces of a unit; characters outside the vocabulary stand alone."""
         pieces, end = [], len(unit)
         if end <= LONGEST_CACHED:
-            while end:
-                piece = self.last_token(unit[:end])
+            entry = self.table.get(unit) or (self.last_token(unit) if unit else None)
+            while entry:
+                piece, entry = entry
                 pieces.append(piece)
-                end -= len(piece)
             return pieces[::-1]
         # A long unit has a table of its own, filled in one pass of the automaton.
         last = [""] * (end + 1)
@@ -146,34 +154,32 @@ class Pieces:
             end -= len(piece)
         return pieces[::-1]
 
-    def unit_ids(self, units: list[str]) -> list[list[int]]:
+    def unit_ids(self, units: list[str]) -> Iterator[tuple[int, ...]]:
         """The ids of each unit. Sorted units find the prefixes of their neighbours in the table."""
-        made = []
+        known, split = self.coded, self.split
         for unit in units:
-            ids: list[int] = []
-            for piece in self.split(unit):
-                known = self.ids.get(piece)
-                if known is not None:
-                    ids.append(known)
-                else:
-                    ids += [self.bytes[b] for b in piece.encode("utf-8")]
-            made.append(ids)
-        return made
+            yield tuple(chain.from_iterable([known.get(p) or self._bytes_of(p) for p in split(unit)]))
+
+    def _bytes_of(self, piece: str) -> list[int]:
+        return [self.bytes[b] for b in piece.encode("utf-8")]
 
     def cut(self, text: str) -> list[str]:
         return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def _with_decimals(self, units: list[str]) -> Iterator[tuple[tuple[int, ...], str]]:
-        for ids in self.unit_ids(units):
-            yield tuple(ids), ",".join(map(str, ids))
-
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """The ids of each text, also as decimal numbers joined by commas."""
         cuts = [self.cut(t) for t in texts]
-        units = self.solved(cuts)
+        # Strings and tuples in tables make no cycles; looking for some among them costs a fifth of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            units = self.solved(cuts)
+        finally:
+            if collects:
+                gc.enable()
         for cut in cuts:
-            ids, decimals = zip(*map(units.__getitem__, cut)) if cut else ((), ())
-            yield list(chain.from_iterable(ids)), ",".join(decimals)
+            ids = list(chain.from_iterable(map(units.__getitem__, cut)))
+            yield ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, as the library gives them without begin and end ids."""
