@@ -19,9 +19,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from math import inf
 
 import ahocorasick
@@ -38,6 +39,7 @@ MARK = "▁"  # stands for a space inside pieces
 CACHED_PREFIXES = 100_000
 CACHED_PAIRS = 600_000
 LONGEST_CACHED = 64
+CACHED_UNITS = 4 << 20  # characters of units whose ids are kept
 
 
 class Pieces:
@@ -68,9 +70,11 @@ class Pieces:
         self.shorter = {p: next((p[k:] for k in range(1, len(p)) if p[k:] in self.ids), "") for p in self.ids}
         self.table: dict[str, tuple] = {}  # the last piece and the entry before it
         self.fits: dict[tuple[str, str], bool] = {}
-        self.coded = {piece: (i,) for piece, i in self.ids.items()}
+        # Ids are kept as four bytes each, in the order of the machine.
+        self.coded = {piece: i.to_bytes(4, sys.byteorder) for piece, i in self.ids.items()}
+        self.coded_bytes = [i.to_bytes(4, sys.byteorder) for i in self.bytes]
         self.decimals = [str(i) for i in range(size)]
-        self.solved = tries.Solved(self.unit_ids)
+        self.solved = tries.Solved(self.unit_ids, CACHED_UNITS)
 
     def merged(self, text: str) -> list[str]:
         """The pieces after all merges, best score first, leftmost on ties. For short strings."""
@@ -154,14 +158,14 @@ class Pieces:
             end -= len(piece)
         return pieces[::-1]
 
-    def unit_ids(self, units: list[str]) -> Iterator[tuple[int, ...]]:
+    def unit_ids(self, units: list[str]) -> Iterator[bytes]:
         """The ids of each unit. Sorted units find the prefixes of their neighbours in the table."""
         known, split = self.coded, self.split
         for unit in units:
-            yield tuple(chain.from_iterable([known.get(p) or self._bytes_of(p) for p in split(unit)]))
+            yield b"".join([known.get(p) or self._bytes_of(p) for p in split(unit)])
 
-    def _bytes_of(self, piece: str) -> list[int]:
-        return [self.bytes[b] for b in piece.encode("utf-8")]
+    def _bytes_of(self, piece: str) -> bytes:
+        return b"".join([self.coded_bytes[b] for b in piece.encode("utf-8")])
 
     def cut(self, text: str) -> list[str]:
         return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -178,7 +182,7 @@ class Pieces:
             if collects:
                 gc.enable()
         for cut in cuts:
-            ids = list(chain.from_iterable(map(units.__getitem__, cut)))
+            ids = array("I", b"".join(map(units.__getitem__, cut))).tolist()
             yield ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:

@@ -42,11 +42,11 @@ class Solved:
     """What ``solve`` gives for strings, solved in tries of distinct ones and kept for later batches.
 
     ``solve`` takes distinct, sorted strings. Results of the latest strings are kept, some
-    ``KEPT`` to twice as many characters of them.
+    ``kept`` to twice as many characters of them.
     """
 
-    def __init__(self, solve: Callable[[list[str]], Iterable]) -> None:
-        self.solve = solve
+    def __init__(self, solve: Callable[[list[str]], Iterable], kept: int = KEPT) -> None:
+        self.solve, self.kept = solve, kept
         self.recent: dict = {}
         self.older: dict = {}
         self.size = 0
@@ -59,9 +59,9 @@ class Solved:
         for part in parts(sorted(wanted - made.keys() - fresh.keys())):
             fresh.update(zip(part, self.solve(part)))
         added = sum(map(len, fresh))
-        if self.size + added > KEPT:
+        if self.size + added > self.kept:
             self.older, self.recent, self.size = self.recent, {}, 0
-        if added <= KEPT:
+        if added <= self.kept:
             self.recent.update(fresh)
             self.size += added
         return made | fresh
