@@ -56,10 +56,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``, which the cluster names.
 
-    Where that is unset, a folder of the warehouse, which the executors reach as well.
+    Where that is unset, a folder of the warehouse, if executors reach it too: a warehouse on
+    the driver's disk will do only when Spark runs on that machine alone.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = warehouse.startswith(("file:", "/"))
+    if on_disk and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"executors may not reach {warehouse}: set spark.checkpoint.dir to a folder that all of them share")
+    return f"{warehouse}/intermediate"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
