@@ -784,6 +784,11 @@ FROM summary, (SELECT count(*) AS t, count(*) FILTER (WHERE severity = 'HIGH') A
         "stream_port_scan": rec(
             "SELECT q.source_ip, q.n AS attempt_count, q.k AS unique_ports, q.t0 AS window_start, q.until AS window_end "
             "FROM scan_q q JOIN scan_hops h ON q.source_ip = h.source_ip AND q.t0 = h.t0", *SCAN_PARTS[:-1]),
+        "stream_port_scan_total": rec(
+            "SELECT q.source_ip, q.n AS attempt_count, q.k AS unique_ports, q.t0 AS window_start, q.until AS window_end "
+            "FROM scan_q q JOIN scan_hops h ON q.source_ip = h.source_ip AND q.t0 = h.t0 WHERE q.source_ip IN "
+            "(SELECT source_ip FROM logs WHERE destination_port IS NOT NULL GROUP BY source_ip HAVING count(*) >= 907)",
+            *SCAN_PARTS[:-1]),
         "stream_distributed_flood": rec(
             """SELECT h.destination_port AS target_port, h.protocol AS target_protocol, count(*) AS request_count,
   count(DISTINCT l.source_ip) AS unique_ip_count, h.t0 AS window_start, max(l."timestamp") AS window_end
@@ -807,6 +812,15 @@ WHERE h.t0 IS NOT NULL GROUP BY h.source_ip, h.t0 HAVING count(*) >= 8""", *SING
     })
     for stored in ("health_24h", "dashboard_top_ips", "retention_cut"):
         out[f"{stored}_stored"] = out[stored]
+    out["log_date_range"] = over_logs(
+        f"SELECT {shown} FROM logs WHERE severity = 'HIGH' "
+        "AND \"timestamp\" BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 00:03:00'")
+    out["log_date_range_whole_day"] = over_logs(
+        f"SELECT {shown} FROM logs WHERE severity = 'HIGH' "
+        "AND \"timestamp\" BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-04 23:59:59'")
+    out["log_export_csv"] = out["log_export_json"] = over_logs(f"SELECT {shown} FROM logs WHERE severity = 'HIGH'")
+    out["threat_export_csv"] = out["brute_force"]
+    out["report_export_print"] = f"SELECT section_no, line FROM ({out['report_print_sections']})"
     # Ids are consecutive over both loads, from 0.
     out["ingest_batch"] = over_logs(
         f"SELECT * EXCLUDE (log_id), 0 AS first_id, (SELECT count(*) FROM logs) - 1 AS last_id, (SELECT count(*) FROM logs) AS ids "

@@ -20,11 +20,11 @@ from palisade.functions.text import format_ip, format_threat_type
 from palisade.operators import browse, brute_force, filters, floods, port_scan, reputation, stats
 from palisade.plans import dashboard, export, report, retention, threats
 from palisade.plans.threats import Detections, DetectorSettings
-from palisade.functions.times import ntz
+from palisade.functions.times import ntz, parse_range
 from palisade.session import configure, shared_folder
 from palisade.sources import ingest, parsers, rollup
 from palisade.sources.event_view import logs_as_lines, read_logs
-from palisade.sources.tables import append_logs, read_logs as read_table
+from palisade.sources.tables import append_logs, export_rows, read_logs as read_table
 
 WHOLE = {"start": datetime(2000, 1, 1), "end": datetime(2100, 1, 1)}
 SINGLE = {"window_seconds": 60, "single_ip_threshold": 8, **WHOLE}
@@ -187,6 +187,14 @@ def _lines(sections: DataFrame) -> DataFrame:
     return sections.select("section_no", "line_no", F.array_join("cells", "|").alias("line"))
 
 
+def _report_file(logs: DataFrame) -> DataFrame:
+    """The print lines of a report as its export writes them, read back."""
+    spark, path = logs.sparkSession, f"{shared_folder(logs.sparkSession)}/palisade/report-{uuid.uuid4().hex}"
+    export.export_report(_report(logs), path, "print")
+    lines = spark.read.schema("section_no int, section string, section_type string, cells array<string>").json(path)
+    return lines.select("section_no", F.array_join("cells", "|").alias("line"))
+
+
 def _dashboard_score(logs: DataFrame) -> DataFrame:
     return dashboard.score(threats.threat_summary(_found(logs)), dashboard.health(logs, AS_OF))
 
@@ -279,6 +287,15 @@ def _stored(logs: DataFrame) -> str:
     return path
 
 
+def _exported(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows after they were written as files for others and read back by their names."""
+    path = f"{shared_folder(rows.sparkSession)}/palisade/export-{uuid.uuid4().hex}"
+    export_rows(rows, path, kind)
+    files = rows.sparkSession.read.schema(rows.schema)
+    # An empty text is written with quotes, a missing one without.
+    return files.json(path) if kind == "json" else files.option("header", True).option("emptyValue", "").csv(path)
+
+
 def _stored_and_read(logs: DataFrame) -> DataFrame:
     return read_table(logs.sparkSession, _stored(logs)).select(*logs.columns)
 
@@ -371,6 +388,13 @@ def queries() -> dict[str, Query]:
         "log_lookup": over_logs(lambda t: browse.lookup(t, 77)),
         "log_defaults": over_logs(_defaults),
         "recent_activity": over_logs(lambda t: browse.recent(t, 50)),
+        "log_date_range": over_logs(lambda t: filters.filter_logs(
+            t, severity="HIGH", **dict(zip(("start", "end"), parse_range("2024-01-03", "2024-01-20T00:03:00Z"))))),
+        "log_date_range_whole_day": over_logs(lambda t: filters.filter_logs(
+            t, severity="HIGH", **dict(zip(("start", "end"), parse_range("2024-01-03", "2024-01-04", end_of_day=True))))),
+        "log_export_csv": over_logs(lambda t: _exported(filters.filter_logs(t, severity="HIGH"), "csv")),
+        "log_export_json": over_logs(lambda t: _exported(filters.filter_logs(t, severity="HIGH"), "json")),
+        "threat_export_csv": over_logs(lambda t: _exported(brute_force.detect_brute_force(t, **WHOLE), "csv")),
         # statistics
         "total_logs": over_logs(lambda t: t.agg(F.count("*").alias("total_logs"))),
         "severity_counts": over_logs(lambda t: stats.count_by(t, "severity")),
@@ -423,6 +447,7 @@ def queries() -> dict[str, Query]:
         "report_sections": over_logs(lambda t: _lines(export.csv_sections(_report(t)))),
         "report_print_sections": over_logs(lambda t: _lines(export.print_sections(_report(t)))),
         "report_json": over_logs(_report_values),
+        "report_export_print": over_logs(_report_file),
         "dashboard_top_ips": over_logs(lambda t: dashboard.top_ips(t, AS_OF)),
         "health_24h": over_logs(lambda t: dashboard.health(t, AS_OF)),
         "health_24h_stored": over_logs(lambda t: dashboard.health(read_table(t.sparkSession, _stored(t)), AS_OF)),
@@ -448,6 +473,7 @@ def queries() -> dict[str, Query]:
         "stream_hourly": over_logs(streams.hourly),
         "stream_brute_force": over_logs(streams.brute_force),
         "stream_port_scan": over_logs(streams.port_scan),
+        "stream_port_scan_total": over_logs(streams.port_scan_total),
         "stream_distributed_flood": over_logs(streams.distributed_flood),
         "stream_alerts": over_logs(streams.alerts),
         "stream_enriched": over_logs(lambda t: streams.enriched(t, _half(t))),

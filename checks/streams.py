@@ -84,6 +84,11 @@ def port_scan(logs: DataFrame) -> DataFrame:
     return streamed(logs, detect.port_scan_stream)
 
 
+def port_scan_total(logs: DataFrame) -> DataFrame:
+    """Only the windows of sources with enough rows in all."""
+    return streamed(logs, lambda s: detect.port_scan_stream(s, min_total_attempts=907, period_hours=None))
+
+
 def distributed_flood(logs: DataFrame) -> DataFrame:
     return streamed(logs, lambda s: detect.distributed_flood_stream(s, 60, 3, 20))
 
