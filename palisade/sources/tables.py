@@ -93,14 +93,16 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def export_rows(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """Filtered logs or detections as CSV (with header) or JSON files.
 
-    CSV has no nested values: lists and maps are written as JSON text.
+    CSV has no nested values: lists and maps are written as JSON text. Times keep their
+    microseconds, which Spark's own format cuts off.
     """
+    stamps = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     if kind == "json":
-        rows.write.mode("errorifexists").json(path)
+        rows.write.mode("errorifexists").options(**stamps).json(path)
         return
     if kind != "csv":
         raise ValueError(f"cannot export as {kind!r}")
     nested = ("array", "map", "struct")
     flat = rows.select(*[
         F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in rows.dtypes])
-    flat.write.mode("errorifexists").option("header", True).csv(path)
+    flat.write.mode("errorifexists").option("header", True).options(**stamps).csv(path)
