@@ -76,10 +76,11 @@ def detect_brute_force(
         _windows(nodes, Slots.of(window_minutes * MINUTE), threshold)
         .groupBy("source_ip").agg(F.count("*").alias("window_count"))
     )
-    totals = nodes.groupBy("source_ip").agg(
-        F.sum("c").alias("total_attempts"),
-        from_micros(F.min("at")).alias("first_attempt"),
-        from_micros(F.max("at")).alias("last_attempt"),
+    at = micros("timestamp")
+    totals = attempts.groupBy("source_ip").agg(
+        F.count("*").alias("total_attempts"),
+        from_micros(F.min(at)).alias("first_attempt"),
+        from_micros(F.max(at)).alias("last_attempt"),
     )
     users = usernames_tried(attempts).groupBy("source_ip").agg(
         F.count("*").alias("unique_usernames_attempted"))

@@ -42,12 +42,19 @@ def _nodes(rows: DataFrame) -> DataFrame:
         F.count("*").alias("c"))
 
 
-def _totals(nodes: DataFrame, min_total_attempts: int) -> DataFrame:
+def _ports(rows: DataFrame) -> DataFrame:
+    """Rows, first and last instant per source and port: as many rows as there are such pairs."""
+    at = micros("timestamp")
+    return rows.groupBy("source_ip", F.col("destination_port").alias("port")).agg(
+        F.count("*").alias("c"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def _totals(ports: DataFrame, min_total_attempts: int) -> DataFrame:
     """Totals of the sources with enough rows; the others are left out altogether."""
-    return nodes.groupBy("source_ip").agg(
+    return ports.groupBy("source_ip").agg(
         F.sum("c").alias("total_attempts"),
-        from_micros(F.min("at")).alias("first_attempt"),
-        from_micros(F.max("at")).alias("last_attempt"),
+        from_micros(F.min("first")).alias("first_attempt"),
+        from_micros(F.max("last")).alias("last_attempt"),
     ).where(F.col("total_attempts") >= min_total_attempts)
 
 
@@ -70,9 +77,9 @@ def port_scan_windows(
     """The attack windows: source_ip, attempt_count, unique_ports, window_start, window_end."""
     params.check(window_minutes=window_minutes, unique_ports_threshold=unique_ports_threshold,
                  min_total_attempts=min_total_attempts)
-    nodes = _nodes(scan_rows(logs, start, end, source_ip, protocol, as_of))
-    chosen = _windows(nodes, Slots.of(window_minutes * MINUTE), unique_ports_threshold)
-    kept = chosen.join(_totals(nodes, min_total_attempts).select("source_ip"), "source_ip", "left_semi")
+    rows = scan_rows(logs, start, end, source_ip, protocol, as_of)
+    chosen = _windows(_nodes(rows), Slots.of(window_minutes * MINUTE), unique_ports_threshold)
+    kept = chosen.join(_totals(_ports(rows), min_total_attempts).select("source_ip"), "source_ip", "left_semi")
     return with_bounds(kept.withColumnsRenamed({"n": "attempt_count", "k": "unique_ports"}))
 
 
@@ -91,15 +98,15 @@ def detect_port_scan(
     range; ``ports_attempted`` lists the lowest hundred of them."""
     params.check(window_minutes=window_minutes, unique_ports_threshold=unique_ports_threshold,
                  min_total_attempts=min_total_attempts)
-    nodes = _nodes(scan_rows(logs, start, end, source_ip, protocol, as_of))
+    rows = scan_rows(logs, start, end, source_ip, protocol, as_of)
     flagged = (
-        _windows(nodes, Slots.of(window_minutes * MINUTE), unique_ports_threshold)
+        _windows(_nodes(rows), Slots.of(window_minutes * MINUTE), unique_ports_threshold)
         .groupBy("source_ip").agg(F.count("*").alias("window_count"))
     )
-    ports = nodes.select("source_ip", "port").distinct()
+    ports = settle(_ports(rows), "ports-tried")
     port_counts = ports.groupBy("source_ip").agg(F.count("*").alias("unique_ports_attempted"))
     return (
-        _totals(nodes, min_total_attempts)
+        _totals(ports, min_total_attempts)
         .join(flagged, "source_ip").join(port_counts, "source_ip")
         .join(_first_ports(ports, ["source_ip"], LISTED_PORTS, "ports_attempted"), "source_ip")
         .withColumn("severity", by_bounds(PORT_SCAN_BOUNDS))

@@ -18,22 +18,26 @@ into slots of fixed length, much longer than a window:
   its last window. Only these lines are brought together per key, and walked; the windows
   inside are then found in parallel, slot by slot.
 
-The three passes read rows sorted by (key, slot, instant) and hold the last window, one
+The passes read rows sorted by (key, slot, instant) and hold the rows ahead, the last window, one
 slot's offered lines, or the chains that are open at one time: what one window width of
-one key holds, never a slot or a key.
+one key holds, never a slot or a key. Where a chain is alone, a pass looks for its next window
+by bisection and leaves the instants between alone.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from palisade.functions.times import HOUR, from_micros
 from palisade.session import settle
@@ -85,7 +89,8 @@ def ahead_counts(nodes: DataFrame, keys: Sequence[str], slots: Slots) -> DataFra
     Both frames start at the slot's edge and only grow, which Spark updates row by row; a
     frame that slides would be summed anew for every row.
     """
-    order = Window.partitionBy(*keys, "slot").orderBy("at")
+    # The slot first: its numbers tell rows apart faster than keys that begin alike.
+    order = Window.partitionBy("slot", *keys).orderBy("at")
     reach = order.rangeBetween(Window.unboundedPreceding, slots.width)
     before = order.rangeBetween(Window.unboundedPreceding, -1)
     return (
@@ -96,51 +101,91 @@ def ahead_counts(nodes: DataFrame, keys: Sequence[str], slots: Slots) -> DataFra
     )
 
 
-def ahead_distinct(nodes: DataFrame, keys: Sequence[str], value: str, slots: Slots, least: int = 1) -> DataFrame:
+def ahead_distinct(nodes: DataFrame, keys: Sequence[str], value: str, slots: Slots, least: int = 0) -> DataFrame:
     """Like ``ahead_counts``, with ``k``: the distinct non-null values within one width ahead.
 
-    A value is visible from instant t when its next occurrence is at most one width away.
-    For an occurrence, these instants run from just after the previous occurrence of the
-    same value (or one width before, if that is later) up to itself. These ranges do not
-    overlap, so ``k`` at t is the number of ranges open at t: a running sum of +1 and -1.
-
-    A slot with fewer rows than ``least``, edges included, cannot have that many distinct
-    values anywhere and is left out early; most sources never come further than this.
+    Instants with fewer than ``least`` such values are left out. One pass over the rows of a
+    slot in time order is enough; it holds the rows within one width.
     """
-    chunk = [*keys, "slot"]
-    by_value = Window.partitionBy(*chunk, value).orderBy("at")
-    last = F.lag("at").over(by_value)
-    at = F.col("at")
-    opens = F.greatest(F.coalesce(last + 1, at - slots.width), at - slots.width)
-    step = lambda pos, delta, c, anchor: F.struct(
-        pos.alias("pos"), F.lit(delta).alias("delta"), c.alias("c"), anchor.alias("anchor"))
-    no_count, no_anchor = F.lit(0).cast("bigint"), F.lit(None).cast("int")
-    steps = (
-        spread(nodes, slots)
-        .withColumn("opens", F.when(F.col(value).isNotNull(), opens))
-        .withColumn("all", F.sum("c").over(Window.partitionBy(*chunk)))
-        .where(F.col("all") >= least)
-        .select(*chunk, F.inline(F.array_compact(F.array(
-            step(at, 0, F.col("c"), F.col("side")),
-            F.when(F.col("opens").isNotNull(), step(F.col("opens"), 1, no_count, no_anchor)),
-            F.when(F.col("opens").isNotNull(), step(at + 1, -1, no_count, no_anchor)),
-        ))))
-        # One row per instant; the data is already together by (key, slot).
-        .groupBy(*chunk, F.col("pos").alias("at"))
-        .agg(F.sum("delta").alias("delta"), F.sum("c").alias("c"), F.max("anchor").alias("side"))
-    )
-    order = Window.partitionBy(*chunk).orderBy("at")
-    reach = order.rangeBetween(Window.unboundedPreceding, slots.width)
-    before = order.rangeBetween(Window.unboundedPreceding, -1)
-    so_far = order.rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        steps
-        .withColumn("k", F.sum("delta").over(so_far))
-        .withColumn("n", F.sum("c").over(reach) - F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .withColumn("until", F.max(F.when(F.col("side").isNotNull(), F.col("at"))).over(reach))
-        .where(F.col("side") <= 0)
-        .drop("delta", "c")
-    )
+    chunk, n, width = [*keys, "slot"], len(keys) + 1, slots.width
+    rows = spread(nodes, slots).select(*chunk, "at", "side", "c", value)
+    out = StructType([*(rows.schema[c] for c in chunk), StructField("at", LongType()), StructField("side", IntegerType()),
+                      *(StructField(c, LongType()) for c in ("k", "n", "until"))])
+    arrow = to_arrow_schema(out)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scan = None, Ahead(width, least)
+        for batch in batches:
+            found, owners, lengths = [], [], []
+
+            def leave() -> None:
+                if now is not None:
+                    scan.leave(None, found)
+                    owners.append(now)
+                    lengths.append(len(found))
+
+            at, side, c = _integers(batch, n, n + 3)
+            values = batch.columns[n + 3].to_pylist()
+            for lo, hi in _runs(batch, n):
+                key = _key(batch, n, lo)
+                if key != now:
+                    leave()
+                    now, scan = key, Ahead(width, least)
+                scan.feed(at, side, c, values, lo, hi, found)
+            owners.append(now)
+            lengths.append(len(found))
+            yield from _owned(found, owners, lengths, arrow)
+        found = []
+        scan.leave(None, found)
+        yield from _owned(found, [now], [len(found)], arrow)
+
+    return _by_slot(rows, keys, "at").mapInArrow(count, out)
+
+
+class Ahead:
+    """For the instants of one slot, met in time order: the distinct values, the rows and the
+    last instant within one width ahead. Holds the rows of one width."""
+
+    def __init__(self, width: int, least: int) -> None:
+        self.width, self.least, self.rows = width, least, 0
+        self.held: deque[tuple] = deque()
+        self.places: dict = {}
+
+    def feed(self, at: Sequence[int], side: Sequence[int], c: Sequence[int], value: Sequence, lo: int, hi: int,
+             found: list[tuple]) -> None:
+        """Takes the rows from ``lo`` to ``hi``; adds the instants whose width ends before a row
+        to ``found``, as (at, side, k, n, until)."""
+        held, places, width = self.held, self.places, self.width
+        for i in range(lo, hi):
+            if held and held[0][0] < at[i] - width:
+                self.leave(at[i] - width, found)
+            if not held and side[i] > 0:
+                # Nothing after the slot counts once its own rows have left.
+                return
+            held.append((at[i], side[i], c[i], value[i]))
+            self.rows += c[i]
+            if value[i] is not None:
+                places[value[i]] = places.get(value[i], 0) + 1
+
+    def leave(self, end: int | None, found: list[tuple]) -> None:
+        """Adds the held instants before ``end`` to ``found``, and lets them go."""
+        held, places = self.held, self.places
+        while held and (end is None or held[0][0] < end):
+            at, side = held[0][:2]
+            if side > 0:
+                held.clear()
+                places.clear()
+                self.rows = 0
+                return
+            if len(places) >= self.least:
+                found.append((at, side, len(places), self.rows, held[-1][0]))
+            while held and held[0][0] == at:
+                _, _, c, value = held.popleft()
+                self.rows -= c
+                if value is not None:
+                    places[value] -= 1
+                    if not places[value]:
+                        del places[value]
 
 
 def greedy_windows(
@@ -166,16 +211,16 @@ def greedy_windows(
         now, scan = None, None
         for batch in batches:
             taken = []
-            for k, (*key, at, side) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:n + 3]))):
+            at, side = _integers(batch, n + 1, n + 3)
+            for lo, hi in _runs(batch, n + 1):
+                key = _key(batch, n + 1, lo)
                 if key != now:
                     now, scan = key, Choice(width)
-                if scan.takes(at, side):
-                    taken.append(k)
+                taken.extend(scan.taken(at, side, lo, hi))
             if taken:
                 yield batch.take(pa.array(taken))
 
-    sorted_ = rows.unionByName(marks).repartition(*chunk).sortWithinPartitions(*chunk, "at", "side")
-    return sorted_.mapInArrow(choose, rows.schema).drop("slot", "side")
+    return _by_slot(rows.unionByName(marks), keys, "at", "side").mapInArrow(choose, rows.schema).drop("slot", "side")
 
 
 class Choice:
@@ -184,24 +229,26 @@ class Choice:
     def __init__(self, width: int) -> None:
         self.width, self.before, self.free, self.met, self.marked = width, None, None, False, None
 
-    def takes(self, at: int, side: int) -> bool:
-        """Whether a window opens at this row."""
-        if side == MARK:
-            self.marked = at
-            return False
-        if side < 0:
-            self.before = at
-            return False
-        if not self.met:
-            self.met = True
-            # A carried slot waits for the mark at its first window.
-            self.free = None if self.before is not None and self.before >= at - self.width else at
-        if self.free is None and self.marked == at:
-            self.free = at
-        if self.free is None or at < self.free:
-            return False
-        self.free = at + self.width + 1
-        return True
+    def taken(self, at: Sequence[int], side: Sequence[int], lo: int, hi: int) -> Iterator[int]:
+        """The rows from ``lo`` to ``hi`` at which a window opens."""
+        while lo < hi:
+            if self.free is not None:
+                lo = bisect_left(at, self.free, lo, hi)
+                if lo < hi and side[lo] == 0:
+                    yield lo
+                    self.free = at[lo] + self.width + 1
+            elif side[lo] == MARK:
+                self.marked = at[lo]
+            elif side[lo] < 0:
+                self.before = at[lo]
+            else:
+                # A carried slot waits for the mark at its first window.
+                carried = self.met or (self.before is not None and self.before >= at[lo] - self.width)
+                self.met = True
+                if not carried or self.marked == at[lo]:
+                    self.free = at[lo]
+                    continue
+            lo += 1
 
 
 def _entries(rows: DataFrame, keys: Sequence[str], slots: Slots) -> DataFrame:
@@ -215,12 +262,14 @@ def _entries(rows: DataFrame, keys: Sequence[str], slots: Slots) -> DataFrame:
         now, scan = None, None
         for batch in batches:
             done = []
-            for *key, at, side in zip(*(c.to_pylist() for c in batch.columns)):
+            at, side = _integers(batch, n + 1, n + 3)
+            for lo, hi in _runs(batch, n + 1):
+                key = _key(batch, n + 1, lo)
                 if key != now:
                     if scan is not None:
                         done += [(*now, *r) for r in scan.routes()]
                     now, scan = key, Routes(key[-1] * length, width, length)
-                scan.add(at, side)
+                scan.feed(at, side, lo, hi)
             yield from _batch(done, routes)
         if scan is not None:
             yield from _batch([(*now, *r) for r in scan.routes()], routes)
@@ -244,9 +293,7 @@ def _entries(rows: DataFrame, keys: Sequence[str], slots: Slots) -> DataFrame:
             yield from _batch(found, out)
 
     out = StructType([*kept.fields, StructField("entry", LongType())])
-    offered = (
-        rows.select(*chunk, "at", "side").repartition(*chunk).sortWithinPartitions(*chunk, "at").mapInArrow(offer, routes)
-    )
+    offered = _by_slot(rows.select(*chunk, "at", "side"), keys, "at").mapInArrow(offer, routes)
     return offered.repartition(*keys).sortWithinPartitions(*chunk, "entry").mapInArrow(walk, out)
 
 
@@ -302,6 +349,16 @@ class Routes:
             self.open.append((at, landed))
         self.last = at
 
+    def feed(self, at: Sequence[int], side: Sequence[int], lo: int, hi: int) -> None:
+        """``add`` for the rows from ``lo`` to ``hi``. A slot that is not carried has one chain."""
+        while lo < hi and self.carried is not False:
+            self.add(at[lo], side[lo])
+            lo += 1
+        if lo < hi:
+            self.last = at[hi - 1]
+            while (lo := bisect_left(at, self.exit[0] + self.width + 1, lo, hi)) < hi:
+                self.exit[0] = at[lo]
+
     def routes(self) -> Iterator[tuple[bool, int, int]]:
         """``carried, entry, exit``, for slots that hang on another or may reach into the next."""
         if self.carried is None or not (self.carried or self.last + self.width >= self.end):
@@ -310,6 +367,40 @@ class Routes:
             yield self.carried, entry, self.exit[self._root(k)]
 
 
+def _by_slot(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The rows of each (key, slot) together and in order."""
+    return rows.repartition(*keys, "slot").sortWithinPartitions("slot", *keys, *order)
+
+
+def _runs(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of rows that agree in the first ``n`` columns."""
+    changed = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for column in batch.columns[:n]:
+        here, there = column.slice(1), column.slice(0, len(changed))
+        differs = pc.coalesce(pc.not_equal(here, there), pc.xor(pc.is_null(here), pc.is_null(there)))
+        changed |= differs.to_numpy(zero_copy_only=False)
+    begins = [0, *(np.flatnonzero(changed) + 1).tolist()] if batch.num_rows else []
+    return zip(begins, [*begins[1:], batch.num_rows])
+
+
+def _key(batch: pa.RecordBatch, n: int, row: int) -> list:
+    return [c[row].as_py() for c in batch.columns[:n]]
+
+
+def _integers(batch: pa.RecordBatch, first: int, end: int) -> list[list[int]]:
+    return [c.to_numpy().tolist() for c in batch.columns[first:end]]
+
+
+def _owned(rows: list[tuple], owners: list[list], ends: list[int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows behind the keys of their owners, the first of which owns the rows up to the first end."""
+    if rows:
+        owner = pa.array(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)))
+        types = [f.type for f in schema]
+        keys = [pa.array(c, t).take(owner) for c, t in zip(zip(*owners), types)]
+        yield pa.RecordBatch.from_arrays(
+            [*keys, *(pa.array(c, t) for c, t in zip(zip(*rows), types[len(keys):]))], schema=schema)
+
+
 def _batch(rows: list[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
     if rows:
         arrow = to_arrow_schema(schema)

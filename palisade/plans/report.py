@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from palisade.functions.times import day_bounds, midnight, week_bounds
 from palisade.operators import stats
-from palisade.operators.filters import in_range
 from palisade.plans import threats
 from palisade.plans.threats import Detections, DetectorSettings
 from palisade.session import settle, together
@@ -51,12 +50,12 @@ def security_report(
     settings: DetectorSettings = DetectorSettings(),
 ) -> Report:
     """All parts of a report over one period."""
-    scope = in_range(logs, start, end)
-    found = threats.detect_all(logs, start, end, settings)
+    scope = threats.period(logs, start, end)
+    found = threats.detect_in(scope, start, end, settings)
     summary, top, profile, ports = together(
         lambda: settle(threats.threat_summary(found), "threat-summary"),
         lambda: settle(threats.top_threat_sources(found), "threat-sources"),
-        lambda: settle(stats.profile(logs, start, end, kind), "profile"),
+        lambda: settle(stats.profile(scope, start, end, kind), "profile"),
         lambda: settle(stats.top_ports(scope), "top-ports"))
     severities = stats.profile_counts(profile, "severity")
     malicious = settle(threats.malicious_ip_analysis(top, reputation), "malicious-ips")

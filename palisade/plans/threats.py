@@ -1,7 +1,9 @@
 """All detectors together, and what reports derive from their detections.
 
 Detections are few compared with log rows. ``detect_all`` writes them once, so that the
-many summaries built on them do not run the detectors again.
+many summaries built on them do not run the detectors again. Before that it writes the columns
+of the period that are read, since the detectors together read them many times: what has to be
+done for a log row, to decode or derive it, is done once.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from pyspark.sql import functions as F
 
 from palisade.functions.severity import of_rank, rank
 from palisade.operators import brute_force, floods, port_scan
+from palisade.operators.filters import in_range
 from palisade.operators.reputation import classify, lookup
 from palisade.session import settle, together
 
+# What detectors and reports read of a log.
+COLUMNS = ("timestamp", "source_ip", "destination_port", "protocol", "event_type", "severity", "username")
 TOP_SOURCES = 20
 ALERTS_PER_DETECTOR = 5
 ALERTS = 10
@@ -39,18 +44,28 @@ class Detections:
     port_scans: DataFrame
 
 
+def period(logs: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The rows of a period with what detectors and reports read of them, written once."""
+    return settle(in_range(logs, start, end).select(*[c for c in logs.columns if c in COLUMNS]), "period")
+
+
 def detect_all(
     logs: DataFrame,
     start: datetime,
     end: datetime,
     settings: DetectorSettings = DetectorSettings(),
 ) -> Detections:
-    """Run the detectors over a period. Each reads only its columns and days."""
+    """Run the detectors over a period of a log, which is read once."""
+    return detect_in(period(logs, start, end), start, end, settings)
+
+
+def detect_in(rows: DataFrame, start: datetime, end: datetime, settings: DetectorSettings = DetectorSettings()) -> Detections:
+    """Run the detectors over what ``period`` wrote."""
     scope = {"start": start, "end": end}
     return Detections(*together(
-        lambda: settle(brute_force.detect_brute_force(logs, **settings.brute_force, **scope), "brute-force"),
-        lambda: settle(floods.detect_floods(logs, **settings.floods, **scope), "floods"),
-        lambda: settle(port_scan.detect_port_scan(logs, **settings.port_scan, **scope), "port-scans"),
+        lambda: settle(brute_force.detect_brute_force(rows, **settings.brute_force, **scope), "brute-force"),
+        lambda: settle(floods.detect_floods(rows, **settings.floods, **scope), "floods"),
+        lambda: settle(port_scan.detect_port_scan(rows, **settings.port_scan, **scope), "port-scans"),
     ))
 
 

@@ -206,3 +206,26 @@ def test_scratch_leaves_nothing_behind(spark, small):
         port_scan.port_scan_windows(read_logs(spark, small), start=datetime(2000, 1, 1), end=datetime(2100, 1, 1)).count()
         assert set(folder.iterdir()) > before
     assert set(folder.iterdir()) == before
+
+
+def test_a_report_reads_its_log_once(spark):
+    """Every row of the period passes once, whatever reads it: detectors, counts and top lists."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i), f"10.0.0.{i % 2}", 8000 + i % 15, "TCP", "auth.log", "SSH_FAILED_LOGIN", "HIGH",
+             f"user{i % 3}", "x") for i in range(200)]
+    logs = spark.createDataFrame(
+        rows, "log_id long, timestamp timestamp_ntz, source_ip string, destination_port int, protocol string, "
+              "log_source string, event_type string, severity string, username string, raw_log string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    nobody = spark.createDataFrame([], REPUTATION_SCHEMA)
+    made = report.custom_report(logs.mapInArrow(counted, logs.schema), nobody, start, start + timedelta(days=1))
+    document = json.loads(export.json_document(made).first()["json"])
+    assert document["summary"]["total_logs"] == 200
+    assert {x["source_ip"] for x in document["threat_detections"]["port_scan_attacks"]} == {"10.0.0.0", "10.0.0.1"}
+    assert read.value == 200

@@ -149,3 +149,38 @@ def test_routes_hold_the_chains_that_are_open():
         routes.add(at, 0)
         most = max(most, len(routes.open))
     assert most <= 16 and len(routes.entries) <= 16
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_windows_do_not_depend_on_where_batches_end(spark, rows):
+    """Slots that go over several batches, and batches with several slots."""
+    data = series(21, keys=12, span=400, rows=25)
+    slots, name = Slots.of(20, 45), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    nodes = frame(spark, data).groupBy("key", "at").agg(F.count("*").alias("c"))
+    want = {(k, t): [p for at, p in points if t <= at <= t + 20] for k, points in data.items() for t, _ in points}
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        got = greedy_windows(ahead_counts(nodes, ["key"], slots), ["key"], slots).collect()
+        by_port = frame(spark, data).groupBy("key", "at", "port").agg(F.count("*").alias("c"))
+        ahead = ahead_distinct(by_port, ["key"], "port", slots).where("side = 0").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.key, r["at"]) for r in got) == sorted(
+        (k, w[0]) for k, points in data.items() for w in loop([(t, ) for t, _ in points], 20, lambda _: True))
+    assert {(r.key, r["at"]): (r.k, r.n) for r in ahead} == {x: (len({*p} - {None}), len(p)) for x, p in want.items()}
+
+
+def test_distinct_counts_hold_one_width():
+    from palisade.operators.windows import Ahead
+
+    scan, found, most = Ahead(100, 3), [], 0
+    for at in range(0, 90_000, 7):
+        scan.feed([at], [0], [2], [at % 5], 0, 1, found)
+        most = max(most, len(scan.held))
+    assert most <= 16 and found[0] == (0, 0, 5, 30, 98)
+    scan.feed([90_001, 90_002], [1, 1], [1, 1], [9, 8], 0, 2, found)
+    scan.leave(None, found)
+    assert [t for t, *_ in found] == [*range(0, 90_000, 7)] and not scan.rows and not scan.places
+    scan.feed([90_003], [1], [1], [9], 0, 1, found)
+    assert not scan.held
