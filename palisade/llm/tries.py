@@ -42,10 +42,10 @@ class Solved:
     """What ``solve`` gives for strings, solved in tries of distinct ones and kept for later batches.
 
     ``solve`` takes distinct, sorted strings. Results of the latest strings are kept, some
-    ``kept`` to twice as many characters of them.
+    ``kept`` (``KEPT`` where it is not given) to twice as many characters of them.
     """
 
-    def __init__(self, solve: Callable[[list[str]], Iterable], kept: int = KEPT) -> None:
+    def __init__(self, solve: Callable[[list[str]], Iterable], kept: int | None = None) -> None:
         self.solve, self.kept = solve, kept
         self.recent: dict = {}
         self.older: dict = {}
@@ -58,10 +58,11 @@ class Solved:
         fresh = {s: self.older[s] for s in wanted if s in self.older and s not in made}
         for part in parts(sorted(wanted - made.keys() - fresh.keys())):
             fresh.update(zip(part, self.solve(part)))
+        kept = KEPT if self.kept is None else self.kept
         added = sum(map(len, fresh))
-        if self.size + added > self.kept:
+        if self.size + added > kept:
             self.older, self.recent, self.size = self.recent, {}, 0
-        if added <= self.kept:
+        if added <= kept:
             self.recent.update(fresh)
             self.size += added
         return made | fresh
